@@ -1,0 +1,60 @@
+"""Run a whole cleaning job: every table's clean view and, with metrics, its analytics view."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.operators.aggregate import aggregate
+from millrace.operators.clean import clean
+from millrace.operators.joins import Tables
+from millrace.plans.script import run_script
+from millrace.sinks.export import export_csv
+from millrace.sinks.views import create_view, view_name
+from millrace.spec import JobSpec, TableSpec
+
+
+@dataclass(frozen=True)
+class TableResult:
+    clean: DataFrame
+    analytics: DataFrame | None
+
+
+def build_table(spec: TableSpec, tables: Tables) -> TableResult:
+    cleaned = clean(spec, tables)
+    return TableResult(cleaned, aggregate(cleaned, spec.group_by, spec.metrics) if spec.metrics else None)
+
+
+def build_tables(specs: Iterable[TableSpec], tables: Tables) -> dict[str, TableResult]:
+    """All tables of a job, lazily; nothing runs until a result is read or written."""
+    return {spec.name: build_table(spec, tables) for spec in specs}
+
+
+def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, export_to: str | None = None,
+            at: datetime | None = None) -> dict[str, str | None]:
+    """Create the views of a job and, with ``export_to``, a CSV snapshot of each.
+
+    Returns view name to snapshot folder. With ``custom_sql`` the script runs in place of the
+    generated views; it sees the raw tables as ``raw_<table>``.
+    """
+    if job.custom_sql:
+        if not callable(tables):
+            for name, df in tables.items():
+                create_view(df, "raw", name)
+        views = run_script(spark, job.custom_sql).views
+    else:
+        views = []
+        for name, result in build_tables(job.tables, tables).items():
+            views.append(create_view(result.clean, "clean", name))
+            if result.analytics is not None:
+                # Chained on the view, as a reader of the clean layer would do it.
+                spec = next(t for t in job.tables if t.name == name)
+                chained = aggregate(spark.table(view_name("clean", name)), spec.group_by, spec.metrics)
+                views.append(create_view(chained, "analytics", name))
+    if export_to is None:
+        return dict.fromkeys(views)
+    at = at or datetime.now()
+    return {view: export_csv(spark.table(view), export_to, view, at) for view in views}
