@@ -50,7 +50,7 @@ def _join(left: DataFrame, base_name: str, right: DataFrame, join: JoinSpec) ->
     copies = F.explode(F.sequence(F.lit(0), F.lit(join.salt - 1)))
     keep_right = how == "right"
     spread, copied = (right, left) if keep_right else (left, right)
-    salt = F.pmod(F.xxhash64(*_hashable(spread), F.spark_partition_id()), F.lit(join.salt)).cast("int")
+    salt = F.pmod(F.xxhash64("*", F.spark_partition_id()), F.lit(join.salt)).cast("int")
     side, other = f"{_SALT}_{join.name}_l", f"{_SALT}_{join.name}_r"
     if keep_right:
         left, right = copied.withColumn(side, copies), spread.withColumn(other, salt)
@@ -63,6 +63,3 @@ def _join(left: DataFrame, base_name: str, right: DataFrame, join: JoinSpec) ->
     )
     return joined.drop(side, other)
 
-
-def _hashable(df: DataFrame) -> list:
-    return [F.col("*")] if df.columns else []

@@ -13,12 +13,16 @@ def latest_by(df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column]
     ``max_by`` combines before the shuffle, so a key that holds most of the table still sends one
     row per task. Give enough columns in ``newest`` to break every tie.
     """
-    order = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(newest)])
+    order = F.struct(*[_ordered(c).alias(f"k{i}") for i, c in enumerate(newest)])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     grouped = df.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)])
     return grouped.agg(F.max_by(row, order).alias("row")).select("row.*")
 
 
-def newest_first(df: DataFrame, by: str, n: int, tie_breaker: Sequence[str] = ()) -> DataFrame:
+def newest_first(df: DataFrame, by: str, n: int, tie_breaker: Sequence[str | Column] = ()) -> DataFrame:
     """The ``n`` newest rows, rows without a time last; plans as a top-k, not a full sort."""
-    return df.orderBy(F.col(by).desc_nulls_last(), *[F.col(c) for c in tie_breaker]).limit(n)
+    return df.orderBy(F.col(by).desc_nulls_last(), *[_ordered(c) for c in tie_breaker]).limit(n)
+
+
+def _ordered(column: str | Column) -> Column:
+    return F.col(column) if isinstance(column, str) else column

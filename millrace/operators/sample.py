@@ -23,11 +23,13 @@ def file_order() -> list[Column]:
 def preview(df: DataFrame, order_by: list[Column], rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows, each with the table's ``total_rows`` and whether rows were left out (``sampled``).
 
-    Every task keeps only its own first rows; the total is a scalar subquery over the whole table.
+    Every task keeps only its own first rows. Both totals are scalar subqueries, which Spark answers
+    from one count; a single projection on top lets the sort and limit plan as a top-k.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    head = _ordered(df, order_by).limit(rows).drop("_millrace_order")
-    return head.withColumn("total_rows", total).withColumn("sampled", F.col("total_rows") > rows)
+    count = F.count(F.lit(1))
+    total, more = df.agg(count.alias("n")).scalar(), df.agg((count > rows).alias("more")).scalar()
+    head = _ordered(df, order_by).limit(rows)
+    return head.select(*[F.col(f"`{c}`") for c in df.columns], total.alias("total_rows"), more.alias("sampled"))
 
 
 def sample_arrays(df: DataFrame, order_by: list[Column] | None, rows: int = SAMPLE_ROWS,

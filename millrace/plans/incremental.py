@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from millrace.functions.times import time_literal
-from millrace.operators.latest import latest_by
+from millrace.operators.latest import latest_by, newest_first
 from millrace.reports.metadata import INGESTION_LOG, append_rows, read_or_empty
 
 # Where the first run starts, and the default watermark column.
@@ -33,11 +33,14 @@ _SAFE_PART = re.compile(r"[A-Za-z0-9_.:-]+")
 
 def current_watermarks(log: DataFrame) -> DataFrame:
     """``(pipeline_id, table_name, last_watermark, updated_at)``: the newest successful mark of each."""
-    marks = log.filter((F.col("status") == "success") & F.col("watermark_to").isNotNull()).select(
+    return latest_by(_marks(log), ["pipeline_id", "table_name"], ["updated_at", "last_watermark"])
+
+
+def _marks(log: DataFrame) -> DataFrame:
+    return log.filter((F.col("status") == "success") & F.col("watermark_to").isNotNull()).select(
         "pipeline_id", "table_name", F.col("watermark_to").alias("last_watermark"),
         F.col("extracted_at").alias("updated_at"),
     )
-    return latest_by(marks, ["pipeline_id", "table_name"], ["updated_at", "last_watermark"])
 
 
 @dataclass(frozen=True)
@@ -61,8 +64,8 @@ class IncrementalExtract:
 
     def watermark(self, spark: SparkSession) -> datetime:
         """Where the next run starts. Only this pipeline's partition of the log is read."""
-        log = self.log(spark)
-        row = current_watermarks(log).first()
+        newest = newest_first(_marks(self.log(spark)), "updated_at", 1, (F.col("last_watermark").desc(),))
+        row = newest.first()
         return row["last_watermark"] if row else datetime.fromisoformat(self.watermark_init)
 
     def log(self, spark: SparkSession) -> DataFrame:

@@ -86,7 +86,9 @@ def success_rate(runs: DataFrame, as_of: datetime, days: int = RECENT_DAYS) -> D
 
 def latest_ingestion(log: DataFrame) -> DataFrame:
     """The newest ingestion of each pipeline."""
-    return latest_by(log, ["pipeline_id"], ["extracted_at", "id"]).select(
+    needed = log.select(
+        "pipeline_id", "id", "extracted_at", "rows_extracted", "duration_seconds", "status", "watermark_to")
+    return latest_by(needed, ["pipeline_id"], ["extracted_at", "id"]).select(
         "pipeline_id", "rows_extracted",
         F.round(F.col("duration_seconds").cast("decimal(18,3)"), 1).alias("duration_seconds"),
         "status", F.coalesce(F.col("watermark_to").cast("string"), F.lit("")).alias("watermark"),
