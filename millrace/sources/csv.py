@@ -1,13 +1,15 @@
 """CSV files as raw text tables.
 
-Quoted cells may hold line breaks. Such a file can only be read from its start, by one task. That is
-no loss for a file of one split or less, so only larger files are looked at more closely: when each
-of their lines is a complete record, they are read in parallel splits.
+Quoted cells may hold line breaks, so Spark's reader takes such a file from its start, in one task.
+That is no loss for a file of one split or less. Larger files are looked at first: when each line is
+a whole record they are read in plain splits, and when quotes only enclose cells their records are
+put together from the splits. Only a large file with stray quotes is left to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_names
-from millrace.sources.files import decoded_path, list_files
+from millrace.sources.files import decoded_path, file_name, list_files
+from millrace.sources.records import assemble_records, parse_records
 
 # The dialect, comma-separated UTF-8 with doubled quotes; every cell is text.
 DIALECT = {"sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
@@ -53,6 +56,15 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
                   F.col("_metadata.file_modification_time")]
         return scan.select("*", *[c.alias(n) for c, n in zip(source, PROVENANCE)]).toDF(*names, *PROVENANCE)
 
+    def assemble(paths: list[str]) -> DataFrame:
+        text = StructType([StructField(n, StringType()) for n in names])
+        parsed = parse_records(assemble_records(spark, paths), text, DIALECT)
+        if not provenance:
+            return parsed.select(*names)
+        file = decoded_path(F.col("file"))
+        return parsed.select(*names, file.alias(PROVENANCE[0]), file_name(file).alias(PROVENANCE[1]),
+                             F.col("modified_at").alias(PROVENANCE[2]))
+
     where = {"recursiveFileLookup": recursive, **({"pathGlobFilter": glob} if glob else {})}
     if multi_line is not None:
         return read(path, multi_line, **where)
@@ -60,12 +72,19 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
     if not large:
         return read(path, True, **where)
     broken = files_with_split_records(spark, large)
-    splittable = [p for p in large if p not in broken]
-    if not splittable:
-        return read(path, True, **where)
-    parallel = read(splittable, False)
-    rest = [r["path"] for r in files.select("path").collect() if r["path"] not in set(splittable)]
-    return parallel.unionByName(read(rest, True)) if rest else parallel
+    stray = files_with_stray_quotes(spark, sorted(broken)) if broken else set()
+    parts = []
+    if plain := [p for p in large if p not in broken]:
+        parts.append(read(plain, False))
+    if assembled := sorted(broken - stray):
+        for file in assembled:
+            if _header(spark, file) != header:
+                raise ValueError(f"the header of {file} differs from that of {first}")
+        parts.append(assemble(assembled))
+    done = {*plain, *assembled}
+    if rest := [r["path"] for r in files.select("path").collect() if r["path"] not in done]:
+        parts.append(read(rest, True))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_raw(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
@@ -85,6 +104,13 @@ def files_with_split_records(spark: SparkSession, paths: Sequence[str]) -> set[s
     return {unquote(r["path"]) for r in found.collect()}
 
 
+def files_with_stray_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files in which quotes do more than enclose cells, so that records cannot be told by them."""
+    records = assemble_records(spark, paths)
+    found = records.filter(F.col("record").isNull() | ~F.col("record").rlike(WHOLE_RECORD)).select("file").distinct()
+    return {unquote(r["file"]) for r in found.collect()}
+
+
 def _header(spark: SparkSession, file: str) -> list[str | None]:
     row = spark.read.options(**DIALECT).csv(file, header=False, multiLine=True).first()
     if row is None:
