@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructType
 
 from millrace.functions.times import time_literal
 from millrace.operators.latest import latest_by, newest_first
-from millrace.reports.metadata import INGESTION_LOG, append_rows, read_or_empty
+from millrace.reports.metadata import INGESTION_LOG, append_row, read_or_empty
 
 # Where the first run starts, and the default watermark column.
 WATERMARK_INIT = "1970-01-01 00:00:00"
@@ -98,13 +98,13 @@ class IncrementalExtract:
             error = str(exception)
             raise
         finally:
-            append_rows(spark, self.log_path, INGESTION_LOG, [{
+            append_row(spark, self.log_path, INGESTION_LOG, {
                 "id": run_id, "pipeline_id": self.pipeline_id, "table_name": self.table_name,
                 "extracted_at": _now(), "rows_extracted": rows,
                 "watermark_from": mark_from, "watermark_to": mark_to,
                 "duration_seconds": round(time.monotonic() - started, 3),
                 "path": path, "status": "failed" if error else "success", "error_message": error,
-            }])
+            })
         return ExtractResult(rows, mark_from, mark_to, path)
 
     def extracted(self, spark: SparkSession, schema: StructType) -> DataFrame:

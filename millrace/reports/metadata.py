@@ -6,7 +6,8 @@ Logs are partitioned by ``pipeline_id``: a pipeline reads its own part alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
+from datetime import datetime
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,7 @@ from pyspark.sql.types import (
 )
 
 from millrace.functions.labels import seconds_between, stage_of
+from millrace.functions.times import time_literal
 
 def _columns(**types) -> StructType:
     return StructType([StructField(name, kind) for name, kind in types.items()])
@@ -45,10 +47,17 @@ PIPELINE_LINEAGE = _columns(
 )
 
 
-def append_rows(spark: SparkSession, path: str, schema: StructType, rows: Iterable[Mapping[str, Any]]) -> None:
-    """Append a few rows made on the driver, as one file per pipeline."""
-    frame = spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in rows], schema)
-    append_frame(frame.coalesce(1), path)
+def append_row(spark: SparkSession, path: str, schema: StructType, row: Mapping[str, Any]) -> None:
+    """Append one row made on the driver, as literals: no data leaves the driver but the plan."""
+    unknown = set(row) - set(schema.names)
+    if unknown:
+        raise ValueError(f"unknown log columns: {sorted(unknown)}")
+
+    def literal(value: Any) -> Column:
+        return time_literal(value) if isinstance(value, datetime) else F.lit(value)
+
+    cells = [literal(row.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    append_frame(spark.range(1, numPartitions=1).select(*cells), path)
 
 
 def append_frame(df: DataFrame, path: str) -> None:
