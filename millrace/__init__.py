@@ -5,6 +5,7 @@ from millrace.operators.clean import clean
 from millrace.operators.infer import infer_types
 from millrace.plans.incremental import IncrementalExtract
 from millrace.plans.script import run_script
+from millrace.plans.upload import load_csv
 from millrace.plans.wizard import build_table, build_tables, run_job
 from millrace.sources.csv import read_raw, scan_csv
 from millrace.spec import (
@@ -13,6 +14,6 @@ from millrace.spec import (
 
 __all__ = [
     "ColumnSpec", "ComputedSpec", "FilterSpec", "IncrementalExtract", "JobSpec", "JoinSpec", "MetricSpec",
-    "SpecError", "TableSpec", "aggregate", "build_table", "build_tables", "clean", "infer_types", "read_raw",
-    "run_job", "run_script", "scan_csv",
+    "SpecError", "TableSpec", "aggregate", "build_table", "build_tables", "clean", "infer_types", "load_csv",
+    "read_raw", "run_job", "run_script", "scan_csv",
 ]

@@ -2,7 +2,8 @@
 
 Join strategy and skew handling are left to adaptive execution, which splits a hot partition of the
 row-keeping side. ``JoinSpec.salt`` does the same by hand where adaptive execution is off or where
-the joined rows are grouped by the join key right after.
+the joined rows are grouped by the join key right after. A salted join keeps later filters from
+moving below it, since the salt depends on the partition.
 """
 
 from __future__ import annotations

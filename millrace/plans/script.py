@@ -38,6 +38,11 @@ def run_script(spark: SparkSession, sql: str, parameters: Mapping[str, Any] | No
     return ScriptResult(result, created_views(body))
 
 
+def read_script(spark: SparkSession, path: str) -> str:
+    """The text of a script file, from any file system Spark reads."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def created_views(sql: str) -> list[str]:
     """The names in the script's CREATE VIEW statements."""
     names = [re.sub(r"[`\s]", "", n) for n in _CREATES_VIEW.findall(sql)]

@@ -13,7 +13,7 @@ from millrace.operators.clean import clean
 from millrace.operators.joins import Tables
 from millrace.plans.script import run_script
 from millrace.sinks.export import export_csv
-from millrace.sinks.views import create_view, view_name
+from millrace.sinks.views import create_view
 from millrace.spec import JobSpec, TableSpec
 
 
@@ -33,12 +33,14 @@ def build_tables(specs: Iterable[TableSpec], tables: Tables) -> dict[str, TableR
     return {spec.name: build_table(spec, tables) for spec in specs}
 
 
-def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, export_to: str | None = None,
-            at: datetime | None = None) -> dict[str, str | None]:
+def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str | None = None,
+            export_to: str | None = None, at: datetime | None = None) -> dict[str, str | None]:
     """Create the views of a job and, with ``export_to``, a CSV snapshot of each.
 
-    Returns view name to snapshot folder. With ``custom_sql`` the script runs in place of the
-    generated views; it sees the raw tables as ``raw_<table>``.
+    Returns view name to snapshot folder. Views are lazy, so each reader computes them again;
+    ``store_at`` writes each clean table there once, as Parquet, and puts the views on top of that.
+    With ``custom_sql`` the script runs in place of the generated views; it sees the raw tables as
+    ``raw_<table>``.
     """
     if job.custom_sql:
         if not callable(tables):
@@ -47,13 +49,15 @@ def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, export_to: str
         views = run_script(spark, job.custom_sql).views
     else:
         views = []
-        for name, result in build_tables(job.tables, tables).items():
-            views.append(create_view(result.clean, "clean", name))
-            if result.analytics is not None:
-                # Chained on the view, as a reader of the clean layer would do it.
-                spec = next(t for t in job.tables if t.name == name)
-                chained = aggregate(spark.table(view_name("clean", name)), spec.group_by, spec.metrics)
-                views.append(create_view(chained, "analytics", name))
+        for spec in job.tables:
+            cleaned = clean(spec, tables)
+            if store_at is not None:
+                path = f"{store_at.rstrip('/')}/{spec.name}"
+                cleaned.write.mode("overwrite").parquet(path)
+                cleaned = spark.read.parquet(path)
+            views.append(create_view(cleaned, "clean", spec.name))
+            if spec.metrics:
+                views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))
     if export_to is None:
         return dict.fromkeys(views)
     at = at or datetime.now()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.infer import infer_types
 from millrace.operators.sample import column_samples, preview
+from millrace.plans.upload import load_csv
 from millrace.queries.inputs import AS_OF, CELLS, cells, raw, read, with_raw
 from millrace.queries.registry import query
 from millrace.session import shared_folder
@@ -83,6 +84,18 @@ def scan_csv_raw(spark, sf_dir):
     return scan_csv(spark, path)
 
 
+@query("load_csv", f"""
+    select t.ordinal, t."column", t.type, s.samples from ({_infer_sql()}) t
+    join ({_samples_sql()}) s on t.ordinal = s.ordinal""")
+def load(spark, sf_dir):
+    base = shared_folder(spark, "load")
+    # In key order, so that the head of the first file is the head of the table.
+    cells(spark, sf_dir, "orders").orderBy(F.col("o_orderkey").cast("bigint")).write.csv(
+        f"{base}/in", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    columns = load_csv(spark, f"{base}/in", "orders", f"{base}/raw", as_of=AS_OF).columns
+    return columns.withColumn("samples", F.array_join("samples", "|"))
+
+
 @query("load_raw_stamped", with_raw("orders", """
     select *, '2024-01-31 00:00:00' as uploaded_at from raw_orders"""))
 def load_raw_stamped(spark, sf_dir):

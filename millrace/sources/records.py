@@ -41,23 +41,25 @@ def assemble_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     numbered = lines.join(splits, _SPLIT).withColumn("starts", starts).withColumn(
         "n", F.sum("starts").over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    # Same keys as the windows, so the grouping needs no shuffle of its own.
+    # Same keys as the windows, so the grouping needs no shuffle of its own. Text past the limit goes
+    # no further than its own split.
+    length = F.sum(F.length("value").cast("bigint") + 1)
     pieces = numbered.groupBy(*_SPLIT, "n").agg(
-        F.max("modified_at").alias("modified_at"), (F.sum("odd") % 2 == 1).alias("is_odd"),
-        _joined(F.struct("pos", "value")).alias("record"))
+        F.max("modified_at").alias("modified_at"), (F.sum("odd") % 2 == 1).alias("is_odd"), length.alias("length"),
+        F.when(length <= LONGEST_RECORD, _joined(F.struct("pos", "value"))).alias("record"))
     crosses = F.col("is_odd") | (F.col("n") == 0)
-    whole = pieces.filter(~crosses).drop("is_odd")
+    whole = pieces.filter(~crosses).drop("is_odd", "length")
 
     # A piece that starts a record opens a new group; those without a start continue it.
     along = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     crossing = pieces.filter(crosses).withColumn("group", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(along))
-    length = F.sum(F.length("record").cast("bigint")).over(Window.partitionBy("file", "group"))
-    bounded = crossing.withColumn("length", length).withColumn(
-        "record", F.when(F.col("length") <= LONGEST_RECORD, F.col("record")))
+    total = F.sum("length").over(Window.partitionBy("file", "group"))
+    bounded = crossing.withColumn("total", total).withColumn(
+        "record", F.when(F.col("total") <= LONGEST_RECORD, F.col("record")))
     stitched = bounded.groupBy("file", "group").agg(
         F.max("modified_at").alias("modified_at"), F.min("block").alias("block"),
         F.min_by("n", F.struct("block", "n")).alias("n"),
-        F.when(F.max("length") <= LONGEST_RECORD, _joined(F.struct("block", "n", F.col("record").alias("value"))))
+        F.when(F.max("total") <= LONGEST_RECORD, _joined(F.struct("block", "n", F.col("record").alias("value"))))
         .alias("record"))
     # Where lines end in CR LF, line breaks inside cells become LF, as Spark's own reader does it.
     unix = F.replace(F.expr("left(record, length(record) - 1)"), F.lit("\r\n"), F.lit("\n"))
