@@ -40,5 +40,8 @@ def _is_cell(field: StructField) -> bool:
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    """All columns as text: the raw layer's form of a typed table."""
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    """All columns as text: the raw layer's form of a typed table. Text columns stay as they are."""
+    return df.select(*[
+        F.col(f"`{f.name}`") if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`").cast("string").alias(f.name)
+        for f in df.schema.fields
+    ])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.cells import is_stripped, strip_cell
+from millrace.functions.cells import as_text, normalize_cells
 
 # The types in order of precedence, each with its bit, and what a value must look like.
 BITS = {"INTEGER": 1, "NUMERIC": 2, "DATE": 4, "TIMESTAMP": 8, "BOOLEAN": 16}
@@ -58,12 +58,9 @@ def infer_types(df: DataFrame, order_by: list[Column] | None = None, sample_valu
             for c in df.columns
         ])
         return _by_column(masks, df.columns)
-    masks = df.agg(*[
-        F.bit_and(fitting_types(
-            F.col(f"`{f.name}`") if is_stripped(f) else strip_cell(F.col(f"`{f.name}`").cast("string"))
-        )).alias(f.name)
-        for f in df.schema.fields
-    ])
+    # Stripped in a projection of its own: the patterns below look at each cell several times.
+    cells = normalize_cells(as_text(df))
+    masks = cells.agg(*[F.bit_and(fitting_types(F.col(f"`{c}`"))).alias(c) for c in df.columns])
     return _by_column(masks, df.columns)
 
 

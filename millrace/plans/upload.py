@@ -61,11 +61,10 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
 
 
 def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFrame:
-    """The first rows of the first file, numbered; a single task reads no further than these."""
+    """The first rows of the first file, numbered. One file in one task keeps its order under
+    ``limit``, and is read no further."""
     first = list_files(spark, path, recursive=False).agg(F.min("path").alias("path")).first()["path"]
     if first is None:
         raise FileNotFoundError(f"no files under {path}")
     scan = normalize_cells(scan_csv(spark, first, multi_line=True))
-    schema = scan.schema
-    taken = [(*r, i) for i, r in enumerate(scan.take(rows))]
-    return spark.createDataFrame(taken, schema.add("_row", "long"))
+    return scan.withColumn("_row", F.monotonically_increasing_id()).limit(rows)

@@ -12,7 +12,8 @@ from millrace.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "millrace-tests", master="local[*]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+           "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"},
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
