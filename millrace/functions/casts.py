@@ -6,8 +6,6 @@ session without ANSI mode the cast is guarded, because NULL in place of an error
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # The Spark type of each column type. NUMERIC rounds to two digits, half away from
 # zero; casting to the scale at once rounds a single time. TIMESTAMP ignores any zone in the text.
 SPARK_TYPES = {
@@ -25,26 +23,26 @@ TRUE_WORDS = ("on", "tr", "tru", "ye")
 FALSE_WORDS = ("off", "of", "fa", "fal", "fals")
 
 
-def typed(value: Column, kind: str, *, ansi: bool, rounded: bool = True, trimmed: bool = False) -> Column:
-    """``value`` as the column type ``kind``; ``trimmed`` says that TEXT needs no trim any more."""
+def typed(value: str, kind: str, *, ansi: bool, rounded: bool = True, trimmed: bool = False) -> str:
+    """SQL for the expression ``value`` as the column type ``kind``; ``trimmed`` text needs no trim."""
     if kind == "TEXT":
-        text = value.cast("string")
-        return text if trimmed else F.trim(text)
+        return f"cast({value} as string)" if trimmed else f"trim(cast({value} as string))"
     if kind == "NUMERIC" and not rounded:
         return _cast(value, UNROUNDED_NUMERIC, ansi)
     if kind == "BOOLEAN":
-        word = F.lower(F.trim(value.cast("string")))
-        return (
-            F.when(word.isin(*TRUE_WORDS), F.lit(True))
-            .when(word.isin(*FALSE_WORDS), F.lit(False))
-            .otherwise(_cast(value, "boolean", ansi))
-        )
+        word = f"lower(trim(cast({value} as string)))"
+        return (f"case when {word} in ({_quoted(TRUE_WORDS)}) then true "
+                f"when {word} in ({_quoted(FALSE_WORDS)}) then false else {_cast(value, 'boolean', ansi)} end")
     return _cast(value, SPARK_TYPES[kind], ansi)
 
 
-def _cast(value: Column, spark_type: str, ansi: bool) -> Column:
+def _cast(value: str, spark_type: str, ansi: bool) -> str:
     if ansi:
-        return value.cast(spark_type)
-    tried = value.try_cast(spark_type)
-    message = F.concat(F.lit("invalid "), F.lit(spark_type), F.lit(": "), value.cast("string"))
-    return F.when(value.isNull() | tried.isNotNull(), tried).otherwise(F.raise_error(message).cast(spark_type))
+        return f"cast({value} as {spark_type})"
+    tried = f"try_cast({value} as {spark_type})"
+    return (f"case when {value} is null or {tried} is not null then {tried} "
+            f"else cast(raise_error(concat('invalid {spark_type}: ', {value})) as {spark_type}) end")
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField
 
 # Every character that counts as whitespace around a cell.
@@ -18,8 +18,9 @@ WHITESPACE = (
 STRIPPED = {"millrace.stripped": True}
 
 
-def strip_cell(cell: Column) -> Column:
-    return F.nullif(F.btrim(cell, F.lit(WHITESPACE)), F.lit(""))
+def strip_cell(cell: str) -> str:
+    """SQL for the stripped content of the SQL expression ``cell``."""
+    return f"nullif(btrim({cell}, '{WHITESPACE}'), '')"
 
 
 def is_stripped(field: StructField) -> bool:
@@ -28,10 +29,12 @@ def is_stripped(field: StructField) -> bool:
 
 def normalize_cells(df: DataFrame, columns: Collection[str] | None = None) -> DataFrame:
     """Strip every text column (or those named) and turn empty cells into NULL, in one projection."""
+    cells = {f.name for f in df.schema.fields if _is_cell(f) and (columns is None or f.name in columns)}
+    if not cells:
+        return df
     return df.select(*[
-        strip_cell(F.col(f"`{f.name}`")).alias(f.name, metadata={**f.metadata, **STRIPPED})
-        if _is_cell(f) and (columns is None or f.name in columns) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
+        F.expr(strip_cell(f"`{f.name}`")).alias(f.name, metadata={**f.metadata, **STRIPPED})
+        if f.name in cells else f"`{f.name}`" for f in df.schema.fields
     ])
 
 
@@ -41,7 +44,7 @@ def _is_cell(field: StructField) -> bool:
 
 def as_text(df: DataFrame) -> DataFrame:
     """All columns as text: the raw layer's form of a typed table. Text columns stay as they are."""
-    return df.select(*[
-        F.col(f"`{f.name}`") if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`").cast("string").alias(f.name)
+    return df.selectExpr(*[
+        f"`{f.name}`" if isinstance(f.dataType, StringType) else f"cast(`{f.name}` as string) as `{f.name}`"
         for f in df.schema.fields
     ])

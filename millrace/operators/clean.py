@@ -25,12 +25,12 @@ def clean(spec: TableSpec, tables: Tables) -> DataFrame:
 
     types = _Typing(base, spec)
     hidden = _hidden_filters(spec, base)
-    columns = [types.column(c).alias(c.output) for c in spec.kept]
+    columns = [types.column(c, c.output) for c in spec.kept]
     if any(c.over == "typed" for c in spec.computed):
         result = _project_typed(joined, spec, types, hidden)
     else:
         computed = [F.expr(c.expression).alias(c.output) for c in spec.computed]
-        carried = [types.column(c).alias(name) for name, c in hidden.items()]
+        carried = [types.column(c, name) for name, c in hidden.items()]
         result = joined.select(*columns, *computed, *carried)
     return _filtered(result, spec, hidden, types.ansi)
 
@@ -44,18 +44,18 @@ class _Typing:
         self.fields = {f.name.lower(): f for f in base.schema.fields}
         self.specs = {c.source: c for c in spec.columns}
 
-    def column(self, column: ColumnSpec, rounded: bool = True) -> Column:
+    def column(self, column: ColumnSpec, name: str, rounded: bool = True) -> Column:
         field = self.fields.get(column.source)
         if field is None:
             raise SpecError(f"table {self.table!r} has no column {column.source!r}")
-        value = F.col(f"{self.table}.{column.source}")
-        return typed(value, column.kind, ansi=self.ansi, rounded=rounded, trimmed=is_stripped(field))
+        value = typed(f"`{self.table}`.`{column.source}`", column.kind, ansi=self.ansi, rounded=rounded,
+                      trimmed=is_stripped(field))
+        return F.expr(f"{value} as `{name}`")
 
     def scope(self) -> list[Column]:
         """Every base column under its own name, typed where the spec gives a type."""
         return [
-            (self.column(self.specs[name], rounded=False) if name in self.specs else F.col(f"{self.table}.{name}"))
-            .alias(name)
+            self.column(self.specs[name], name, rounded=False) if name in self.specs else F.col(f"{self.table}.{name}")
             for name in self.fields
         ]
 
@@ -66,9 +66,9 @@ def _project_typed(joined: DataFrame, spec: TableSpec, types: _Typing, hidden: d
     Finished columns wait under private names, and each joined table becomes one struct, so that an
     expression finds ``col`` typed and ``t.col`` as it is. Catalyst folds both steps into one.
     """
-    finished = [types.column(c).alias(f"{_OUT}{c.output}") for c in spec.kept]
+    finished = [types.column(c, f"{_OUT}{c.output}") for c in spec.kept]
     finished += [F.expr(c.expression).alias(f"{_OUT}{c.output}") for c in spec.computed if c.over == "raw"]
-    carried = [types.column(c).alias(name) for name, c in hidden.items()]
+    carried = [types.column(c, name) for name, c in hidden.items()]
     sides = [F.struct(F.col(f"{j.name}.*")).alias(j.name) for j in spec.joins]
     scope = joined.select(*types.scope(), *sides, *finished, *carried).alias(spec.name)
 

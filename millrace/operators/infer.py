@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from millrace.functions.cells import as_text, normalize_cells
 
@@ -15,29 +15,28 @@ TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")
 
 
-def fitting_types(value: Column) -> Column:
-    """The set of types one stripped value fits, as bits; NULL for NULL.
+def fitting_types(value: str) -> str:
+    """SQL for the set of types one stripped value fits, as bits; NULL for NULL.
 
     Every integer is a number and nothing else overlaps but ``0`` and ``1``, so the first match
     decides. Patterns are the expensive part: byte comparisons keep words away from all of them, and
     the dash in fifth place tells dates and times from numbers.
     """
     number = BITS["INTEGER"] | BITS["NUMERIC"]
-    as_number = (
-        F.when(value.rlike(INTEGER), F.when(value.isin("0", "1"), number | BITS["BOOLEAN"]).otherwise(number))
-        .when(value.rlike(NUMERIC), BITS["NUMERIC"]).otherwise(0)
-    )
-    as_time = F.when(value.rlike(DATE), BITS["DATE"]).when(value.rlike(TIMESTAMP), BITS["TIMESTAMP"]).otherwise(0)
+    words = ", ".join(f"'{w}'" for w in BOOLEAN_WORDS)
     longest = max(map(len, BOOLEAN_WORDS))
-    as_word = F.when(F.octet_length(value) > longest, 0).when(
-        F.lower(value).isin(*BOOLEAN_WORDS), BITS["BOOLEAN"]).otherwise(0)
-    begins_like_number = (value >= "-") & (value < ":")
-    return (
-        F.when(value.isNull(), F.lit(None).cast("int"))
-        .when(~begins_like_number, as_word)
-        .when(F.substring(value, 5, 1) == "-", as_time)
-        .otherwise(as_number)
-    )
+    return f"""case
+        when {value} is null then cast(null as int)
+        when {value} < '-' or {value} >= ':' then
+            case when octet_length({value}) > {longest} then 0
+                 when lower({value}) in ({words}) then {BITS['BOOLEAN']} else 0 end
+        when substring({value}, 5, 1) = '-' then
+            case when {value} rlike r'{DATE}' then {BITS['DATE']}
+                 when {value} rlike r'{TIMESTAMP}' then {BITS['TIMESTAMP']} else 0 end
+        when {value} rlike r'{INTEGER}' then
+            case when {value} in ('0', '1') then {number | BITS['BOOLEAN']} else {number} end
+        when {value} rlike r'{NUMERIC}' then {BITS['NUMERIC']}
+        else 0 end"""
 
 
 def infer_types(df: DataFrame, order_by: list[Column] | None = None, sample_values: int | None = None) -> DataFrame:
@@ -50,30 +49,24 @@ def infer_types(df: DataFrame, order_by: list[Column] | None = None, sample_valu
         from millrace.operators.sample import sample_arrays
 
         arrays = sample_arrays(df, order_by, values=sample_values)
-        masks = arrays.select(*[
-            F.aggregate(
-                F.transform(F.col(f"`{c}`"), fitting_types), F.lit(None).cast("int"),
-                lambda acc, bits: F.coalesce(acc.bitwiseAND(bits), bits),
-            ).alias(c)
+        masks = arrays.selectExpr(*[
+            f"aggregate(transform(`{c}`, v -> {fitting_types('v')}), cast(null as int), "
+            f"(common, bits) -> coalesce(common & bits, bits)) as `{c}`"
             for c in df.columns
         ])
         return _by_column(masks, df.columns)
     # Stripped in a projection of its own: the patterns below look at each cell several times.
     cells = normalize_cells(as_text(df))
-    masks = cells.agg(*[F.bit_and(fitting_types(F.col(f"`{c}`"))).alias(c) for c in df.columns])
+    masks = cells.selectExpr(*[f"bit_and({fitting_types(f'`{c}`')}) as `{c}`" for c in df.columns])
     return _by_column(masks, df.columns)
 
 
 def _by_column(masks: DataFrame, names: list[str]) -> DataFrame:
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), _name_of(F.col(f"`{n}`")).alias("type"))
-        for i, n in enumerate(names)
-    ]))
-    return masks.select(rows.alias("r")).select("r.*")
+    rows = ", ".join(f"struct({i} as ordinal, '{n}' as column, {_name_of(f'`{n}`')} as type)"
+                     for i, n in enumerate(names))
+    return masks.selectExpr(f"inline(array({rows}))")
 
 
-def _name_of(mask: Column) -> Column:
-    chosen = F.when(mask.isNull(), "TEXT")
-    for name, bit in BITS.items():
-        chosen = chosen.when(mask.bitwiseAND(bit) != 0, name)
-    return chosen.otherwise("TEXT")
+def _name_of(mask: str) -> str:
+    chosen = " ".join(f"when {mask} & {bit} != 0 then '{name}'" for name, bit in BITS.items())
+    return f"case when {mask} is null then 'TEXT' {chosen} else 'TEXT' end"

@@ -37,24 +37,20 @@ def sample_arrays(df: DataFrame, order_by: list[Column] | None, rows: int = SAMP
     """One row; per column the first non-empty values among the first rows, in order."""
     head = _ordered(df, order_by or file_order()).limit(rows)
 
-    def first_values(name: str) -> Column:
-        cell = strip_cell(F.col(f"`{name}`").cast("string"))
-        pair = F.when(cell.isNotNull(), F.struct(F.col("_millrace_order"), cell.alias("cell")))
-        ordered = F.array_sort(F.collect_list(pair))
-        return F.slice(F.transform(ordered, lambda p: p["cell"]), 1, values)
+    def first_values(name: str) -> str:
+        cell = strip_cell(f"cast(`{name}` as string)")
+        pairs = f"collect_list(if({cell} is null, null, struct(_millrace_order, {cell} as cell)))"
+        return f"slice(transform(array_sort({pairs}), p -> p.cell), 1, {values}) as `{name}`"
 
-    return head.agg(*[first_values(c).alias(c) for c in df.columns])
+    return head.selectExpr(*[first_values(c) for c in df.columns])
 
 
 def column_samples(df: DataFrame, order_by: list[Column] | None = None, rows: int = SAMPLE_ROWS,
                    values: int = SAMPLE_VALUES) -> DataFrame:
     """``(ordinal, column, samples)`` for every column."""
     arrays = sample_arrays(df, order_by, rows, values)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("samples"))
-        for i, c in enumerate(df.columns)
-    ]))
-    return arrays.select(pairs.alias("r")).select("r.*")
+    pairs = ", ".join(f"struct({i} as ordinal, '{c}' as column, `{c}` as samples)" for i, c in enumerate(df.columns))
+    return arrays.selectExpr(f"inline(array({pairs}))")
 
 
 def _ordered(df: DataFrame, order_by: list[Column]) -> DataFrame:

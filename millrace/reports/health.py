@@ -109,25 +109,26 @@ def pipeline_health(pipelines: DataFrame, runs: DataFrame, ingestions: DataFrame
     ``pipelines`` has ``pipeline_id`` and ``is_paused``; ``runs`` needs ``finished_at``. One pass
     over the runs gives both the newest run and the counts, so only one row per pipeline is joined.
     """
-    recent = F.col("started_at") >= time_literal(as_of - timedelta(days=RATE_DAYS))
-    order = F.struct(F.col("started_at"), F.col("dag_run_id"))
+    since = as_of - timedelta(days=RATE_DAYS)
+    recent = f"started_at >= timestamp_ntz'{since.isoformat(sep=' ')}'"
     by_pipeline = runs.groupBy("pipeline_id").agg(
-        F.max_by(F.struct("state", "started_at", "finished_at"), order).alias("run"),
-        F.count_if(recent & _finished()).alias("runs_30d"),
-        F.count_if(recent & _is("success")).alias("ok_30d"),
+        F.expr("max_by(struct(state, started_at, finished_at), struct(started_at, dag_run_id)) as run"),
+        F.expr(f"count_if({recent} and state in ('success', 'failed')) as runs_30d"),
+        F.expr(f"count_if({recent} and state = 'success') as ok_30d"),
     )
     ingested = latest_ingestion(ingestions).withColumnRenamed("duration_seconds", "seconds")
-    zero = F.lit(0).cast("bigint")
     joined = pipelines.join(by_pipeline, "pipeline_id", "left").join(ingested, "pipeline_id", "left")
+    duration = F.when(F.col("seconds") != 0, seconds_label(F.col("seconds"))).otherwise(
+        whole_seconds_label(F.col("run.started_at"), F.col("run.finished_at")))
+    pct = success_pct(F.col("ok_30d"), F.col("runs_30d"))
     return joined.select(
         "pipeline_id",
-        F.when(F.col("is_paused"), "paused").otherwise(F.coalesce("run.state", F.lit("no runs"))).alias("state"),
+        F.expr("if(is_paused, 'paused', coalesce(run.state, 'no runs')) as state"),
         minute_label(F.col("run.started_at")).alias("last_run"),
-        F.when(F.col("seconds") != 0, seconds_label(F.col("seconds")))
-        .otherwise(whole_seconds_label(F.col("run.started_at"), F.col("run.finished_at"))).alias("duration"),
-        F.coalesce(F.col("rows_extracted").cast("string"), F.lit(MISSING)).alias("rows"),
-        F.coalesce(F.nullif(F.col("watermark"), F.lit("")), F.lit(MISSING)).alias("watermark"),
-        F.coalesce("runs_30d", zero).alias("runs_30d"),
-        F.coalesce("ok_30d", zero).alias("ok_30d"),
-        success_pct(F.col("ok_30d"), F.col("runs_30d")).alias("pct_30d"),
+        duration.alias("duration"),
+        F.expr(f"coalesce(cast(rows_extracted as string), '{MISSING}') as rows"),
+        F.expr(f"coalesce(nullif(watermark, ''), '{MISSING}') as watermark"),
+        F.expr("coalesce(runs_30d, 0) as runs_30d"),
+        F.expr("coalesce(ok_30d, 0) as ok_30d"),
+        pct.alias("pct_30d"),
     ).withColumn("tier", rate_tier(F.col("pct_30d"))).orderBy("pipeline_id")
