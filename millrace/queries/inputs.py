@@ -21,7 +21,7 @@ CELLS = {
         "o_orderkey": "cast(o_orderkey as string)",
         "o_custkey": "case when o_orderkey % 7 = 0 then '' else cast(o_custkey as string) end",
         "o_orderstatus": "o_orderstatus",
-        "o_totalprice": "cast(cast(o_totalprice as decimal(18,2)) as string)",
+        "o_totalprice": "cast(o_totalprice as string)",
         "o_rate": "cast(cast((o_orderkey % 3 - 1) * cast(o_totalprice as decimal(12,2)) * 0.125 "
                   "as decimal(20,5)) as string)",
         "o_orderdate": "cast(o_orderdate as string)",
@@ -33,7 +33,7 @@ CELLS = {
         "c_custkey": "case when c_custkey % 11 = 0 then '' else cast(c_custkey as string) end",
         "c_name": "c_name",
         "c_nationkey": "case when c_custkey % 13 = 0 then '' else cast(c_nationkey as string) end",
-        "c_acctbal": "cast(cast(c_acctbal as decimal(18,2)) as string)",
+        "c_acctbal": "cast(c_acctbal as string)",
         "c_mktsegment": "c_mktsegment",
     },
     "nation": {
@@ -44,9 +44,9 @@ CELLS = {
     "lineitem": {
         "l_orderkey": "cast(l_orderkey as string)",
         "l_linenumber": "cast(l_linenumber as string)",
-        "l_quantity": "cast(cast(l_quantity as decimal(18,2)) as string)",
-        "l_extendedprice": "cast(cast(l_extendedprice as decimal(18,2)) as string)",
-        "l_discount": "cast(cast(l_discount as decimal(18,2)) as string)",
+        "l_quantity": "cast(l_quantity as string)",
+        "l_extendedprice": "cast(l_extendedprice as string)",
+        "l_discount": "cast(l_discount as string)",
         "l_returnflag": "l_returnflag",
         "l_linestatus": "l_linestatus",
         "l_shipdate": "cast(l_shipdate as string)",
@@ -56,7 +56,7 @@ CELLS = {
         "ts": "cast(ts as string)",
         "user_id": "cast(user_id as string)",
         "event_type": "event_type",
-        "value": "cast(cast(value as decimal(18,2)) as string)",
+        "value": "cast(value as string)",
         "props": "props",
     },
 }
