@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.operators.clean import clean
-from millrace.plans.wizard import build_table, run_job
+from millrace.plans.job import build_table, run_job
 from millrace.queries.inputs import cells, raw, raw_tables, with_raw
 from millrace.queries.registry import query
 from millrace.spec import ColumnSpec as Col

@@ -11,7 +11,7 @@ from millrace.operators.quality import (
     CheckFailed, ExpectedColumn, dedupe, freshness, require, row_count, schema,
 )
 from millrace.plans.script import created_views, run_script
-from millrace.plans.wizard import build_tables, run_job
+from millrace.plans.job import build_tables, run_job
 from millrace.reports import health, lineage, metadata
 from millrace.spec import ColumnSpec, JobSpec, MetricSpec, TableSpec
 

@@ -5,7 +5,7 @@ import pytest
 from millrace.operators.clean import clean
 from millrace.plans.script import read_script, run_script
 from millrace.plans.upload import load_csv
-from millrace.plans.wizard import run_job
+from millrace.plans.job import run_job
 from millrace.spec import ColumnSpec, JobSpec, MetricSpec, TableSpec
 
 AT = datetime.datetime(2024, 5, 6)
