@@ -1,5 +1,5 @@
 """All queries of this package by name."""
 
-from . import jaccard, repetition, secrets, winnowing
+from . import extraction, jaccard, packing, repetition, secret_scan, token_spans, warc, winnowing
 
-QUERIES = {name: query for module in (repetition, winnowing, secrets, jaccard) for name, query in module.QUERIES.items()}
+QUERIES = {name: query for module in (warc, repetition, winnowing, packing, secret_scan, token_spans, jaccard, extraction) for name, query in module.QUERIES.items()}
