@@ -1,5 +1,6 @@
 """All queries of this package by name."""
 
-from . import extraction, jaccard, packing, repetition, secret_scan, token_spans, warc, winnowing
+from . import cotraining, extraction, jaccard, packing, repetition, secret_scan, token_spans, toxicity, warc, winnowing
 
-QUERIES = {name: query for module in (warc, repetition, winnowing, packing, secret_scan, token_spans, jaccard, extraction) for name, query in module.QUERIES.items()}
+MODULES = (cotraining, warc, repetition, toxicity, winnowing, packing, secret_scan, token_spans, jaccard, extraction)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
