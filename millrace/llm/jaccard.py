@@ -4,11 +4,12 @@ Each document is the set of the hashes of its n-grams, in one global order, and
 
 1. Documents with equal sets form a class; only one set per class goes on.
 2. The order by hash is cut into m fragments. Two classes of similar size that link differ in at most H n-grams, and
-   each of these touches one fragment, so with m > H they agree in whole fragments. Classes are joined by
-   (cut, fragment, sum of the hashes inside); those that share no fragment with anyone are done. Sizes fall into bands,
-   each with its own m, and a class also takes part in the next band if a partner may lie there. A fragment that is
-   empty on both sides says nothing, so m leaves room for some; a class with more empty ones than that is also cut by
-   a second hash, and so on. If two classes share too many empty fragments, both have too many, so no link is lost.
+   each of these touches one fragment, so they agree in at least m - H whole fragments. Classes are joined by (cut,
+   fragment, sum of the hashes inside); those that share too few fragments with all others together are done. Sizes fall
+   into bands, each with its own m, and a class also takes part in the next band if a partner may lie there. A fragment
+   that is empty on both sides says nothing, so m leaves room for some; a class with more empty ones than that is also
+   cut by a second hash, and so on. If two classes share too many empty fragments, both have too many, so no link is lost.
+   Keys travel packed, some thousand to a row, and are sorted bucket by bucket; the number of buckets grows with the data.
 3. Classes left over are put in the global order by frequency, rare n-grams first, and joined by the first n-grams of
    that order, with the position as a bound on the overlap. In each group of classes with the same n-gram the most
    central one is compared with all others; the components of these links leave few pairs, and all pairs of different
@@ -28,12 +29,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .components import components
 from .queries import Query, documents
 from .words import Hashes, chunks, lower_ascii, mix, ngrams, texts_of, words_of
-from .workspace import Workspace, long_lists, small
+from .workspace import Workspace, small
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 16
 #: Hashes by which a class with too many empty fragments is cut; after the last, empty fragments are keys as well.
 SEEDS = 10
+#: Fragments beyond those needed, as a share of H: so many more must be shared, which chance seldom gives.
+MORE_SHARED = 0.12
+#: N-grams per bucket of keys, about.
+BUCKET_GRAMS = 1_000_000
 
 
 class Bands:
@@ -43,15 +48,17 @@ class Bands:
         if not 50 <= percent <= 100:
             raise ValueError("percent must be 50 to 100")
         self.percent, self.ratio = percent, 100 / percent
-        top, tops, cuts, spare = 0, [], [], []
+        top, tops, cuts, spare, need = 0, [], [], [], []
         while top < 1 << 32:
             low, top = top + 1, max(top + 1, math.floor(top * max(1.25, self.ratio)) + 1)
             differ = 2 * top * (100 - percent) // (100 + percent)
             tops.append(top)
-            more = self._room(differ, low / self.ratio) if differ else 0
-            cuts.append(differ + 1 + more if differ else 0)
+            beyond = int(MORE_SHARED * differ)
+            more = self._room(differ + beyond, low / self.ratio) if differ else 0
+            cuts.append(differ + 1 + beyond + more if differ else 0)
             spare.append(more)
-        self.tops, self.cuts, self.spare = np.array(tops), np.array(cuts), np.array(spare)
+            need.append(1 + beyond)
+        self.tops, self.cuts, self.spare, self.need = np.array(tops), np.array(cuts), np.array(spare), np.array(need)
 
     @staticmethod
     def _room(differ: int, size: float) -> int:
@@ -69,10 +76,10 @@ class Bands:
         return band, size * 100 // self.percent > self.tops[band]
 
 
-def fragment_keys(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) for each fragment by which a document may meet another; ``gram`` is distinct per document."""
+def fragment_keys(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, tag, key) for each fragment by which a document may meet another; ``gram`` is distinct per document."""
     own, wider = bands.of(size)
-    out_doc, out_key = [], []
+    out_doc, out_tag, out_key = [], [], []
     for step in (0, 1):
         band = np.minimum(own + step, len(bands.tops) - 1)
         rows = np.flatnonzero((size > 0) & (bands.cuts[band] > 0) & ((step == 0) | wider))
@@ -95,13 +102,68 @@ def fragment_keys(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, bands: Ba
             name = (band[rows][owner].astype(np.uint64) * np.uint64(SEEDS) + np.uint64(seed)) * np.uint64(1 << 42) + number.astype(np.uint64)
             use = full > 0 if seed < SEEDS - 1 else np.ones(len(full), dtype=bool)
             out_doc.append(rows[owner[use]])
+            out_tag.append(band[rows][owner[use]] * SEEDS + seed)
             out_key.append(mix(mix(total[use] + full[use].astype(np.uint64)) + name[use]))
             empty = np.bincount(owner[full == 0], minlength=len(rows))
             rows = rows[empty > bands.spare[band[rows]]]
-    doc = np.concatenate(out_doc) if out_doc else np.zeros(0, np.int64)
-    key = np.concatenate(out_key) if out_key else np.zeros(0, np.uint64)
-    order = np.argsort(doc, kind="stable")
-    return doc[order], key[order]
+    if not out_doc:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(out_doc), np.concatenate(out_tag), np.concatenate(out_key)
+
+
+#: A key as it travels: its upper 48 bits. Two that only differ below make a class look shared, which later steps undo.
+_PACKED = np.dtype([("high", "<u4"), ("low", "<u2"), ("who", "<u2")])
+
+
+def packed_keys(node: np.ndarray, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, keys, who): the keys of a bucket with an index into who, the classes and tags of these rows."""
+    pair = np.stack([node.view(np.int64)[doc], tag], axis=1)
+    who, index = np.unique(pair, axis=0, return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
+    index = index.ravel()
+    rows = []
+    for begin in range(0, len(who), 1 << 16):  # an index has 16 bits
+        mine = (index >= begin) & (index < begin + (1 << 16))
+        k, i = key[mine], index[mine] - begin
+        bucket = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((i, k, bucket))
+        k, i, bucket = k[order], i[order], bucket[order]
+        once = np.ones(len(k), dtype=bool)
+        once[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+        k, i, bucket = k[once], i[once], bucket[once]
+        for at, end in zip(*_runs(bucket)):
+            used, short = np.unique(i[at:end], return_inverse=True)
+            out = np.empty(end - at, dtype=_PACKED)
+            out["high"], out["low"], out["who"] = k[at:end] >> np.uint64(32), (k[at:end] >> np.uint64(16)) & np.uint64(0xFFFF), short
+            rows.append((int(bucket[at]), out.tobytes(), who[begin + used].tobytes()))
+    columns = list(zip(*rows)) if rows else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "who"])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return at, np.append(at[1:], len(values)) if len(at) else at
+
+
+def shared_keys(bucket: pa.Table) -> pa.Table:
+    """(node, tag, shared): for each class and tag, how many keys of the bucket another class has as well."""
+    keys, nodes, tags = [], [], []
+    for packed, who in zip(bucket.column("keys").to_pylist(), bucket.column("who").to_pylist()):
+        one, pair = np.frombuffer(packed, _PACKED), np.frombuffer(who, np.int64).reshape(-1, 2)
+        keys.append((one["high"].astype(np.uint64) << np.uint64(16)) | one["low"])
+        nodes.append(pair[one["who"], 0])
+        tags.append(pair[one["who"], 1])
+    key, node, tag = np.concatenate(keys), np.concatenate(nodes), np.concatenate(tags)
+    order = np.lexsort((tag, node, key))
+    key, node, tag = key[order], node[order], tag[order]
+    once = np.ones(len(key), dtype=bool)
+    once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (tag[1:] != tag[:-1])
+    key, node, tag = key[once], node[once], tag[once]
+    met = np.zeros(len(key), dtype=bool)
+    met[1:] = key[1:] == key[:-1]
+    met[:-1] |= met[1:]
+    found, n = np.unique(np.stack([node[met], tag[met]], axis=1), axis=0, return_counts=True)
+    return pa.table({"node": pa.array(found[:, 0], pa.int64()), "tag": pa.array(found[:, 1], pa.int64()), "shared": pa.array(n, pa.int64())})
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,20 +197,28 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, gram, size, node = _sets(part, n)
-                keys = long_lists(*fragment_keys(doc, gram, size, bands)[::-1], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size), pa.array(node.view(np.int64)), keys],
-                                                 ["id", "text_key", "size", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size), pa.array(node.view(np.int64))],
+                                                 ["id", "text_key", "size", "node"])
 
     all_docs = space.keep(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        classes, f"id {kind}, text_key long, size long, node long, keys array<long>"))
+        classes, f"id {kind}, text_key long, size long, node long"))
     named = all_docs.where("size > 0")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     nodes = named.groupBy("node").agg(F.min("id").alias("label"), F.min(who).alias("who"))
 
-    # Classes that share a fragment with another class.
-    key_rows = named.select("node", F.explode("keys").alias("key"))
-    met = space.keep(key_rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    left = space.keep(key_rows.join(small(met), "key", "left_semi").select("node").distinct())
+    # Classes that share enough fragments with others.
+    buckets = (named.agg(F.sum("size")).first()[0] or 0) // BUCKET_GRAMS + 1
+
+    def keys(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                doc, gram, size, node = _sets(part, n)
+                yield packed_keys(node, *fragment_keys(doc, gram, size, bands), buckets)
+
+    met = rows.select("text").mapInArrow(keys, "bucket long, keys binary, who binary").groupBy("bucket").applyInArrow(
+        shared_keys, "node long, tag long, shared long")
+    need = F.element_at(F.array(*(F.lit(int(x)) for x in bands.need)), (F.floor(F.col("tag") / SEEDS) + 1).cast("int"))
+    left = space.keep(met.groupBy("node", "tag").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need).select("node").distinct())
 
     # Their n-grams, each class once, from the text of the document that gives the class its name.
     chosen = space.keep(nodes.join(left, "node"))
@@ -171,8 +241,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[doc[at]]), pa.array(size[doc[at]]), pa.array(piece[at]), lists],
                                                  ["node", "size", "piece", "grams"])
 
-    # A row that is there more than once would come more than once.
-    pieces = space.keep(spoken.mapInArrow(grams, "node long, size long, piece long, grams array<long>").dropDuplicates(["node", "piece"]))
+    pieces = spoken.mapInArrow(grams, "node long, size long, piece long, grams array<long>")
+    if all_docs.groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        pieces = pieces.dropDuplicates(["node", "piece"])  # a row that is there more than once would come more than once
+    pieces = space.keep(pieces)
 
     # The first n-grams of each class in the order by frequency, those of one class alone before all others.
     grams_of = pieces.select("node", "size", F.explode("grams").alias("gram"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.session import shared_folder
@@ -32,8 +30,3 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-
-def long_lists(values: np.ndarray, doc: np.ndarray, n_docs: int) -> pa.Array:
-    """A list of 64-bit numbers for each document; ``doc`` is sorted."""
-    at = np.searchsorted(doc, np.arange(n_docs + 1))
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
