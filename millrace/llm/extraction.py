@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .queries import Query
+from .words import chunks
 
 #: How elements of a page behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "html")):
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .queries import Query, documents
+from .words import chunks
 
 #: The patterns of the base and the least length of what they find.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -131,7 +132,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += pair_counts(batch.column(0).to_pylist()).ravel()
+            for part in chunks(batch, "text"):
+                total += pair_counts(part.column("text").to_pylist()).ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -155,7 +157,7 @@ def find_secrets(docs: DataFrame, table: np.ndarray | None = None, id_col: str =
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 spans = all_spans(text, table) if text else []
@@ -178,7 +180,7 @@ def redact(docs: DataFrame, table: np.ndarray | None = None, text_col: str = "te
     at = docs.columns.index(text_col)
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, text_col)):
             texts = batch.column(at).to_pylist()
             for i, text in enumerate(texts):
                 spans = all_spans(text, table) if text else []

@@ -20,7 +20,7 @@ from .words import Hashes, Texts
 #: Files of one vocabulary: the tokenizer's, and the same as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Different pieces that a task remembers.
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: White space as the pattern's \\s takes it, and the endings after an apostrophe.
@@ -29,11 +29,8 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def _classes() -> np.ndarray:
-    names = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
-    first = np.frombuffer(names.encode("ascii"), dtype=np.uint8)
-    out = np.full(len(first), _OTHER, dtype=np.uint8)
-    out[first == ord("L")] = _LETTER
-    out[first == ord("N")] = _NUMBER
+    kind = {"L": _LETTER, "N": _NUMBER}
+    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
     out[_BLANKS] = _SPACE
     return out
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .queries import Query, documents
+from .words import chunks
 
 #: Labelled rows to learn from at most, chosen by a hash of their text.
 TRAIN_ROWS = 60_000
@@ -132,7 +133,7 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon, most_known: int = 2_000_000):
+    def __init__(self, lexicon: Lexicon, most_known: int = 300_000):
         self.lexicon, self.clean, self.hit, self.most_known = lexicon, set(), {}, most_known
 
     def value(self, text: str | None) -> float:
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     rows = docs.select("doc_id", "text").where("text is not null").join(marked, "doc_id").select("text", "toxic")
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             text, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
             out = [(w, i, t) for i, (s, t) in enumerate(zip(text, toxic)) for w in {plain(w) for w in WORD.findall(s)} if len(w) >= LEAST_STEM]
             key = [hash_of(s) for s in text]
@@ -275,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
 
     def values(batches):
         scorer = Scorer(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             found = [scorer.value(s) for s in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), pa.array([bool(t) for t in batch.column("toxic").to_pylist()])], ["value", "toxic"])
 
@@ -297,7 +298,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     def work(batches):
         scorer = Scorer(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             found = [scorer.score(s) for s in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64()),
                                               pa.array([int(x >= threshold) for x in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
