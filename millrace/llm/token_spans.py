@@ -25,7 +25,7 @@ RULES = ("most", "start")
 
 def allocate(token_end: np.ndarray, section_end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token and whether it lies in several. Both partition the same bytes, given by their ends."""
-    start = np.concatenate(([0], token_end[:-1]))
+    start = np.concatenate(([0], token_end))[:-1]
     low = np.searchsorted(section_end, start, side="right")
     high = np.searchsorted(section_end, token_end, side="left")
     section = low.copy()
@@ -62,7 +62,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 section, crossing = allocate(token_end, ends, rule)
                 n_tokens = np.bincount(section, minlength=len(ends))
                 n_crossing = np.bincount(section[crossing], minlength=len(ends))
-                begin = np.concatenate(([0], ends[:-1]))
+                begin = np.concatenate(([0], ends))[:-1]
                 doc = np.searchsorted(texts.at, begin, side="right") - 1
                 chars = np.zeros(n + 1, dtype=np.int64)
                 np.cumsum((texts.data & 0xC0) != 0x80, out=chars[1:])
