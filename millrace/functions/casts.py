@@ -23,6 +23,11 @@ TRUE_WORDS = ("on", "tr", "tru", "ye")
 FALSE_WORDS = ("off", "of", "fa", "fal", "fals")
 
 
+#: Fixed value: the text that may become a DATE or a TIMESTAMP. Spark's casts ignore what follows a date after a blank or T.
+TIME_TEXT = (r"[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}"
+             r"([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)? ?(Z|UTC|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?")
+
+
 def typed(value: str, kind: str, *, ansi: bool, rounded: bool = True, trimmed: bool = False) -> str:
     """SQL for the expression ``value`` as the column type ``kind``; ``trimmed`` text needs no trim."""
     if kind == "TEXT":
@@ -33,9 +38,17 @@ def typed(value: str, kind: str, *, ansi: bool, rounded: bool = True, trimmed: b
         word = f"lower(trim(cast({value} as string)))"
         return (f"case when {word} in ({_quoted(TRUE_WORDS)}) then true "
                 f"when {word} in ({_quoted(FALSE_WORDS)}) then false else {_cast(value, 'boolean', ansi)} end")
+    if kind in ("DATE", "TIMESTAMP"):
+        return _whole_time(value, SPARK_TYPES[kind], ansi)
     return _cast(value, SPARK_TYPES[kind], ansi)
 
 
+def _whole_time(value: str, spark_type: str, ansi: bool) -> str:
+    """The cast of text that is a time as a whole; any other text fails the job."""
+    return (f"case when {value} is null or trim(cast({value} as string)) rlike '^{TIME_TEXT}$' then {_cast(value, spark_type, ansi)} "
+            f"else cast(raise_error(concat('invalid {spark_type}: ', cast({value} as string))) as {spark_type}) end")
+
+
 def _cast(value: str, spark_type: str, ansi: bool) -> str:
     if ansi:
         return f"cast({value} as {spark_type})"

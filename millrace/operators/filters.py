@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType, DataType, DecimalType, IntegralType, StringType
+from pyspark.sql.types import (
+    BooleanType, DataType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType,
+)
 
-from millrace.functions.casts import FALSE_WORDS, TRUE_WORDS
+from millrace.functions.casts import FALSE_WORDS, TIME_TEXT, TRUE_WORDS
 from millrace.spec import FilterSpec, SpecError
 
 _COMPARE = {
@@ -75,6 +78,8 @@ def _literal(spec: FilterSpec, data_type: DataType, ansi: bool) -> Column:
         if word in ("f", "false", "n", "no", "0", *FALSE_WORDS):
             return F.lit(False)
         raise _bad_value(spec, data_type)
+    if isinstance(data_type, (DateType, TimestampNTZType, TimestampType)) and not re.fullmatch(TIME_TEXT, text):
+        raise _bad_value(spec, data_type)
     value = F.lit(text)
     if ansi:
         return value.cast(data_type)

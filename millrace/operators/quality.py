@@ -71,8 +71,8 @@ def dedupe(df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column]) -
 
 
 def require(checks: DataFrame) -> DataFrame:
-    """Raise if a check failed; the result is a handful of rows."""
-    failed = checks.filter(~F.col("passed")).limit(20).collect()
+    """Raise if a check failed, naming each; a table of checks has a row per check, not per row of data."""
+    failed = checks.filter(~F.col("passed")).collect()
     if failed:
         raise CheckFailed("; ".join(str(r.asDict()) for r in failed))
     return checks

@@ -72,6 +72,11 @@ class IncrementalExtract:
         log = read_or_empty(spark, self.log_path, INGESTION_LOG)
         return log.filter((F.col("pipeline_id") == self.pipeline_id) & (F.col("table_name") == self.table_name))
 
+    def committed(self, spark: SparkSession, run_id: str) -> ExtractResult | None:
+        """What a run that has succeeded under this id has logged; a repeated call answers with it and writes nothing."""
+        row = self.log(spark).filter((F.col("id") == run_id) & (F.col("status") == "success")).orderBy("extracted_at").first()
+        return row and ExtractResult(row["rows_extracted"], row["watermark_from"], row["watermark_to"], row["path"])
+
     def run(self, source: DataFrame, ds: str, run_id: str | None = None) -> ExtractResult:
         """Extract the rows above the watermark; log the run whether it succeeds or not."""
         run_id = run_id or uuid.uuid4().hex
@@ -79,6 +84,9 @@ class IncrementalExtract:
             if not _SAFE_PART.fullmatch(part):
                 raise ValueError(f"{part!r} cannot name a folder")
         spark = source.sparkSession
+        done = self.committed(spark, run_id)
+        if done is not None:
+            return done
         started = time.monotonic()
         mark_from = self.watermark(spark)
         rows, mark_to, path, error = 0, None, None, None
@@ -116,7 +124,9 @@ class IncrementalExtract:
         layout = StructType(list(schema.fields)).add("ds", StringType()).add("run_id", StringType())
         landed = read_or_empty(spark, self.data_path, layout)
         committed = self.log(spark).filter((F.col("status") == "success") & (F.col("rows_extracted") > 0))
-        return landed.join(committed.select(F.col("id").alias("run_id")).distinct(), "run_id", "left_semi").select(
+        # The folder of a run is named by both; another day's folder with the same id belongs to an attempt that failed.
+        day = F.regexp_extract("path", "/ds=([^/]+)/run_id=[^/]+$", 1)
+        return landed.join(committed.select(day.alias("ds"), F.col("id").alias("run_id")).distinct(), ["ds", "run_id"], "left_semi").select(
             *layout.names
         )
 

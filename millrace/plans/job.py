@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +43,11 @@ def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str
     ``raw_<table>``.
     """
     if job.custom_sql:
-        if not callable(tables):
-            for name, df in tables.items():
-                create_view(df, "raw", name)
+        if callable(tables):
+            names = [name for spec in job.tables for name in (spec.name, *(join.table for join in spec.joins))]
+            tables = {name: tables(name) for name in dict.fromkeys(names)}
+        for name, df in tables.items():
+            create_view(df, "raw", name)
         views = run_script(spark, job.custom_sql).views
     else:
         views = []
@@ -60,5 +62,5 @@ def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str
                 views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))
     if export_to is None:
         return dict.fromkeys(views)
-    at = at or datetime.now()
+    at = at or datetime.now(timezone.utc).replace(tzinfo=None)
     return {view: export_csv(spark.table(view), export_to, view, at) for view in views}

@@ -15,6 +15,8 @@ _CREATES_VIEW = re.compile(
     r"((?:`[^`]+`|\w+)(?:\s*\.\s*(?:`[^`]+`|\w+))*)",
     re.IGNORECASE,
 )
+# Fixed value: comments, text in quotes, and quoted names (which are kept).
+_NO_CODE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,7 @@ def read_script(spark: SparkSession, path: str) -> str:
 
 
 def created_views(sql: str) -> list[str]:
-    """The names in the script's CREATE VIEW statements."""
-    names = [re.sub(r"[`\s]", "", n) for n in _CREATES_VIEW.findall(sql)]
+    """The names in the script's CREATE VIEW statements; comments and quoted text are no statements."""
+    code = _NO_CODE.sub(lambda m: m[0] if m[0].startswith("`") else " ", sql)
+    names = [re.sub(r"[`\s]", "", n) for n in _CREATES_VIEW.findall(code)]
     return list(dict.fromkeys(names))

@@ -122,20 +122,17 @@ def status_totals(spark, sf_dir):
 
 
 @query("staging_model", """
-    select cast(cast(o_orderdate as date) as varchar) as event_date, o_orderstatus as status, count(*) as total,
-           cast(sum(cast(o_totalprice as decimal(18,2))) as double) as revenue_usd
-    from orders group by 1, 2""")
+    select extract(year from o_orderdate) * 12 + extract(month from o_orderdate) - 1 as month_no, o_orderpriority as priority,
+           count(o_orderkey) as orders, cast(max(cast(o_totalprice as decimal(18,2))) as double) as dearest
+    from orders where o_orderstatus <> 'P' group by 1, 2""")
 def staging_model(spark, sf_dir):
-    read(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as id", "o_custkey as customer_id", "cast(round(o_totalprice * 100) as bigint) as amount",
-        "o_orderstatus as status", "o_orderdate as created_at",
-    ).createOrReplaceTempView("raw_charges")
+    read(spark, sf_dir, "orders").createOrReplaceTempView("raw_orders")
     return run_script(spark, """
-        CREATE OR REPLACE TEMPORARY VIEW stg_charges AS
-        SELECT id, customer_id, amount / 100.0 AS amount_usd, status, CAST(created_at AS DATE) AS event_date
-        FROM raw_charges;
-        SELECT event_date, status, COUNT(*) AS total, SUM(amount_usd) AS revenue_usd
-        FROM stg_charges GROUP BY event_date, status;
+        create or replace temp view settled_orders as
+        select year(o_orderdate) * 12 + month(o_orderdate) - 1 as month_no, o_orderpriority, cast(o_totalprice as decimal(18,2)) as price
+        from raw_orders where o_orderstatus <> 'P';
+        select cast(month_no as bigint) as month_no, o_orderpriority as priority, count(price) as orders, max(price) as dearest
+        from settled_orders group by all;
     """).result
 
 

@@ -118,8 +118,9 @@ def failed(spark, sf_dir):
 
 
 @query("retry_counts", with_derived("tasks", """
-    select pipeline_id, task_id, max(try_number) as max_tries, count(*) as total_attempts
-    from tasks group by pipeline_id, task_id having max(try_number) > 1"""))
+    select * from (
+        select task_id, pipeline_id, count(task_id) as total_attempts, max(try_number) as max_tries from tasks group by 1, 2) t
+    where max_tries >= 2"""))
 def retries(spark, sf_dir):
     return retry_counts(derived(spark, sf_dir, "tasks"))
 
@@ -131,17 +132,18 @@ def by_stage(spark, sf_dir):
 
 
 @query("task_success_pct", with_derived("tasks", """
-    select round(100.0 * count(*) filter (where state = 'success') / count(*), 1) as success_pct from tasks"""))
+    select round(avg(case state when 'success' then 100.0 else 0 end), 1) as success_pct from tasks"""))
 def task_success(spark, sf_dir):
     return task_success_pct(derived(spark, sf_dir, "tasks"))
 
 
 @query("success_rate_7d", with_derived("runs", f"""
-    select pipeline_id, count(*) filter (where state = 'success') as ok,
-           count(*) filter (where state = 'failed') as failed,
-           round(count(*) filter (where state = 'success')
-                 / nullif(count(*) filter (where state in ('success', 'failed')), 0) * 100, 1) as success_pct
-    from runs where started_at >= {AS_OF_SQL} - interval '7 days' group by pipeline_id"""))
+    , recent as (
+    select pipeline_id, sum(case state when 'success' then 1 else 0 end) as ok, sum(case state when 'failed' then 1 else 0 end) as failed
+    from runs where {AS_OF_SQL} - interval '7 days' <= started_at group by 1)
+    select pipeline_id, cast(ok as bigint) as ok, cast(failed as bigint) as failed,
+           case when ok + failed > 0 then round(ok / (ok + failed) * 100, 1) end as success_pct
+    from recent"""))
 def success_rate_7d(spark, sf_dir):
     return success_rate(derived(spark, sf_dir, "runs"), AS_OF)
 

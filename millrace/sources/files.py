@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -44,14 +45,16 @@ class Landing:
 
 def land_files(spark: SparkSession, path: str, dest: str, ds: str, *, glob: str = "*.csv",
                multi_line: bool | None = None) -> Landing:
-    """Land every matching file below ``path`` as raw rows in ``dest/ds=<ds>``.
+    """Land every matching file below ``path`` as raw rows in ``dest/ds=<ds>/source=<id>``.
 
-    Each row keeps the full path of its file, so equal names in different folders stay apart. Landing
-    the same day again replaces that day. No matching file is a warning, not an error.
+    Each row keeps the full path of its file, so equal names in different folders stay apart. Each source (path and
+    glob) has its own folder below the day; landing it again on the same day replaces that folder alone. No matching
+    file is a warning, not an error.
     """
     from millrace.sources.csv import read_raw
 
-    target = f"{dest.rstrip('/')}/ds={ds}"
+    source = hashlib.sha1(f"{path.rstrip('/')}\n{glob}".encode()).hexdigest()[:12]
+    target = f"{dest.rstrip('/')}/ds={ds}/source={source}"
     count = list_files(spark, path, glob=glob).count()
     if count == 0:
         log.warning("no files match %s below %s", glob, path)

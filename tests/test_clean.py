@@ -167,3 +167,18 @@ def test_filters_reach_the_scan_of_a_stored_raw_table(spark, raw, tmp_path):
     plan = plan_of(df)
     assert "EqualTo(a,x)" in plan and "c:string" not in plan
     assert rows(df) == [(1,)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP"])
+def test_times_are_taken_whole_or_not_at_all(spark, raw, ansi, kind):
+    spec = TableSpec("t", [Col("v", kind)])
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for wrong in ("2024-01-01 garbage", "2024-01-01Tzzz", "2024", "2024-01"):
+            with pytest.raises(Exception, match="(?i)invalid"):
+                clean(spec, {"t": raw("v", wrong)}).collect()
+        for right in ("2024-01-05", "2024-1-5", "2024-01-05 10:20:30", "2024-01-05T10:20:30.5Z", "2024-01-05 10:20:30+02:00"):
+            assert str(clean(spec, {"t": raw("v", right)}).first()[0]).startswith("2024-01-05")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -122,3 +122,17 @@ def test_the_mark_does_not_depend_on_the_zone_of_the_machine(spark, job):
     finally:
         os.environ.pop("TZ") if old is None else os.environ.update(TZ=old)
         time.tzset()
+
+
+def test_a_repeated_committed_run_answers_without_writing(spark, job):
+    first = job.run(source(spark, 1, 10), "2024-01-01", "r1")
+    assert job.run(source(spark, 1, 12), "2024-01-01", "r1") == first
+    assert job.run(source(spark, 1, 12), "2024-01-02", "r1") == first
+    assert ids(job, spark) == list(range(1, 11))
+
+
+def test_one_id_under_two_days_is_read_once(spark, job):
+    # The first attempt dies between its rows and the log; the next one runs on another day.
+    source(spark, 1, 10).write.parquet(f"{job.data_path}/ds=2024-01-01/run_id=r1")
+    assert job.run(source(spark, 1, 10), "2024-01-02", "r1").rows == 10
+    assert ids(job, spark) == list(range(1, 11))
