@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .queries import Query, documents
 from .words import chunks
+from .workspace import Workspace, small
 
 #: Labelled rows to learn from at most, chosen by a hash of their text.
 TRAIN_ROWS = 60_000
@@ -229,7 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     share = min(1.0, train_rows / max(1, marked.count()))
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select("doc_id", "text").where("text is not null").join(marked, "doc_id").select("text", "toxic")
+    space = Workspace(docs.sparkSession, "toxicity")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).where("text is not null")
+    # One document of each text, found by hashes, so that neither texts nor their words are shuffled.
+    chosen = texts.select("doc_id", "text_key").join(marked, "doc_id").groupBy("text_key").agg(F.min(F.struct("doc_id", "toxic")).alias("one"))
+    chosen = space.keep(chosen.select("text_key", "one.doc_id", "one.toxic"))
+    rows = texts.join(small(chosen), ["doc_id", "text_key"]).select("text", "toxic")
 
     def count(batches):
         for batch in (part for whole in batches for part in chunks(whole, "text")):
@@ -248,11 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic:
         return Lexicon()
-    spoken = rows.mapInArrow(count, "word string, doc long, toxic boolean").distinct()
-    table = spoken.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    table = rows.mapInArrow(count, "word string, doc long, toxic boolean").groupBy("word").agg(
+        F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    table = space.keep(table)
     # Per beginning of four letters: does any word under it occur mostly in toxic texts?
     hopeful = table.where((F.col("bad") > 0) & (F.col("good") * n_toxic < F.col("bad") * max(1, n_other) * 0.05)).select("word")
-    pairs = spoken.where("toxic").join(hopeful, "word").groupBy("word").agg(F.collect_list("doc").alias("docs"))
+    spoken = rows.where("toxic > 0").mapInArrow(count, "word string, doc long, toxic boolean").select("word", "doc").distinct()
+    pairs = spoken.join(hopeful, "word").groupBy("word").agg(F.collect_list("doc").alias("docs"))
     stems = hopeful.select(F.substring("word", 1, LEAST_STEM).alias("stem")).distinct()
     good = table.where("good > 0").withColumn("stem", F.substring("word", 1, LEAST_STEM)).join(stems, "stem", "left_semi").select("word", "good")
     words = {r.word: (r.docs, 0) for r in pairs.collect()}
