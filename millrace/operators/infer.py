@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.cells import as_text, normalize_cells
 
@@ -55,10 +55,15 @@ def infer_types(df: DataFrame, order_by: list[Column] | None = None, sample_valu
             for c in df.columns
         ])
         return _by_column(masks, df.columns)
-    # Stripped in a projection of its own: the patterns below look at each cell several times.
+    # One row per cell and one expression for all of them, so that the generated code does not grow with the columns.
+    # The second table gives each column a row, also where the first has none.
     cells = normalize_cells(as_text(df))
-    masks = cells.selectExpr(*[f"bit_and({fitting_types(f'`{c}`')}) as `{c}`" for c in df.columns])
-    return _by_column(masks, df.columns)
+    each = ", ".join(f"`{c}`" for c in df.columns)
+    values = cells.selectExpr(f"posexplode(array({each})) as (ordinal, cell)").selectExpr("ordinal", f"{fitting_types('cell')} as bits")
+    none = df.sparkSession.range(len(df.columns)).selectExpr("int(id) as ordinal", "cast(null as int) as bits")
+    masks = values.unionByName(none).groupBy("ordinal").agg(F.bit_and("bits").alias("bits"))
+    names = ", ".join(f"'{c}'" for c in df.columns)
+    return masks.selectExpr("ordinal", f"element_at(array({names}), ordinal + 1) as column", f"{_name_of('bits')} as type").orderBy("ordinal")
 
 
 def _by_column(masks: DataFrame, names: list[str]) -> DataFrame:

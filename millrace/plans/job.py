@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -34,11 +34,13 @@ def build_tables(specs: Iterable[TableSpec], tables: Tables) -> dict[str, TableR
 
 
 def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str | None = None,
-            export_to: str | None = None, at: datetime | None = None) -> dict[str, str | None]:
+            export_to: str | None = None, at: datetime | None = None,
+            partition_by: Mapping[str, Sequence[str]] | None = None) -> dict[str, str | None]:
     """Create the views of a job and, with ``export_to``, a CSV snapshot of each.
 
     Returns view name to snapshot folder. Views are lazy, so each reader computes them again;
     ``store_at`` writes each clean table there once, as Parquet, and puts the views on top of that.
+    ``partition_by`` names, for a table, the columns that its stored form is partitioned by.
     With ``custom_sql`` the script runs in place of the generated views; it sees the raw tables as
     ``raw_<table>``.
     """
@@ -55,8 +57,9 @@ def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str
             cleaned = clean(spec, tables)
             if store_at is not None:
                 path = f"{store_at.rstrip('/')}/{spec.name}"
-                cleaned.write.mode("overwrite").parquet(path)
-                cleaned = spark.read.parquet(path)
+                schema = cleaned.schema
+                cleaned.write.mode("overwrite").partitionBy(*(partition_by or {}).get(spec.name, ())).parquet(path)
+                cleaned = spark.read.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
             views.append(create_view(cleaned, "clean", spec.name))
             if spec.metrics:
                 views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_name
 from millrace.operators.infer import infer_types
 from millrace.operators.sample import SAMPLE_ROWS, column_samples
 from millrace.sinks.tables import replace_raw
-from millrace.sources.csv import read_raw, scan_csv
+from millrace.sources.csv import PROVENANCE, read_raw, scan_csv
 from millrace.sources.files import list_files
 
 
@@ -36,12 +37,12 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
              first_rows: int | None = None, sample_values: int | None = None, multi_line: bool | None = None) -> Upload:
     """Store all rows of ``path`` as the raw table at ``dest/<table>`` and profile them.
 
-    ``first_rows`` stores only that many, from the head of the first file. Types are inferred over
-    all stored rows, or over ``sample_values`` values at the head. No data rows is an error.
+    ``first_rows`` stores only that many, from the head of the files in path order. Types are inferred
+    over all stored rows, or over ``sample_values`` values at the head. No data rows is an error.
     """
     name = safe_name(table)
     head = _head(spark, path, max(SAMPLE_ROWS, first_rows or 0))
-    if head.isEmpty():
+    if head is None:
         raise ValueError(f"no data rows under {path}")
     order = [F.col("_row")]
     if first_rows is None:
@@ -60,11 +61,32 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
     return Upload(name, raw, columns, stored, total)
 
 
-def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFrame:
-    """The first rows of the first file, numbered. One file in one task keeps its order under
-    ``limit``, and is read no further."""
-    first = list_files(spark, path, recursive=False).agg(F.min("path").alias("path")).first()["path"]
-    if first is None:
+def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFrame | None:
+    """The first rows of the files in path order, numbered; None if there are none.
+
+    One file in one task keeps its order under ``limit``, and is read no further. Only if the first
+    file has too few rows are more files looked at, ever more at once, as many files of a folder may
+    have none.
+    """
+    files = list_files(spark, path, recursive=False)
+    if files.isEmpty():
         raise FileNotFoundError(f"no files under {path}")
-    scan = normalize_cells(scan_csv(spark, first, multi_line=True))
-    return scan.withColumn("_row", F.monotonically_increasing_id()).limit(rows)
+    files = files.filter("length > 0").orderBy("path")
+    parts, found, seen, many = [], 0, 0, 1
+    while found < rows:
+        paths = [r["path"] for r in files.offset(seen).limit(many).select("path").collect()]
+        if not paths:
+            break
+        scan = scan_csv(spark, paths, multi_line=True, provenance=len(paths) > 1)
+        if len(paths) == 1:
+            part = normalize_cells(scan).withColumn("_row", found + F.monotonically_increasing_id()).limit(rows - found)
+        else:
+            place = F.struct("source_path", F.monotonically_increasing_id().alias("at"))
+            first = scan.withColumn("_row", place).orderBy("_row").limit(rows - found)
+            number = found - 1 + F.row_number().over(Window.orderBy("_row")).cast("bigint")
+            cells = scan.columns[:-len(PROVENANCE)]
+            part = normalize_cells(first.select(*cells, number.alias("_row")), cells)
+        if n := part.count():
+            parts.append(part)
+        found, seen, many = found + n, seen + len(paths), many * 8
+    return reduce(DataFrame.unionByName, parts) if parts else None

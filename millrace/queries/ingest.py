@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators.infer import infer_types
+from millrace.operators.infer import BITS, BOOLEAN_WORDS, DATE, INTEGER, NUMERIC, TIMESTAMP, infer_types
 from millrace.operators.sample import column_samples, preview
 from millrace.plans.upload import load_csv
 from millrace.queries.inputs import AS_OF, CELLS, cells, raw, read, with_raw
@@ -20,18 +20,14 @@ COLUMNS = list(CELLS["orders"])
 
 
 def _infer_sql() -> str:
-    def every(column, condition):
-        return f"coalesce(bool_and({condition.format(c=column)}), false)"
+    def every(column, kind):
+        fits = {"INTEGER": INTEGER, "NUMERIC": NUMERIC, "DATE": DATE, "TIMESTAMP": TIMESTAMP}
+        test = f"regexp_matches({column}, '{fits[kind]}')" if kind in fits else f"lower({column}) in {BOOLEAN_WORDS}"
+        return f"coalesce(bool_and({test}), false)"
 
     rows = [
         f"select {i} as ordinal, '{c}' as \"column\", case when count({c}) = 0 then 'TEXT' "
-        + " ".join(f"when {every(c, cond)} then '{kind}'" for kind, cond in (
-            ("INTEGER", r"regexp_matches({c}, '^-?\d+$')"),
-            ("NUMERIC", r"regexp_matches({c}, '^-?\d+\.?\d*$')"),
-            ("DATE", r"regexp_matches({c}, '^\d{{4}}-\d{{2}}-\d{{2}}$')"),
-            ("TIMESTAMP", r"regexp_matches({c}, '^\d{{4}}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}')"),
-            ("BOOLEAN", "lower({c}) in ('true', 'false', '1', '0', 'yes', 'no')"),
-        )) + " else 'TEXT' end as type from raw_orders"
+        + " ".join(f"when {every(c, kind)} then '{kind}'" for kind in BITS) + " else 'TEXT' end as type from raw_orders"
         for i, c in enumerate(COLUMNS)
     ]
     return with_raw("orders", " union all ".join(rows))

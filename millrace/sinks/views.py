@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from millrace.functions.names import safe_name
@@ -23,12 +25,15 @@ def create_view(df: DataFrame, layer: str, table: str) -> str:
     return name
 
 
-def store_table(df: DataFrame, layer: str, table: str, path: str | None = None) -> str:
-    """Create or replace ``<layer>.<table>`` in the catalog, computed once."""
+def store_table(df: DataFrame, layer: str, table: str, path: str | None = None, partition_by: Sequence[str] = ()) -> str:
+    """Create or replace ``<layer>.<table>`` in the catalog, computed once.
+
+    Filters on the columns of ``partition_by`` skip whole folders.
+    """
     if layer not in LAYERS:
         raise ValueError(f"unknown layer {layer!r}; use one of {LAYERS}")
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
     name = f"{layer}.{safe_name(table)}"
-    writer = df.write.mode("overwrite").format("parquet")
+    writer = df.write.mode("overwrite").format("parquet").partitionBy(*partition_by)
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return name

@@ -91,3 +91,22 @@ def test_file_order_is_the_order_of_lines(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [str(i) for i in range(700)]
+
+
+def test_many_columns_cost_one_expression(spark):
+    wide = spark.range(100).selectExpr(*[f"cast(id + {i} as string) as c{i}" for i in range(400)])
+    types = infer_types(wide)
+    assert plan_of(types).count("RLIKE") <= 8
+    assert [r["type"] for r in types.collect()] == ["INTEGER"] * 400
+
+
+def test_a_table_without_rows_has_text_columns(raw):
+    assert [tuple(r) for r in infer_types(raw("a b")).collect()] == [(0, "a", "TEXT"), (1, "b", "TEXT")]
+
+
+def test_text_of_unreadable_payloads_is_kept(spark):
+    from millrace.sources.payload import expand_payload
+
+    df = spark.createDataFrame([(1, '{"k": 3}'), (2, "{oops"), (3, None)], "id INT, p STRING")
+    got = expand_payload(df, "p", "k INT", unreadable="bad").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 3, None), (2, None, "{oops"), (3, None, None)]

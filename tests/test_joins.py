@@ -63,3 +63,25 @@ def test_salt_spreads_a_hot_key_without_changing_the_result(spark, how):
         assert "_millrace" not in " ".join(salted.columns)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_key_is_split_in_each_of_two_joins_on_it(spark):
+    hot = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+    base = spark.range(0, 200_000, 1, 8).select(hot.alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("id"))
+    other = spark.range(0, 2000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("v"))
+    other = other.union(spark.sql("select 'hot', 'h'"))
+    spec = TableSpec("a", [Col("id")], joins=[JoinSpec("b", "k", "k", "LEFT"), JoinSpec("c", "k", "k", "LEFT")],
+                     computed=[ComputedSpec("v", "b.v"), ComputedSpec("w", "c.v")])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200000",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100000"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = clean(spec, {"a": base, "b": other, "c": other})
+        assert df.groupBy("v", "w").count().filter("v = 'h' and w = 'h'").first()["count"] == 100_000
+        df.collect()
+        assert plan_of(df).count("SortMergeJoin(skew=true) LeftOuter") == 2
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from conftest import plan_of
 
 from millrace.operators.clean import clean
 from millrace.plans.script import read_script, run_script
@@ -49,6 +50,26 @@ def test_nothing_to_load(spark, tmp_path):
         load_csv(spark, str(tmp_path / "in"), "t", str(tmp_path / "raw"))
 
 
+def test_the_head_goes_on_in_later_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(["", "n,source_id\n", "n,source_id\n0,a\n1,b\n", "n,source_id\n2, c \n", "n,source_id\n3,d\n4,e\n"]):
+        (tmp_path / f"in/{i}.csv").write_text(text)
+    done = load_csv(spark, str(tmp_path / "in"), "t", str(tmp_path / "raw"), first_rows=4)
+    assert sorted((r["n"], r["source_id"]) for r in done.raw.collect()) == [("0", "a"), ("1", "b"), ("2", "c"), ("3", "d")]
+    assert (done.rows, done.total_rows) == (4, 5)
+    done = load_csv(spark, str(tmp_path / "in"), "t", str(tmp_path / "raw2"))
+    assert done.rows == 5 and profile(done)[0] == (0, "n", "INTEGER", ["0", "1", "2"])
+
+
+def test_stored_tables_are_pruned_by_partition(spark, raw, tmp_path):
+    spec = TableSpec("t", [ColumnSpec("day", "DATE"), ColumnSpec("v", "INTEGER")])
+    tables = {"t": raw("day v", ("2024-01-01", "1"), ("2024-01-02", "2"))}
+    run_job(spark, JobSpec([spec]), tables, store_at=str(tmp_path), partition_by={"t": ["day"]})
+    df = spark.table("clean_t").filter("day = date'2024-01-02'")
+    assert "PartitionFilters: [isnotnull(day" in plan_of(df)
+    assert [tuple(r) for r in df.collect()] == [(datetime.date(2024, 1, 2), 2)] and spark.table("clean_t").columns == ["day", "v"]
+
+
 def test_from_files_to_stored_views_and_snapshots(spark, folder):
     raw = load_csv(spark, str(folder / "in/a.csv"), "orders", str(folder / "raw"), as_of=AT).raw
     spec = TableSpec("orders", [ColumnSpec("Order ID", "INTEGER"), ColumnSpec("day", "DATE")], group_by=["day"],
