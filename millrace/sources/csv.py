@@ -1,16 +1,13 @@
 """CSV files as raw text tables.
 
-Quoted cells may hold line breaks, so Spark's reader takes such a file from its start, in one task.
-That is no loss for a file of one split or less. Larger files are looked at first: when each line is
-a whole record they are read in plain splits, and when quotes only enclose cells their records are
-put together from the splits. Only a large file with stray quotes is left to one task.
+Quoted cells may hold line breaks, so Spark's reader takes such a file from its start, in one task. The lines are looked at
+first, in splits: when each is a whole record, the files are read in plain splits; otherwise their records are put together
+from the splits. Neither depends on the size of the files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,16 +15,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_names
 from millrace.sources.files import decoded_path, file_name, list_files
-from millrace.sources.records import assemble_records, parse_records
+from millrace.sources.records import WHOLE_RECORD, assemble_records, parse_records
 
 # The dialect, comma-separated UTF-8 with doubled quotes; every cell is text.
 DIALECT = {"sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
-# A line that is a whole record: each cell is quoted in full or holds no quote. Possessive, so that
-# a long line costs one pass.
-_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
-WHOLE_RECORD = f"^{_CELL}(?:,{_CELL})*+$"
-
 PROVENANCE = ("source_path", "source_name", "source_modified_at")
 
 
@@ -36,8 +28,9 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
     """All rows of the CSV files under ``path``: normalised column names, text cells as written.
 
     The header of the first file names the columns; a file with another header is an error. Short
-    rows are filled with NULL and extra cells dropped. ``multi_line`` decides by file when None;
-    False promises that no cell holds a line break. ``provenance`` adds where each row came from.
+    rows are filled with NULL and extra cells dropped. ``multi_line`` looks at the lines when None;
+    False promises that no cell holds a line break, True reads each file in one task.
+    ``provenance`` adds where each row came from.
     """
     files = list_files(spark, path, glob=glob, recursive=recursive)
     first = files.agg(F.min("path").alias("path")).first()["path"]
@@ -45,46 +38,22 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
         raise FileNotFoundError(f"no files under {path}")
     header = _header(spark, first)
     names = safe_names(header)
-    schema = StructType([StructField(h or "", StringType()) for h in header])
-
-    def read(paths: str | Sequence[str], multi_line: bool, **options) -> DataFrame:
-        scan = spark.read.schema(schema).options(**DIALECT, **options).csv(
-            paths, header=True, multiLine=multi_line, enforceSchema=False)
-        if not provenance:
-            return scan.toDF(*names)
+    where = {"recursiveFileLookup": recursive, **({"pathGlobFilter": glob} if glob else {})}
+    added = PROVENANCE if provenance else ()
+    if multi_line is None and has_split_records(spark, path, **where):
+        schema = StructType([StructField(n, StringType()) for n in names])
+        rows = parse_records(assemble_records(spark, path, **where), header, schema, DIALECT)
+        file = decoded_path(F.col("file"))
+        source = [file, file_name(file), F.col("modified_at")]
+        cells = [F.col(f"cells.`{n}`") for n in names]
+    else:
+        schema = StructType([StructField(h or "", StringType()) for h in header])
+        rows = spark.read.schema(schema).options(**DIALECT, **where).csv(
+            path, header=True, multiLine=bool(multi_line), enforceSchema=False)
         source = [decoded_path(F.col("_metadata.file_path")), decoded_path(F.col("_metadata.file_name")),
                   F.col("_metadata.file_modification_time")]
-        return scan.select("*", *[c.alias(n) for c, n in zip(source, PROVENANCE)]).toDF(*names, *PROVENANCE)
-
-    def assemble(paths: list[str]) -> DataFrame:
-        text = StructType([StructField(n, StringType()) for n in names])
-        parsed = parse_records(assemble_records(spark, paths), text, DIALECT)
-        if not provenance:
-            return parsed.select(*names)
-        file = decoded_path(F.col("file"))
-        return parsed.select(*names, file.alias(PROVENANCE[0]), file_name(file).alias(PROVENANCE[1]),
-                             F.col("modified_at").alias(PROVENANCE[2]))
-
-    where = {"recursiveFileLookup": recursive, **({"pathGlobFilter": glob} if glob else {})}
-    if multi_line is not None:
-        return read(path, multi_line, **where)
-    large = [r["path"] for r in files.filter(F.col("length") > _split_bytes(spark)).select("path").collect()]
-    if not large:
-        return read(path, True, **where)
-    broken = files_with_split_records(spark, large)
-    stray = files_with_stray_quotes(spark, sorted(broken)) if broken else set()
-    parts = []
-    if plain := [p for p in large if p not in broken]:
-        parts.append(read(plain, False))
-    if assembled := sorted(broken - stray):
-        for file in assembled:
-            if _header(spark, file) != header:
-                raise ValueError(f"the header of {file} differs from that of {first}")
-        parts.append(assemble(assembled))
-    done = {*plain, *assembled}
-    if rest := [r["path"] for r in files.select("path").collect() if r["path"] not in done]:
-        parts.append(read(rest, True))
-    return reduce(DataFrame.unionByName, parts)
+        cells = ["*"]
+    return rows.select(*cells, *[c.alias(n) for c, n in zip(source, added)]).toDF(*names, *added)
 
 
 def read_raw(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
@@ -94,21 +63,9 @@ def read_raw(spark: SparkSession, path: str | Sequence[str], **options) -> DataF
     return normalize_cells(scan, cells)
 
 
-def files_with_split_records(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """The files in which some line is not a whole record."""
-    lines = spark.read.text(list(paths))
-    found = (
-        lines.filter(~F.col("value").rlike(WHOLE_RECORD))
-        .select(F.col("_metadata.file_path").alias("path")).distinct()
-    )
-    return {unquote(r["path"]) for r in found.collect()}
-
-
-def files_with_stray_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """The files in which quotes do more than enclose cells, so that records cannot be told by them."""
-    records = assemble_records(spark, paths)
-    found = records.filter(F.col("record").isNull() | ~F.col("record").rlike(WHOLE_RECORD)).select("file").distinct()
-    return {unquote(r["file"]) for r in found.collect()}
+def has_split_records(spark: SparkSession, path: str | Sequence[str], **options) -> bool:
+    """Whether some line is not a whole record."""
+    return not spark.read.options(**options).text(path).filter(~F.col("value").rlike(WHOLE_RECORD)).isEmpty()
 
 
 def _header(spark: SparkSession, file: str) -> list[str | None]:
@@ -116,9 +73,3 @@ def _header(spark: SparkSession, file: str) -> list[str | None]:
     if row is None:
         raise ValueError(f"no header in {file}")
     return list(row)
-
-
-def _split_bytes(spark: SparkSession) -> int:
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").lower().rstrip("b")
-    units = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
-    return int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)

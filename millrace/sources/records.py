@@ -1,9 +1,9 @@
-"""Large CSV files with line breaks inside quoted cells, read in parallel splits.
+"""CSV files with line breaks inside quoted cells, read in parallel splits.
 
-Where a line starts inside a quoted cell depends on all quotes before it in the file. Their number
-is summed per split first, which leaves one small row per split; carried over the splits of a file
-it says for every split whether it starts inside a cell. The lines of each split are then grouped
-into records, and only the pieces of a record that crosses a split are put together across splits.
+Whether a line starts inside a quoted cell depends on all lines before it in the file. Each line says how it would end if
+it started outside a cell, and if it started inside one. These answers are put together to one small row per split;
+carried over the splits of a file they tell how every split starts. The lines of each split are then grouped into records,
+and only the pieces of a record that crosses a split are put together across splits.
 """
 
 from __future__ import annotations
@@ -13,54 +13,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-#: A record longer than this in a well-formed file is unlikely; a stray quote makes such ones.
-LONGEST_RECORD = 64 * 2**20
+# A cell is quoted if it begins with a quote, and then ends with the next quote that is not doubled; text after
+# that, up to the comma, and quotes in other cells are plain text. Possessive, so that a long line costs one pass.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+"[^,]*+'
+_CELL = rf'(?:"{_QUOTED}|[^",][^,]*+|)'
+#: A line that ends outside a cell, if it starts outside one and if it starts inside one.
+WHOLE_RECORD = f"^{_CELL}(?:,{_CELL})*+$"
+CLOSING = f"^{_QUOTED}(?:,{_CELL})*+$"
 
-_SPLIT = ["file", "block"]
+#: A record over several splits that is longer raises: Spark cannot hold much longer texts.
+LONGEST_RECORD = 2**30
 
+_SPLIT = ["file", "block"]
 
-def assemble_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``(file, modified_at, block, n, record)``: every record of the files as one text.
 
-    Correct where quotes are only used to enclose cells. Elsewhere some record will not look like
-    one, or ``record`` is NULL because it grew past ``LONGEST_RECORD``.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+def assemble_records(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+    """``(file, modified_at, block, n, record)``: every record of the files as one text."""
+    quoted = F.contains("value", F.lit('"'))
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_modification_time").alias("modified_at"),
-        F.monotonically_increasing_id().alias("pos"), (quotes % 2).alias("odd"), "value",
+        F.col("_metadata.file_modification_time").alias("modified_at"), F.monotonically_increasing_id().alias("pos"),
+        F.when(quoted & ~F.col("value").rlike(WHOLE_RECORD), 1).otherwise(0).alias("open0"),
+        F.when(quoted & F.col("value").rlike(CLOSING), 0).otherwise(1).alias("open1"), "value",
     )
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy(*_SPLIT).agg(F.sum("odd").alias("odd")).select(
-        *_SPLIT, (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("opens_inside"))
-
-    in_split = Window.partitionBy(*_SPLIT).orderBy("pos")
-    earlier = F.coalesce(F.sum("odd").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.when((F.col("opens_inside") + earlier) % 2 == 0, 1).otherwise(0)
-    numbered = lines.join(splits, _SPLIT).withColumn("starts", starts).withColumn(
-        "n", F.sum("starts").over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    # Same keys as the windows, so the grouping needs no shuffle of its own. Text past the limit goes
-    # no further than its own split.
-    length = F.sum(F.length("value").cast("bigint") + 1)
+    summed = _steps(lines.select(*_SPLIT, "pos", "open0", "open1"), _SPLIT, ["pos"]).groupBy(*_SPLIT).agg(
+        F.max("flips").alias("all"), F.max_by(_fixed(), F.when(_fixed().isNotNull(), F.col("pos"))).alias("fixed"))
+    open0, open1 = (_after(F.col("fixed"), F.col("all"), F.lit(s)) for s in (0, 1))
+    splits = summed.select(*_SPLIT, open0.alias("open0"), open1.alias("open1"))
+    splits = _with_state(splits, ["file"], ["block"], F.lit(0)).select(*_SPLIT, F.col("state").alias("split_state"))
+
+    numbered = _with_state(lines.join(splits, _SPLIT), _SPLIT, ["pos"], F.col("split_state"))
+    in_split = Window.partitionBy(*_SPLIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = numbered.withColumn("n", F.sum(1 - F.col("state")).over(in_split))
+
+    # Same keys as the windows, so the grouping needs no shuffle of its own.
+    ends = F.when(F.col("state") == 0, F.col("open0")).otherwise(F.col("open1"))
     pieces = numbered.groupBy(*_SPLIT, "n").agg(
-        F.max("modified_at").alias("modified_at"), (F.sum("odd") % 2 == 1).alias("is_odd"), length.alias("length"),
-        F.when(length <= LONGEST_RECORD, _joined(F.struct("pos", "value"))).alias("record"))
-    crosses = F.col("is_odd") | (F.col("n") == 0)
-    whole = pieces.filter(~crosses).drop("is_odd", "length")
+        F.max("modified_at").alias("modified_at"), F.min(ends).alias("open"), _joined(F.struct("pos", "value")).alias("record"))
+    crosses = (F.col("open") == 1) | (F.col("n") == 0)
+    whole = pieces.filter(~crosses).drop("open")
 
     # A piece that starts a record opens a new group; those without a start continue it.
     along = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     crossing = pieces.filter(crosses).withColumn("group", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(along))
-    total = F.sum("length").over(Window.partitionBy("file", "group"))
+    total = F.sum(F.length("record").cast("bigint")).over(Window.partitionBy("file", "group"))
+    message = F.concat(F.lit("a quoted cell is not closed, or too long, in "), F.col("file"))
     bounded = crossing.withColumn("total", total).withColumn(
-        "record", F.when(F.col("total") <= LONGEST_RECORD, F.col("record")))
+        "record", F.when(F.col("total") <= LONGEST_RECORD, F.col("record")).otherwise(F.raise_error(message).cast("string")))
     stitched = bounded.groupBy("file", "group").agg(
-        F.max("modified_at").alias("modified_at"), F.min("block").alias("block"),
-        F.min_by("n", F.struct("block", "n")).alias("n"),
-        F.when(F.max("total") <= LONGEST_RECORD, _joined(F.struct("block", "n", F.col("record").alias("value"))))
-        .alias("record"))
+        F.max("modified_at").alias("modified_at"), F.min_by("n", F.struct("block", "n")).alias("n"),
+        F.min("block").alias("block"), _joined(F.struct("block", "n", F.col("record").alias("value"))).alias("record"))
     # Where lines end in CR LF, line breaks inside cells become LF, as Spark's own reader does it.
     unix = F.replace(F.expr("left(record, length(record) - 1)"), F.lit("\r\n"), F.lit("\n"))
     return whole.unionByName(stitched.drop("group")).select(
@@ -68,12 +70,42 @@ def assemble_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.when(F.endswith("record", F.lit("\r")), unix).otherwise(F.col("record")).alias("record"))
 
 
-def parse_records(records: DataFrame, schema: StructType, dialect: dict[str, str]) -> DataFrame:
-    """The data rows: without each file's header and without blank lines."""
-    header = (F.col("block") == 0) & (F.col("n") == 1)
-    rows = records.filter(~header & (F.trim("record") != ""))
+def parse_records(records: DataFrame, header: Sequence[str | None], schema: StructType, dialect: dict[str, str]) -> DataFrame:
+    """``(cells, file, modified_at)`` of the data rows: without blank lines and each file's header, which must be ``header``."""
     parsed = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), dialect)
-    return rows.select("file", "modified_at", parsed.alias("cells")).select("cells.*", "file", "modified_at")
+    cells = records.withColumn("cells", parsed)
+    names = F.array(*[F.coalesce(F.col(f"cells.`{f.name}`"), F.lit("")) for f in schema.fields])
+    message = F.concat(F.lit("the header of "), F.col("file"), F.lit(" differs from that of the first file"))
+    same = F.when(names == F.array(*[F.lit(h or "") for h in header]), False).otherwise(F.raise_error(message).cast("boolean"))
+    is_header = (F.col("block") == 0) & (F.col("n") == 1)
+    rows = cells.filter(F.when(is_header, same).otherwise(F.trim("record") != ""))
+    return rows.select("cells", "file", "modified_at")
+
+
+def _steps(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """With ``flips``: how many rows so far turn inside to outside and outside to inside."""
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("flips", F.sum(_flip()).over(so_far))
+
+
+def _with_state(df: DataFrame, keys: list[str], order: list[str], start: Column) -> DataFrame:
+    """With ``state``: whether the row starts inside a cell (1) or outside (0)."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    steps = _steps(df, keys, order).withColumn("fixed", F.last(_fixed(), ignorenulls=True).over(before))
+    return steps.withColumn("state", _after(F.col("fixed"), F.col("flips") - _flip(), start)).drop("fixed", "flips")
+
+
+def _flip() -> Column:
+    return F.when((F.col("open0") == 1) & (F.col("open1") == 0), 1).otherwise(0)
+
+
+def _fixed() -> Column:
+    """The end of a row that ends alike however it starts."""
+    return F.when(F.col("open0") == F.col("open1"), F.struct("open0", "flips"))
+
+
+def _after(fixed: Column, flips: Column, start: Column) -> Column:
+    return F.when(fixed.isNull(), (start + flips) % 2).otherwise((fixed["open0"] + flips - fixed["flips"]) % 2)
 
 
 def _joined(piece: Column) -> Column:

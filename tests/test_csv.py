@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources import csv as csv_source
-from millrace.sources.csv import files_with_split_records, files_with_stray_quotes, read_raw, scan_csv
+from millrace.sources.csv import has_split_records, read_raw, scan_csv
 
 
 def rows(df):
@@ -87,9 +86,7 @@ def test_large_files_with_line_breaks_are_read_in_splits(spark, tmp_path, small_
         (tmp_path / f"f {seed}.csv").write_text(text, newline="", encoding="utf-8")
         cells = [[c.replace("\r\n", "\n") if newline == "\r\n" else c for c in r] for r in data]
         expected += [[seed, *r] for r in cells]
-    paths = [str(tmp_path / f"f {s}.csv") for s in (1, 2)]
-    assert len(files_with_split_records(spark, paths)) == 2
-    assert files_with_stray_quotes(spark, paths) == set()
+    assert has_split_records(spark, str(tmp_path))
     df = scan_csv(spark, str(tmp_path), provenance=True)
     assert "from_csv" in df._jdf.queryExecution().toString()
     got = sorted([int(r["source_name"][2]), r["n"], r["cell"] or "", r["last"]] for r in df.collect())
@@ -105,13 +102,36 @@ def test_large_files_of_whole_lines_are_read_in_splits(spark, tmp_path, small_sp
     assert sorted(rows(df)) == sorted((str(i), f'a, "b" {i}') for i in range(2000))
 
 
-def test_a_large_file_with_stray_quotes_is_read_by_one_task(spark, tmp_path, small_splits):
-    lines = [f'{i},5" pipe,"x\ny"\n' if i % 50 == 7 else f"{i},plain,z\n" for i in range(1000)]
-    (tmp_path / "a.csv").write_text("n,t,u\n" + "".join(lines))
-    path = str(tmp_path / "a.csv")
-    assert {p.removeprefix("file:") for p in files_with_stray_quotes(spark, [path])} == {path}
-    got = {r["n"]: (r["t"], r["u"]) for r in scan_csv(spark, path).collect()}
-    assert len(got) == 1000 and got["7"] == ('5" pipe', "x\ny") and got["8"] == ("plain", "z")
+@pytest.mark.parametrize("whole", [True, False])
+def test_stray_quotes_are_text_and_keep_the_splits(spark, tmp_path, small_splits, whole):
+    stray = ['{i},5" pipe,z', '{i}, "b",z', '{i},"a"b,z', '{i},a""b"c,"d"']
+    stray += [] if whole else ['{i},5" pipe,"x\ny"', '{i}, "b","x\n"",\n""y"']
+    cells = [('5" pipe', "z"), (' "b"', "z"), None, ('a""b"c', "d"), ('5" pipe', "x\ny"), (' "b"', 'x\n",\n"y')]
+    lines = [stray[i // 7 % len(stray)].format(i=i) if i % 7 == 0 else f"{i},plain,z" for i in range(1500)]
+    (tmp_path / "a.csv").write_text("n,t,file\n" + "\n".join(lines) + "\n")
+    df = scan_csv(spark, str(tmp_path))
+    assert df.columns == ["n", "t", "file"]
+    got = {int(r["n"]): (r["t"], r["file"]) for r in df.collect()}
+    assert len(got) == df.count() == 1500
+    for i in range(1500):
+        expected = cells[i // 7 % len(stray)] if i % 7 == 0 else ("plain", "z")
+        assert expected is None or got[i] == expected
+    one_task = scan_csv(spark, str(tmp_path), multi_line=True)
+    assert one_task.exceptAll(df).isEmpty()
+    if whole:
+        assert df.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_the_plan_does_not_depend_on_the_size(spark, tmp_path):
+    text, _ = written(4, 200, "\n")
+    (tmp_path / "a.csv").write_text(text, newline="", encoding="utf-8")
+    found = []
+    for size in ("2000", "128MB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = scan_csv(spark, str(tmp_path))
+        found.append((sorted(map(str, rows(df))), "from_csv" in df._jdf.queryExecution().toString()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and found[0][1]
 
 
 def test_large_and_small_files_together(spark, tmp_path, small_splits):
@@ -126,12 +146,5 @@ def test_assembled_files_must_share_the_header(spark, tmp_path, small_splits):
     body = "".join(f'{i},"a\nb"\n' for i in range(500))
     (tmp_path / "a.csv").write_text("n,t\n" + body)
     (tmp_path / "b.csv").write_text("t,n\n" + body)
-    with pytest.raises(ValueError, match="header"):
-        scan_csv(spark, str(tmp_path))
-
-
-def test_split_size_units(spark):
-    for text, size in (("134217728b", 2**27), ("128MB", 2**27), ("1g", 2**30), ("100", 100), ("64k", 2**16)):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", text)
-        assert csv_source._split_bytes(spark) == size
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="header"):
+        scan_csv(spark, str(tmp_path)).collect()
