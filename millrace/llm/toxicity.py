@@ -174,14 +174,32 @@ def held_out(id_column) -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def choose_terms(words: dict[str, tuple[list[int], int]], n_toxic: int, n_other: int) -> tuple[list[str], list[str]]:
-    """Whole words and stems. ``words``: the toxic texts (numbered) with each word, and the number of other texts with it."""
-    under: dict[str, list[str]] = defaultdict(list)
-    for w in words:
-        for n in range(LEAST_STEM, len(w) + 1):
-            under[w[:n]].append(w)
-    least = max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    weight = n_toxic / max(1, n_other)
+def limits(n_toxic: int, n_other: int) -> tuple[float, float]:
+    """The least toxic texts of a term, and the weight of another text."""
+    return max(LEAST_TEXTS, LEAST_SHARE * n_toxic), n_toxic / max(1, n_other)
+
+
+def possible_stems(table: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
+    """``(stem, word, bad, good, hopeful)``: the words under each stem that could be a term.
+
+    The texts of a stem are at most the sum of its words' texts, so no stem that ``choose_terms`` would take is missing.
+    """
+    least, weight = limits(n_toxic, n_other)
+    stems = table.select(F.explode(F.transform(F.sequence(F.lit(LEAST_STEM), F.length("word")), lambda n: F.left("word", n))).alias("stem"), "*")
+    bad, good = F.sum(F.when(F.col("hopeful"), F.col("bad")).otherwise(0)), F.sum("good")
+    found = stems.groupBy("stem").agg(bad.alias("most"), good.alias("others")).where(
+        (F.col("most") >= least) & (F.col("most") / (F.col("most") + F.col("others") * weight) >= LEAST_PRECISION))
+    return stems.join(found.select("stem"), "stem", "left_semi")
+
+
+def choose_terms(words: dict[str, tuple[list[int], int]], possible: dict[str, list[str]], n_toxic: int, n_other: int) -> tuple[list[str], list[str]]:
+    """Whole words and stems.
+
+    ``words``: the toxic texts (numbered) with each word, and the number of other texts with it; ``possible``: the words under
+    each stem that may be taken.
+    """
+    under = possible
+    least, weight = limits(n_toxic, n_other)
     fit: dict[str, set[int]] = {}
     for stem in sorted(under, key=len):
         if stem[:-1] in fit or any(stem[:n] in fit for n in range(LEAST_STEM, len(stem))):
@@ -257,16 +275,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     table = rows.mapInArrow(count, "word string, doc long, toxic boolean").groupBy("word").agg(
         F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
     table = space.keep(table)
-    # Per beginning of four letters: does any word under it occur mostly in toxic texts?
-    hopeful = table.where((F.col("bad") > 0) & (F.col("good") * n_toxic < F.col("bad") * max(1, n_other) * 0.05)).select("word")
+    # Words that occur mostly in toxic texts; the stems over them that could be terms, and all words under these.
+    hopeful = (F.col("bad") > 0) & (F.col("good") * n_toxic < F.col("bad") * max(1, n_other) * 0.05)
+    stems = space.keep(possible_stems(table.withColumn("hopeful", hopeful), n_toxic, n_other))
     spoken = rows.where("toxic > 0").mapInArrow(count, "word string, doc long, toxic boolean").select("word", "doc").distinct()
-    pairs = spoken.join(hopeful, "word").groupBy("word").agg(F.collect_list("doc").alias("docs"))
-    stems = hopeful.select(F.substring("word", 1, LEAST_STEM).alias("stem")).distinct()
-    good = table.where("good > 0").withColumn("stem", F.substring("word", 1, LEAST_STEM)).join(stems, "stem", "left_semi").select("word", "good")
-    words = {r.word: (r.docs, 0) for r in pairs.collect()}
-    for r in good.collect():
-        words[r.word] = (words.get(r.word, ([], 0))[0], r.good)
-    whole, stems_chosen = choose_terms(words, n_toxic, n_other)
+    wanted = space.keep(stems.where("hopeful").select("word").distinct())
+    pairs = spoken.join(small(wanted), "word").groupBy("word").agg(F.collect_list("doc").alias("docs"))
+    texts_with = {r.word: r.docs for r in pairs.collect()}
+    words, under = {}, defaultdict(list)
+    for r in stems.select("stem", "word", "good").collect():
+        words[r.word] = (texts_with.get(r.word, []), r.good)
+        under[r.stem].append(r.word)
+    whole, stems_chosen = choose_terms(words, dict(under), n_toxic, n_other)
     lexicon = Lexicon(whole, stems_chosen)
 
     # Spellings that ordinary texts use, and the curve.
