@@ -37,8 +37,3 @@ def raw(spark):
         return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
     return make
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

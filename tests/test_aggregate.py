@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 
 from millrace.operators.aggregate import aggregate
 from millrace.spec import MetricSpec, SpecError

@@ -2,7 +2,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 
 from millrace.functions.cells import WHITESPACE, normalize_cells
 from millrace.operators.clean import clean

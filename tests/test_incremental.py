@@ -2,7 +2,7 @@ import datetime
 import os
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from millrace.functions.times import time_literal

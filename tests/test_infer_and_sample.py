@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from millrace.functions.labels import seconds_between, stage_of, whole_seconds_label

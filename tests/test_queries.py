@@ -1,6 +1,6 @@
 import pytest
 from compare import connect, difference
-from conftest import plan_of
+from plan_text import plan_of
 
 import __spark_entry__ as entry_points
 

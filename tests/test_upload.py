@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 
 from millrace.operators.clean import clean
 from millrace.plans.script import read_script, run_script
