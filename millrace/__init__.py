@@ -6,7 +6,7 @@ from millrace.operators.infer import infer_types
 from millrace.plans.incremental import IncrementalExtract
 from millrace.plans.script import run_script
 from millrace.plans.upload import load_csv
-from millrace.plans.job import build_table, build_tables, run_job
+from millrace.plans.job import build_table, build_tables, run_catalog_job, run_job
 from millrace.sources.csv import read_raw, scan_csv
 from millrace.spec import (
     ColumnSpec, ComputedSpec, FilterSpec, JobSpec, JoinSpec, MetricSpec, SpecError, TableSpec,
@@ -15,5 +15,5 @@ from millrace.spec import (
 __all__ = [
     "ColumnSpec", "ComputedSpec", "FilterSpec", "IncrementalExtract", "JobSpec", "JoinSpec", "MetricSpec",
     "SpecError", "TableSpec", "aggregate", "build_table", "build_tables", "clean", "infer_types", "load_csv",
-    "read_raw", "run_job", "run_script", "scan_csv",
+    "read_raw", "run_catalog_job", "run_job", "run_script", "scan_csv",
 ]

@@ -1,14 +1,10 @@
-"""Conditions on cleaned columns, with the value taken as the column's type."""
+"""Conditions on cleaned columns as SQL, with the value taken as the column's type."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, functions as F
 from pyspark.sql.types import (
     BooleanType, DataType, DateType, DecimalType, IntegralType, StringType, TimestampNTZType, TimestampType,
 )
@@ -16,34 +12,23 @@ from pyspark.sql.types import (
 from millrace.functions.casts import FALSE_WORDS, TIME_TEXT, TRUE_WORDS
 from millrace.spec import FilterSpec, SpecError
 
-_COMPARE = {
-    "=": lambda c, v: c == v,
-    "!=": lambda c, v: c != v,
-    ">": lambda c, v: c > v,
-    ">=": lambda c, v: c >= v,
-    "<": lambda c, v: c < v,
-    "<=": lambda c, v: c <= v,
-}
-
-
-def predicate(spec: FilterSpec, column: Column, data_type: DataType, *, ansi: bool = True) -> Column:
-    """The condition of one filter on a column of the given type."""
-    if spec.operator == "IS NULL":
-        return column.isNull()
-    if spec.operator == "IS NOT NULL":
-        return column.isNotNull()
+
+def condition_sql(spec: FilterSpec, column: str, data_type: DataType, *, ansi: bool = True) -> str:
+    """The condition of one filter on the SQL expression ``column`` of the given type."""
+    if spec.operator in ("IS NULL", "IS NOT NULL"):
+        return f"{column} {spec.operator}"
     if spec.operator == "LIKE":
         if not isinstance(data_type, StringType):
             raise SpecError(f"LIKE needs a text column, {spec.column!r} is {data_type.simpleString()}")
-        return column.like(contains_pattern(spec.value))
+        return f"{column} LIKE {sql_text(contains_pattern(spec.value))}"
     if isinstance(data_type, DecimalType):
         return _compare_decimal(column, spec, data_type.scale)
-    return _COMPARE[spec.operator](column, _literal(spec, data_type, ansi))
+    return f"{column} {spec.operator} {_literal(spec, data_type, ansi)}"
 
 
-def conjunction(conditions: Iterable[Column]) -> Column | None:
-    conditions = list(conditions)
-    return reduce(and_, conditions) if conditions else None
+def sql_text(value: str) -> str:
+    """A text literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def contains_pattern(value: str) -> str:
@@ -62,34 +47,31 @@ def contains_pattern(value: str) -> str:
     return "".join(pattern)
 
 
-def _literal(spec: FilterSpec, data_type: DataType, ansi: bool) -> Column:
-    text = spec.value.strip()
+def _literal(spec: FilterSpec, data_type: DataType, ansi: bool) -> str:
+    text, kind = spec.value.strip(), data_type.simpleString()
     if isinstance(data_type, StringType):
-        return F.lit(spec.value)
+        return sql_text(spec.value)
     if isinstance(data_type, IntegralType):
         try:
-            return F.lit(int(text)).cast(data_type)
+            return f"cast({int(text)} as {kind})"
         except ValueError:
             raise _bad_value(spec, data_type) from None
     if isinstance(data_type, BooleanType):
         word = text.lower()
         if word in ("t", "true", "y", "yes", "1", *TRUE_WORDS):
-            return F.lit(True)
+            return "true"
         if word in ("f", "false", "n", "no", "0", *FALSE_WORDS):
-            return F.lit(False)
+            return "false"
         raise _bad_value(spec, data_type)
     if isinstance(data_type, (DateType, TimestampNTZType, TimestampType)) and not re.fullmatch(TIME_TEXT, text):
         raise _bad_value(spec, data_type)
-    value = F.lit(text)
     if ansi:
-        return value.cast(data_type)
-    tried = value.try_cast(data_type)
-    return F.when(tried.isNotNull(), tried).otherwise(
-        F.raise_error(F.lit(str(_bad_value(spec, data_type)))).cast(data_type)
-    )
+        return f"cast({sql_text(text)} as {kind})"
+    error = sql_text(str(_bad_value(spec, data_type)))
+    return f"coalesce(try_cast({sql_text(text)} as {kind}), cast(raise_error({error}) as {kind}))"
 
 
-def _compare_decimal(column: Column, spec: FilterSpec, scale: int) -> Column:
+def _compare_decimal(column: str, spec: FilterSpec, scale: int) -> str:
     """Compare on the column's own grid of digits, so that a finer value is never rounded."""
     try:
         exact = Decimal(spec.value.strip())
@@ -100,12 +82,12 @@ def _compare_decimal(column: Column, spec: FilterSpec, scale: int) -> Column:
     step = Decimal(1).scaleb(-scale)
     floor = exact.quantize(step, ROUND_FLOOR)
     if floor == exact:
-        return _COMPARE[spec.operator](column, F.lit(floor))
+        return f"{column} {spec.operator} {floor:f}BD"
     if spec.operator in ("=", "!="):
-        return F.when(column.isNotNull(), F.lit(spec.operator == "!="))
+        return f"case when {column} is not null then {str(spec.operator == '!=').lower()} end"
     if spec.operator in (">", ">="):
-        return column > F.lit(floor)
-    return column < F.lit(exact.quantize(step, ROUND_CEILING))
+        return f"{column} > {floor:f}BD"
+    return f"{column} < {exact.quantize(step, ROUND_CEILING):f}BD"
 
 
 def _bad_value(spec: FilterSpec, data_type: DataType) -> SpecError:

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.operators.aggregate import aggregate
-from millrace.operators.clean import clean
+from millrace.functions.names import safe_name
+from millrace.operators.aggregate import aggregate, aggregate_sql
+from millrace.operators.clean import clean, clean_sql
 from millrace.operators.joins import Tables
 from millrace.plans.script import run_script
+from millrace.reports.recorder import RunLog
 from millrace.sinks.export import export_csv
-from millrace.sinks.views import create_view
+from millrace.sinks.views import catalog_view, create_view
 from millrace.spec import JobSpec, TableSpec
 
 
@@ -35,35 +38,85 @@ def build_tables(specs: Iterable[TableSpec], tables: Tables) -> dict[str, TableR
 
 def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str | None = None,
             export_to: str | None = None, at: datetime | None = None,
-            partition_by: Mapping[str, Sequence[str]] | None = None) -> dict[str, str | None]:
+            partition_by: Mapping[str, Sequence[str]] | None = None, log: RunLog | None = None) -> dict[str, str | None]:
     """Create the views of a job and, with ``export_to``, a CSV snapshot of each.
 
     Returns view name to snapshot folder. Views are lazy, so each reader computes them again;
     ``store_at`` writes each clean table there once, as Parquet, and puts the views on top of that.
     ``partition_by`` names, for a table, the columns that its stored form is partitioned by.
     With ``custom_sql`` the script runs in place of the generated views; it sees the raw tables as
-    ``raw_<table>``.
+    ``raw_<table>``. With ``log`` the run, its tasks and its lineage are logged, also when it fails.
     """
-    if job.custom_sql:
-        if callable(tables):
-            names = [name for spec in job.tables for name in (spec.name, *(join.table for join in spec.joins))]
-            tables = {name: tables(name) for name in dict.fromkeys(names)}
-        for name, df in tables.items():
+    def script() -> list[str]:
+        given = {name: tables(name) for name in _table_names(job)} if callable(tables) else tables
+        for name, df in given.items():
             create_view(df, "raw", name)
-        views = run_script(spark, job.custom_sql).views
-    else:
-        views = []
-        for spec in job.tables:
-            cleaned = clean(spec, tables)
-            if store_at is not None:
-                path = f"{store_at.rstrip('/')}/{spec.name}"
-                schema = cleaned.schema
-                cleaned.write.mode("overwrite").partitionBy(*(partition_by or {}).get(spec.name, ())).parquet(path)
-                cleaned = spark.read.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
-            views.append(create_view(cleaned, "clean", spec.name))
-            if spec.metrics:
-                views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))
-    if export_to is None:
-        return dict.fromkeys(views)
-    at = at or datetime.now(timezone.utc).replace(tzinfo=None)
-    return {view: export_csv(spark.table(view), export_to, view, at) for view in views}
+        return run_script(spark, job.custom_sql).views
+
+    def build(spec: TableSpec) -> list[str]:
+        cleaned = clean(spec, tables)
+        if store_at is not None:
+            path = f"{store_at.rstrip('/')}/{spec.name}"
+            schema = cleaned.schema
+            cleaned.write.mode("overwrite").partitionBy(*(partition_by or {}).get(spec.name, ())).parquet(path)
+            cleaned = spark.read.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
+        views = [create_view(cleaned, "clean", spec.name)]
+        if spec.metrics:
+            views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))
+        return views
+
+    return _run(spark, job, script, build, export_to, at, log)
+
+
+def run_catalog_job(spark: SparkSession, job: JobSpec, *, export_to: str | None = None, at: datetime | None = None,
+                    log: RunLog | None = None) -> dict[str, str | None]:
+    """The same over ``raw.<table>`` of the catalog, as views ``clean.<table>`` and ``analytics.<table>`` that stay there.
+
+    A view is kept as SQL text, so other sessions on the same catalog read it too. ``custom_sql`` runs as
+    it is and names tables as the catalog does.
+    """
+    def tables(name: str) -> DataFrame:
+        return spark.table(f"raw.`{name}`")
+
+    def script() -> list[str]:
+        return run_script(spark, job.custom_sql).views
+
+    def build(spec: TableSpec) -> list[str]:
+        views = [catalog_view(spark, clean_sql(spec, tables), "clean", spec.name)]
+        if spec.metrics:
+            text = aggregate_sql(spark.table(views[0]).schema, views[0], spec.group_by, spec.metrics)
+            views.append(catalog_view(spark, text, "analytics", spec.name))
+        return views
+
+    return _run(spark, job, script, build, export_to, at, log)
+
+
+def _run(spark, job, script, build, export_to, at, log) -> dict[str, str | None]:
+    def task(name: str):
+        return log.task(name) if log else nullcontext()
+
+    with log.run() if log else nullcontext():
+        if log:
+            log.lineage(source_type="raw", source_location=", ".join(_table_names(job)),
+                        transform_type="sql" if job.custom_sql else "spec", transform_target=", ".join(t.name for t in job.tables),
+                        delivery_type="csv" if export_to else None, delivery_location=export_to)
+        views: list[str] = []
+        if job.custom_sql:
+            with task("transformation.custom_sql"):
+                views += script()
+        else:
+            for spec in job.tables:
+                with task(f"transformation.{spec.name}"):
+                    views += build(spec)
+        if export_to is None:
+            return dict.fromkeys(views)
+        at = at or datetime.now(timezone.utc).replace(tzinfo=None)
+        done = {}
+        for view in views:
+            with task(f"delivery.{view}"):
+                done[view] = export_csv(spark.table(view), export_to, view, at)
+        return done
+
+
+def _table_names(job: JobSpec) -> list[str]:
+    return list(dict.fromkeys(safe_name(name) for spec in job.tables for name in (spec.table, *(join.table for join in spec.joins))))

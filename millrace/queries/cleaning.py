@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from millrace.functions.cells import strip_cell
 from millrace.operators.clean import clean
-from millrace.plans.job import build_table, run_job
-from millrace.queries.inputs import cells, raw, raw_tables, with_raw
+from millrace.plans.job import build_table, run_catalog_job, run_job
+from millrace.queries.inputs import CELLS, cells, raw, raw_tables, with_raw
 from millrace.queries.registry import query
+from millrace.sinks.views import catalog_view
 from millrace.spec import ColumnSpec as Col
 from millrace.spec import ComputedSpec, FilterSpec, JobSpec, JoinSpec, MetricSpec, TableSpec
 
@@ -251,5 +253,43 @@ def clean_view(spark, sf_dir):
     return spark.table(next(v for v in views if v.startswith("clean")))
 
 
+def _catalog_raw(spark, sf_dir, *tables):
+    """``raw.<table>`` in the catalog: the raw layer as views over the given files."""
+    for table in tables:
+        cells_sql = ", ".join(f"{strip_cell(f'({e})')} as `{c}`" for c, e in CELLS[table].items())
+        catalog_view(spark, f"select {cells_sql} from parquet.`{sf_dir}/{table}.parquet`", "raw", table)
+
+
+@query("catalog_views", FLAGSHIP_SQL)
+def catalog_views(spark, sf_dir):
+    _catalog_raw(spark, sf_dir, "orders", "customer")
+    return _rounded(spark.table(list(run_catalog_job(spark, JobSpec([FLAGSHIP])))[-1]))
+
+
+@query("custom_sql", with_raw("orders customer", """
+    select c_mktsegment as segment, count(*) as orders, count(distinct o_custkey) as customers
+    from raw_orders join raw_customer on o_custkey = c_custkey where o_orderstatus <> 'P' group by c_mktsegment"""))
+def custom_sql(spark, sf_dir):
+    _catalog_raw(spark, sf_dir, "orders", "customer")
+    job = JobSpec([FLAGSHIP], custom_sql="""
+        -- not a statement: create view clean.nothing
+        create database if not exists clean;
+        create or replace view clean.open_orders as
+        select c_mktsegment as segment, o_custkey from raw.orders join raw.customer on o_custkey = c_custkey where o_orderstatus != 'P';
+        create or replace view clean.segments as
+        select segment, count(*) as orders, count(distinct o_custkey) as customers from clean.open_orders group by segment""")
+    return spark.table(list(run_catalog_job(spark, job))[-1])
+
+
+@query("unknown_type", with_raw("orders", f"select {KEY_SQL}, trim(o_totalprice) as o_totalprice from raw_orders"))
+def unknown_type(spark, sf_dir):
+    return _clean(spark, sf_dir, KEY, Col("o_totalprice", "MONEY"))
+
+
+@query("nothing_selected", with_raw("nation", "select * from raw_nation where n_regionkey <> '2'"))
+def nothing_selected(spark, sf_dir):
+    return _clean(spark, sf_dir, table="nation", filters=[FilterSpec("n_regionkey", "!=", "2")])
+
+
 def _rounded(df):
     return df.selectExpr("segment", "status", "revenue", "round(average, 4) as average", "row_count")

@@ -48,7 +48,11 @@ PIPELINE_LINEAGE = _columns(
 
 
 def append_row(spark: SparkSession, path: str, schema: StructType, row: Mapping[str, Any]) -> None:
-    """Append one row made on the driver, as literals: no data leaves the driver but the plan."""
+    append_frame(row_frame(spark, schema, row), path)
+
+
+def row_frame(spark: SparkSession, schema: StructType, row: Mapping[str, Any]) -> DataFrame:
+    """One row made on the driver, as literals: no data leaves the driver but the plan."""
     unknown = set(row) - set(schema.names)
     if unknown:
         raise ValueError(f"unknown log columns: {sorted(unknown)}")
@@ -57,7 +61,7 @@ def append_row(spark: SparkSession, path: str, schema: StructType, row: Mapping[
         return time_literal(value) if isinstance(value, datetime) else F.lit(value)
 
     cells = [literal(row.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
-    append_frame(spark.range(1, numPartitions=1).select(*cells), path)
+    return spark.range(1, numPartitions=1).select(*cells)
 
 
 def append_frame(df: DataFrame, path: str) -> None:

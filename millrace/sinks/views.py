@@ -1,10 +1,10 @@
-"""The layers clean and analytics, as session views or as stored tables."""
+"""The layers clean and analytics, as session views, as views of the catalog or as stored tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.names import safe_name
 
@@ -25,6 +25,16 @@ def create_view(df: DataFrame, layer: str, table: str) -> str:
     return name
 
 
+def catalog_view(spark: SparkSession, select: str, layer: str, table: str) -> str:
+    """Create or replace the view ``<layer>.<table>`` in the catalog; it outlives the session as far as the catalog does."""
+    if layer not in LAYERS:
+        raise ValueError(f"unknown layer {layer!r}; use one of {LAYERS}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+    name = f"{layer}.{safe_name(table)}"
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {select}")
+    return name
+
+
 def store_table(df: DataFrame, layer: str, table: str, path: str | None = None, partition_by: Sequence[str] = ()) -> str:
     """Create or replace ``<layer>.<table>`` in the catalog, computed once.
 

@@ -11,9 +11,10 @@ from millrace.operators.quality import (
     CheckFailed, ExpectedColumn, dedupe, freshness, require, row_count, schema,
 )
 from millrace.plans.script import created_views, run_script
-from millrace.plans.job import build_tables, run_job
+from millrace.plans.job import build_tables, run_catalog_job, run_job
 from millrace.reports import health, lineage, metadata
-from millrace.spec import ColumnSpec, JobSpec, MetricSpec, TableSpec
+from millrace.reports.recorder import RunLog
+from millrace.spec import ColumnSpec, ComputedSpec, FilterSpec, JobSpec, JoinSpec, MetricSpec, TableSpec
 
 AS_OF = datetime.datetime(2024, 1, 31)
 
@@ -82,6 +83,43 @@ def test_custom_sql_replaces_the_generated_views(spark, raw):
     assert rows(spark.table("mine")) == [("Q",)]
 
 
+def test_catalog_views_are_read_by_another_session(spark, raw, tmp_path):
+    spark.sql("create database if not exists raw")
+    raw("id amount d kind", ("1", "1.105", "2024-01-01", "it's \\ 50%"), ("2", "7", "2024-01-02", "b"), ("3", None, None, None)).write.mode(
+        "overwrite").option("path", str(tmp_path / "sold")).saveAsTable("raw.sold")
+    raw("k w", ("b", "5")).write.mode("overwrite").option("path", str(tmp_path / "kinds")).saveAsTable("raw.kinds")
+    spec = TableSpec(
+        "Sold", [ColumnSpec("id", "INTEGER"), ColumnSpec("amount", "NUMERIC", "price"), ColumnSpec("d", "DATE", include=False), ColumnSpec("kind")],
+        joins=[JoinSpec("kinds", "kind", "k", salt=3)],
+        computed=[ComputedSpec("twice", "amount * 2", over="typed"), ComputedSpec("w", "kinds.w")],
+        filters=[FilterSpec("price", "<", "100.001"), FilterSpec("d", ">=", "2024-01-01"), FilterSpec("kind", "!=", "it's")],
+        group_by=["w"], metrics=[MetricSpec("price", "MAX"), MetricSpec("*", "COUNT")])
+    assert list(run_catalog_job(spark, JobSpec([spec]))) == ["clean.sold", "analytics.sold"]
+    other = spark.newSession()
+    expected = build_tables([spec], lambda name: spark.table(f"raw.{name}"))["sold"]
+    assert other.table("clean.sold").schema == expected.clean.schema
+    assert sorted(rows(other.table("clean.sold"))) == sorted(rows(expected.clean)) and expected.clean.count() == 2
+    assert sorted(rows(other.table("analytics.sold")), key=str) == sorted(rows(expected.analytics), key=str)
+    for kept in (("kind", "=", "it's \\ 50%"), ("kind", "LIKE", "t's \\\\"), ("price", "=", "1.11")):
+        one = TableSpec("sold", [ColumnSpec("amount", "NUMERIC", "price"), ColumnSpec("kind")], filters=[FilterSpec(*kept)])
+        run_catalog_job(spark, JobSpec([one]))
+        assert other.table("clean.sold").count() == 1
+
+
+def test_a_job_leaves_its_run_tasks_and_lineage(spark, raw, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"), "sales", "r1")
+    run_job(spark, JobSpec(SPECS[1:]), {"plain": raw("x", "q")}, export_to=str(tmp_path / "out"), at=AS_OF, log=log)
+    failing = RunLog(spark, str(tmp_path / "log"), "sales", "r2")
+    with pytest.raises(Exception, match="unknown table"):
+        run_job(spark, JobSpec(SPECS[1:]), {}, log=failing)
+    assert sorted((r.dag_run_id, r.state) for r in log.runs().collect()) == [("r1", "success"), ("r2", "failed")]
+    tasks = sorted((r.dag_run_id, r.task_id, r.stage, r.state) for r in log.tasks().collect())
+    assert tasks == [("r1", "delivery.clean_plain", "delivery", "success"), ("r1", "transformation.plain", "transformation", "success"),
+                     ("r2", "transformation.plain", "transformation", "failed")]
+    assert all("unknown table" in r.error_message and r.duration_seconds >= 0 for r in log.tasks().where("state = 'failed'").collect())
+    assert [(r.pipeline_id, r.source_location, r.delivery_type) for r in log.lineages().collect()] == [("sales", "plain", None)]
+
+
 def test_latest_by_breaks_ties_and_combines_before_the_shuffle(spark):
     df = spark.sql("select * from values ('a', 1, 'x'), ('a', 2, 'y'), ('a', 2, 'z'), (null, 1, 'n') as t(k, v, w)")
     out = latest_by(df, ["k"], ["v", "w"])
