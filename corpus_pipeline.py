@@ -14,6 +14,14 @@ from millrace.llm.queries import Query, documents
 from millrace.llm.workspace import Workspace, small
 
 
+#: Names of two hashes of doc_id and text by which stages find rows again; no column of documents is called so.
+KEYS = ["_millrace_k1", "_millrace_k2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns(dict(zip(KEYS, (F.xxhash64("doc_id", "text"), F.hash("text", "doc_id")))))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,30 +31,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link by five-word shingles at 0.8 or more, the one with the smallest doc_id.
 
-    Texts without words are in no group. Rows that repeat the kept doc_id are kept once. A row without doc_id goes if its group has a
-    named document, and stays otherwise.
+    Texts without words are in no group and all stay. A row is known by its doc_id and text, so that rows without doc_id, or with the
+    same one and another text, are judged by their own groups; a row without doc_id comes after all others. Rows equal in
+    both are one document and stay once.
     """
     space = Workspace(spark, "near-duplicates")
-    found = jaccard.similar_classes(docs, n=5, percent=80)
-    gone = space.keep(found.where("component is not null and not (id <=> component)").select("id", F.lit(True).alias("gone")).distinct())
-    named = docs.where("doc_id is not null").join(small(gone.where("id is not null").withColumnRenamed("id", "doc_id")), "doc_id", "left_anti")
-    again = space.keep(found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id")))
-    once = named.join(small(again), "doc_id", "left_anti")
-    repeated = named.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null")
-    if gone.where("id is null").limit(1).count():
-        unnamed = unnamed.limit(0)
-    return once.select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(unnamed)
+    keyed = _keyed(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *KEYS).alias("row_id")
+    found = space.keep(jaccard.similar_classes(keyed.select(name, "text"), id_col="row_id", n=5, percent=80))
+    of = [F.col(f"id.{k}").alias(k) for k in KEYS]
+    gone = space.keep(found.where("not (id <=> component)").select(*of).distinct())
+    again = space.keep(found.where("size > 0").groupBy(*of).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS))
+    stay = keyed.join(small(gone), KEYS, "left_anti")
+    once = stay.join(small(again), KEYS, "left_anti")
+    repeated = stay.join(small(again), KEYS, "left_semi").dropDuplicates(KEYS)
+    return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     space = Workspace(spark, "decontamination")
-    keyed = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
+    keyed = _keyed(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    hits = winnowing.shared_windows(keyed.select("k1", "k2", "text"), bench.where("item_id is not null"), space)
-    hit = space.keep(hits.select("k1", "k2").distinct())
-    return keyed.join(small(hit), ["k1", "k2"], "left_anti").select(docs.columns)
+    hits = winnowing.shared_windows(keyed.select(*(F.col(k).alias(a) for k, a in zip(KEYS, ("k1", "k2"))), "text"), bench.where("item_id is not null"), space)
+    hit = space.keep(hits.select(*(F.col(a).alias(k) for k, a in zip(KEYS, ("k1", "k2")))).distinct())
+    return keyed.join(small(hit), KEYS, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

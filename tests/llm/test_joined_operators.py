@@ -142,6 +142,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in plain_contamination(rows, items) if not r[4])
 
 
+def test_near_duplicates_of_rows_without_names(spark, sf_dir, docs):
+    copy, other = " ".join(map(str, range(60))), " ".join(map(str, range(100, 160)))
+    rows = [(7, copy), (None, copy + " more"), (None, other), (None, other), (None, "alone in its group"), (3, other + " x"), (8, "one text"), (8, "another text"),
+            (8, "one text"), (9, None), (9, None), (None, "")]
+    kept = corpus_pipeline.near_duplicates(spark, docs(*rows).withColumnRenamed("keys", "k1"), sf_dir)
+    assert kept.columns[:2] == ["doc_id", "text"] and "k1" in kept.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(7, copy), (3, other + " x"), (None, "alone in its group"), (8, "one text"), (8, "another text"), (9, None), (9, None), (None, "")], key=str)
+
+
 def test_pipeline_of_edges(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     for rows in ([], [(i, t, None, None, None) for i, t in EDGES]):
