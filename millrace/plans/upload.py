@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,6 +13,7 @@ from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_name
 from millrace.operators.infer import infer_types
 from millrace.operators.sample import SAMPLE_ROWS, column_samples
+from millrace.sinks.export import export_csv
 from millrace.sinks.tables import replace_raw
 from millrace.sources.csv import PROVENANCE, read_raw, scan_csv
 from millrace.sources.files import list_files
@@ -20,13 +21,17 @@ from millrace.sources.files import list_files
 
 @dataclass(frozen=True)
 class Upload:
-    """``columns`` has ``(ordinal, column, type, samples)``; ``sampled`` says that rows were left out."""
+    """``columns`` has ``(ordinal, column, type, samples)``; ``sampled`` says that rows were left out.
+
+    ``snapshot`` is the folder with the stored rows as CSV, if one was asked for.
+    """
 
     table: str
     raw: DataFrame
     columns: DataFrame
     rows: int
     total_rows: int
+    snapshot: str | None = None
 
     @property
     def sampled(self) -> bool:
@@ -34,11 +39,13 @@ class Upload:
 
 
 def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: str, *, as_of: datetime | None = None,
-             first_rows: int | None = None, sample_values: int | None = None, multi_line: bool | None = None) -> Upload:
+             first_rows: int | None = None, sample_values: int | None = None, multi_line: bool | None = None,
+             snapshot_to: str | None = None) -> Upload:
     """Store all rows of ``path`` as the raw table at ``dest/<table>`` and profile them.
 
     ``first_rows`` stores only that many, from the head of the files in path order. Types are inferred
     over all stored rows, or over ``sample_values`` values at the head. No data rows is an error.
+    ``snapshot_to`` also keeps the stored rows as CSV below that folder, under the time of the load.
     """
     name = safe_name(table)
     head = _head(spark, path, max(SAMPLE_ROWS, first_rows or 0))
@@ -58,7 +65,9 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
     samples = column_samples(head, order).filter(hidden)
     types = infer_types(text) if sample_values is None else infer_types(head, order, sample_values).filter(hidden)
     columns = types.join(samples, ["ordinal", "column"]).orderBy("ordinal")
-    return Upload(name, raw, columns, stored, total)
+    at = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    snapshot = None if snapshot_to is None else export_csv(text, snapshot_to, name, at)
+    return Upload(name, raw, columns, stored, total, snapshot)
 
 
 def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFrame | None:

@@ -11,7 +11,7 @@ from millrace.queries.inputs import AS_OF, CELLS, cells, raw, read, with_raw
 from millrace.queries.registry import query
 from millrace.session import shared_folder
 from millrace.sinks.tables import publish_curated, replace_raw
-from millrace.sources.csv import scan_csv
+from millrace.sources.csv import read_raw, scan_csv
 from millrace.sources.files import land_files, latest_file
 from millrace.sources.payload import expand_payload
 from millrace.streaming.landing import land_new_files
@@ -92,6 +92,13 @@ def load(spark, sf_dir):
     return columns.withColumn("samples", F.array_join("samples", "|"))
 
 
+@query("upload_snapshot", with_raw("orders", "select * from raw_orders"))
+def upload_snapshot(spark, sf_dir):
+    base = shared_folder(spark, "snapshot")
+    cells(spark, sf_dir, "orders").write.csv(f"{base}/in", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_raw(spark, load_csv(spark, f"{base}/in", "orders", f"{base}/raw", as_of=AS_OF, snapshot_to=f"{base}/kept").snapshot)
+
+
 @query("load_raw_stamped", with_raw("orders", """
     select *, '2024-01-31 00:00:00' as uploaded_at from raw_orders"""))
 def load_raw_stamped(spark, sf_dir):
