@@ -1,14 +1,15 @@
 """Secrets in documents: fixed patterns, and strings that look random to character Markov models.
 
 Two first-order models give the chance of each character after the one before: one of random strings, one of ordinary
-identifiers. Both are counted on labelled samples: what the fixed patterns find (without its keyword) is random, the
-other words of the same texts are ordinary. A string is added where the log-likelihood ratio of the models is high.
+identifiers. Both are counted over all documents, each different text once: what the fixed patterns find (without its
+keyword) is random, the other words are ordinary. A string is added where the log-likelihood ratio of the models is high.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .queries import Query, documents
 from .words import chunks
+from .workspace import Workspace, small
 
 #: The patterns of the base and the least length of what they find.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -32,8 +34,6 @@ ORDINARY = ("get set user account identifier name value index table column sourc
             "event handler manager service client server config option parameter default version create update delete "
             "internal public static final string number object array result error message connection session "
             "page title long slug some data file path time date start end count total").split()
-#: The models are fitted on about so many documents at most.
-SAMPLE_ROWS = 20_000
 #: Log-likelihood ratio in nats per character, and in all, from which a string is a secret.
 PER_CHAR, IN_ALL = 0.6, 16.0
 
@@ -119,27 +119,34 @@ def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(base + more) if more else base
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """The table of log ratios, from about ``sample_rows`` documents at most, chosen by a hash of their text.
+def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The table of log ratios, from all documents, each different text once.
 
-    The tasks send sums of fixed size. Of an empty table the models know ORDINARY alone.
+    The tasks send sums of fixed size. Equal texts are found by their hashes, and each of n copies counts as one nth, so that
+    texts are not shuffled to tell them apart. Of an empty table the models know ORDINARY alone.
     """
+    space = Workspace(docs.sparkSession, "secrets")
     texts = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
-    share = min(1.0, sample_rows / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keyed = texts.select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+    repeated = space.keep(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1"))
+    rows = keyed.join(small(repeated), ["k1", "k2"], "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
     size = 2 * len(ALPHABET) ** 2
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size)
         for batch in batches:
             for part in chunks(batch, "text"):
-                total += pair_counts(part.column("text").to_pylist()).ravel()
+                by_weight = defaultdict(list)
+                for (text, copies), here in Counter(zip(part.column("text").to_pylist(), part.column("copies").to_pylist())).items():
+                    by_weight[here / copies].append(text)
+                for weight, some in by_weight.items():
+                    total += pair_counts(some).ravel() * weight
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
     counts = pair_counts([written_together()]).ravel() * 20
-    for row in sample.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        counts[row.pair] += row.n
+    for row in rows.mapInArrow(count, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[row.pair] += round(row.n)  # the copies of a text sum up to a whole number
     return ratio_table(counts)
 
 

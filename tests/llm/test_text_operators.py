@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import cotraining, extraction, packing, repetition, secret_scan, token_spans, tokens, toxicity
 from millrace.llm.words import texts_of
@@ -71,6 +72,15 @@ def test_secrets_base_and_model(docs):
     assert secret_scan.find_secrets(docs((1, "x")).where("false")).count() == 0
 
 
+def test_secret_models_count_every_text_once(spark):
+    """More texts than any sample held, and one text that is a third of all rows."""
+    n, copied = 24_000, "the copied wording of many rows, xK7vQ2mZ9pLr4Tn8, password = 'Zk81xQp0LmT7'"
+    rows = spark.range(n).selectExpr("concat('identifier', hex(id), ' thon_', lower(hex(id * 7919)), ' deadbeef', lower(hex(id + 268435456))) text")
+    table = secret_scan.fit(rows.union(spark.range(n // 2).select(F.lit(copied))))
+    counts = secret_scan.pair_counts([r.text for r in rows.collect()] + [copied]) + 20 * secret_scan.pair_counts([secret_scan.written_together()])
+    assert np.array_equal(table, secret_scan.ratio_table(counts))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
