@@ -44,7 +44,8 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
     """Store all rows of ``path`` as the raw table at ``dest/<table>`` and profile them.
 
     ``first_rows`` stores only that many, from the head of the files in path order. Types are inferred
-    over all stored rows, or over ``sample_values`` values at the head. No data rows is an error.
+    over all stored rows, or over ``sample_values`` values at the head. No data rows is an error,
+    and so is a row with more cells than the header.
     ``snapshot_to`` also keeps the stored rows as CSV below that folder, under the time of the load.
     """
     name = safe_name(table)
@@ -53,13 +54,13 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
         raise ValueError(f"no data rows under {path}")
     order = [F.col("_row")]
     if first_rows is None:
-        rows = read_raw(spark, path, multi_line=multi_line)
+        rows = read_raw(spark, path, multi_line=multi_line, surplus="raise")
     else:
         rows = head.filter(F.col("_row") < first_rows).drop("_row")
     raw = replace_raw(rows, f"{dest.rstrip('/')}/{name}", as_of)
     text = raw.drop("uploaded_at")
     stored = raw.count()
-    total = stored if first_rows is None else scan_csv(spark, path, multi_line=multi_line).count()
+    total = stored if first_rows is None else scan_csv(spark, path, multi_line=multi_line, surplus="raise").count()
 
     hidden = F.col("column") != "_row"
     samples = column_samples(head, order).filter(hidden)
@@ -86,7 +87,7 @@ def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFram
         paths = [r["path"] for r in files.offset(seen).limit(many).select("path").collect()]
         if not paths:
             break
-        scan = scan_csv(spark, paths, multi_line=True, provenance=len(paths) > 1)
+        scan = scan_csv(spark, paths, multi_line=True, provenance=len(paths) > 1, surplus="raise")
         if len(paths) == 1:
             part = normalize_cells(scan).withColumn("_row", found + F.monotonically_increasing_id()).limit(rows - found)
         else:

@@ -77,7 +77,7 @@ def scan_csv_raw(spark, sf_dir):
     ).toDF("Order Key ", "STATUS", "Customer (ID)", "()", "_order-note")
     orders.write.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
                      ignoreTrailingWhiteSpace=False)
-    return scan_csv(spark, path)
+    return scan_csv(spark, path, surplus="raise")
 
 
 @query("load_csv", f"""

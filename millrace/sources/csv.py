@@ -15,23 +15,29 @@ from pyspark.sql.types import StringType, StructField, StructType
 from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_names
 from millrace.sources.files import decoded_path, file_name, list_files
-from millrace.sources.records import WHOLE_RECORD, assemble_records, parse_records
+from millrace.sources.records import WHOLE_RECORD, assemble_records, parse_records, refuse_surplus
 
 # The dialect, comma-separated UTF-8 with doubled quotes; every cell is text.
 DIALECT = {"sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
+#: The column in which Spark's reader puts the text of a record that has not as many cells as the header.
+RECORD = "_millrace_record"
+
 PROVENANCE = ("source_path", "source_name", "source_modified_at")
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None = None, recursive: bool = False,
-             multi_line: bool | None = None, provenance: bool = False) -> DataFrame:
+             multi_line: bool | None = None, provenance: bool = False, surplus: str = "drop") -> DataFrame:
     """All rows of the CSV files under ``path``: normalised column names, text cells as written.
 
     The header of the first file names the columns; a file with another header is an error. Short
-    rows are filled with NULL and extra cells dropped. ``multi_line`` looks at the lines when None;
+    rows are filled with NULL. Cells beyond the header are dropped, or with ``surplus="raise"``, as all that loads and
+    lands files has it, fail the job by the name of the file. ``multi_line`` looks at the lines when None;
     False promises that no cell holds a line break, True reads each file in one task.
     ``provenance`` adds where each row came from.
     """
+    if surplus not in ("drop", "raise"):
+        raise ValueError(f"surplus is drop or raise, not {surplus}")
     files = list_files(spark, path, glob=glob, recursive=recursive)
     first = files.agg(F.min("path").alias("path")).first()["path"]
     if first is None:
@@ -42,14 +48,23 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
     added = PROVENANCE if provenance else ()
     if multi_line is None and has_split_records(spark, path, **where):
         schema = StructType([StructField(n, StringType()) for n in names])
-        rows = parse_records(assemble_records(spark, path, **where), header, schema, DIALECT)
+        records = assemble_records(spark, path, **where)
+        if surplus == "raise":
+            records = refuse_surplus(records, F.col("record"), decoded_path(F.col("file")), len(header))
+        rows = parse_records(records, header, schema, DIALECT)
         file = decoded_path(F.col("file"))
         source = [file, file_name(file), F.col("modified_at")]
         cells = [F.col(f"cells.`{n}`") for n in names]
     else:
         schema = StructType([StructField(h or "", StringType()) for h in header])
-        rows = spark.read.schema(schema).options(**DIALECT, **where).csv(
-            path, header=True, multiLine=bool(multi_line), enforceSchema=False)
+        reader = spark.read.options(**DIALECT, **where)
+        if surplus == "raise":
+            reader = with_record(reader, schema)
+        else:
+            reader = reader.schema(schema)
+        rows = reader.csv(path, header=True, multiLine=bool(multi_line), enforceSchema=False)
+        if surplus == "raise":
+            rows = without_surplus(rows, schema)
         source = [decoded_path(F.col("_metadata.file_path")), decoded_path(F.col("_metadata.file_name")),
                   F.col("_metadata.file_modification_time")]
         cells = ["*"]
@@ -63,6 +78,19 @@ def read_raw(spark: SparkSession, path: str | Sequence[str], **options) -> DataF
     return normalize_cells(scan, cells)
 
 
+def with_record(reader, schema: StructType):
+    """A batch or stream reader of ``schema`` and the record of each row that has more or fewer cells."""
+    return reader.schema(StructType([*schema.fields, StructField(RECORD, StringType())])).option("columnNameOfCorruptRecord", RECORD)
+
+
+def without_surplus(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of such a reader without that column; one with more cells fails the job."""
+    # Spark compares only the cells that a query asks for, so this asks for all; nothing of the hash is added.
+    record = F.concat(F.col(RECORD), F.substring(F.hash("*").cast("string"), 1, 0))
+    marked = rows.withColumn(RECORD, F.when(F.col(RECORD).isNotNull(), record))
+    return refuse_surplus(marked, F.col(RECORD), decoded_path(F.col("_metadata.file_path")), len(schema.fields)).drop(RECORD)
+
+
 def has_split_records(spark: SparkSession, path: str | Sequence[str], **options) -> bool:
     """Whether some line is not a whole record."""
     return not spark.read.options(**options).text(path).filter(~F.col("value").rlike(WHOLE_RECORD)).isEmpty()

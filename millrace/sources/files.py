@@ -49,7 +49,7 @@ def land_files(spark: SparkSession, path: str, dest: str, ds: str, *, glob: str
 
     Each row keeps the full path of its file, so equal names in different folders stay apart. Each source (path and
     glob) has its own folder below the day; landing it again on the same day replaces that folder alone. No matching
-    file is a warning, not an error.
+    file is a warning, not an error; a row with more cells than the header is an error.
     """
     from millrace.sources.csv import read_raw
 
@@ -59,6 +59,6 @@ def land_files(spark: SparkSession, path: str, dest: str, ds: str, *, glob: str
     if count == 0:
         log.warning("no files match %s below %s", glob, path)
         return Landing(0, target)
-    rows = read_raw(spark, path, glob=glob, recursive=True, multi_line=multi_line, provenance=True)
+    rows = read_raw(spark, path, glob=glob, recursive=True, multi_line=multi_line, provenance=True, surplus="raise")
     rows.write.mode("overwrite").parquet(target)
     return Landing(count, target)

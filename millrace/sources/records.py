@@ -21,6 +21,12 @@ _CELL = rf'(?:"{_QUOTED}|[^",][^,]*+|)'
 WHOLE_RECORD = f"^{_CELL}(?:,{_CELL})*+$"
 CLOSING = f"^{_QUOTED}(?:,{_CELL})*+$"
 
+
+def longer_than(n: int) -> str:
+    """A record of more than ``n`` cells."""
+    return rf"^{_CELL}(?:,{_CELL}){{{n}}}+"
+
+
 #: A record over several splits that is longer raises: Spark cannot hold much longer texts.
 LONGEST_RECORD = 2**30
 
@@ -82,6 +88,12 @@ def parse_records(records: DataFrame, header: Sequence[str | None], schema: Stru
     return rows.select("cells", "file", "modified_at")
 
 
+def refuse_surplus(rows: DataFrame, record: Column, file: Column, n: int) -> DataFrame:
+    """``rows``, of which one with a ``record`` of more than ``n`` cells fails the job by the name of its file."""
+    message = F.concat(F.lit("a row has more cells than the header in "), file)
+    return rows.filter(F.when(record.rlike(longer_than(n)), F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def _steps(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """With ``flips``: how many rows so far turn inside to outside and outside to inside."""
     so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,18 +15,19 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.cells import normalize_cells
 from millrace.functions.names import safe_names
-from millrace.sources.csv import DIALECT, PROVENANCE
+from millrace.sources.csv import DIALECT, PROVENANCE, with_record, without_surplus
 from millrace.sources.files import decoded_path
 
 
 def stream_files(spark: SparkSession, path: str, header: Sequence[str], *, glob: str = "*.csv",
                  multi_line: bool = True) -> DataFrame:
-    """New CSV files below ``path`` as a stream of raw rows with their provenance."""
+    """New CSV files below ``path`` as a stream of raw rows with their provenance; a row with more cells than the header fails it."""
     schema = StructType([StructField(h, StringType()) for h in header])
-    rows = spark.readStream.schema(schema).options(
+    reader = with_record(spark.readStream, schema).options(
         **DIALECT, header=True, multiLine=multi_line, enforceSchema=False,
         pathGlobFilter=glob, recursiveFileLookup=True,
-    ).csv(path)
+    )
+    rows = without_surplus(reader.csv(path), schema)
     source = [decoded_path(F.col("_metadata.file_path")), decoded_path(F.col("_metadata.file_name")),
               F.col("_metadata.file_modification_time")]
     named = rows.select("*", *[c.alias(n) for c, n in zip(source, PROVENANCE)])

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans.upload import load_csv
 from millrace.sources.csv import has_split_records, read_raw, scan_csv
+from millrace.sources.files import land_files
+from millrace.streaming.landing import land_new_files
 
 
 def rows(df):
@@ -148,3 +151,26 @@ def test_assembled_files_must_share_the_header(spark, tmp_path, small_splits):
     (tmp_path / "b.csv").write_text("t,n\n" + body)
     with pytest.raises(Exception, match="header"):
         scan_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("last", ["a, b", "a,", '"q,q",x', '"t""\nu",x'])
+@pytest.mark.parametrize("multi_line", [None, True])
+def test_surplus_cells_raise_by_file_name(spark, tmp_path, last, multi_line):
+    """Short rows and commas inside quotes are no surplus; a comma too many is, however the file is read and whatever is selected."""
+    (tmp_path / "a.csv").write_text('n,t\n1\n2,"x, ""y"", z"\n')
+    assert rows(scan_csv(spark, str(tmp_path), surplus="raise")) == [("1", None), ("2", 'x, "y", z')]
+    (tmp_path / "odd one.csv").write_text(f"n,t\n3,c\n4,{last}\n")
+    df = scan_csv(spark, str(tmp_path), surplus="raise", multi_line=multi_line)
+    for broken in (df.collect, df.select("n").collect, df.count):
+        with pytest.raises(Exception, match="more cells than the header in .*odd one.csv"):
+            broken()
+
+
+def test_surplus_cells_fail_loads_and_landings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("n,t\n1,b\n2,b,c\n")
+    at = [str(tmp_path / "in"), str(tmp_path / "out")]
+    for load in (lambda: load_csv(spark, at[0], "t", at[1]), lambda: load_csv(spark, at[0], "t", at[1], first_rows=1), lambda: land_files(spark, *at, "d"),
+                 lambda: land_new_files(spark, *at, str(tmp_path / "checkpoint"), "d", ["n", "t"])):
+        with pytest.raises(Exception, match="more cells than the header in .*a.csv"):
+            load()
