@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     space = Workspace(spark, "decontamination")
     keyed = _keyed(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    hits = winnowing.shared_windows(keyed.select(*(F.col(k).alias(a) for k, a in zip(KEYS, ("k1", "k2"))), "text"), bench.where("item_id is not null"), space)
+    hits = winnowing.shared_windows(keyed.select(*(F.col(k).alias(a) for k, a in zip(KEYS, ("k1", "k2"))), "text"), bench, space)
     hit = space.keep(hits.select(*(F.col(a).alias(k) for k, a in zip(KEYS, ("k1", "k2")))).distinct())
     return keyed.join(small(hit), KEYS, "left_anti").select(docs.columns)
 

@@ -68,7 +68,9 @@ def shared_windows(docs: DataFrame, items: DataFrame, space: Workspace, window:
     hashed = space.keep(long_items.select("item_id", F.explode(let(word_hashes(F.col("text")), lambda h: runs(h, window, F.xxhash64))).alias("run")).distinct())
     hits = docs.select("k1", "k2", F.posexplode(fingerprints(F.col("text"), window, k)).alias("start", "fp")).join(small(kept), "fp", "left_semi")
     hits = space.keep(hits.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts")))
-    whole = docs.join(small(hits), ["k1", "k2"]).select("k1", "k2", F.explode(let(word_hashes(F.col("text")), lambda h: F.transform(
+    # Texts without a hit go first, so that a join with many starts moves few texts.
+    near = docs.join(small(hits.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    whole = near.join(small(hits, lists="starts"), ["k1", "k2"]).select("k1", "k2", F.explode(let(word_hashes(F.col("text")), lambda h: F.transform(
         "starts", lambda s: F.struct(s.alias("start"), F.xxhash64(*(F.get(h, s + j) for j in range(window))).alias("run"))))).alias("one"))
     found = whole.select("k1", "k2", "one.*").join(small(hashed), "run").select("k1", "k2", "item_id", "start", F.lit(window).alias("length"))
 
@@ -86,21 +88,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Texts are compared by words: runs of ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. A
     window is ``window`` consecutive words of an item, or all words of an item that has fewer. A null or empty text has no
     words, and an item without words no window. Rows with the same id and text get the same result; rows that only
-    share an id are told apart by their text, so ids may be null or repeated. Item ids may repeat and count once.
+    share an id are told apart by their text, so ids may be null or repeated. Item ids may repeat and count once; all items without an
+    id count as one, which has no name in the list that ``items_sha256`` is made of.
     Other columns are not read. An empty table on either side gives no hits.
     """
     space = Workspace(docs.sparkSession, "winnowing")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
     bench = items.select(items[item_col].cast("string").alias("item_id"), items[item_text_col].cast("string").alias("text"))
-    hits = space.keep(shared_windows(rows.select("k1", "k2", "text"), bench.where("item_id is not null"), space, window, k).distinct())
+    hits = space.keep(shared_windows(rows.select("k1", "k2", "text"), bench, space, window, k).distinct())
     words_hit = hits.select("k1", "k2", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word")).distinct()
     n_hit = words_hit.groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
-    named = hits.select("k1", "k2", "item_id").distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    named = hits.select("k1", "k2", "item_id").distinct().groupBy("k1", "k2").agg(
+        F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items"))
     found = n_hit.join(named, ["k1", "k2"])
     out = rows.select("doc_id", "k1", "k2", F.size(cased_words(F.col("text"))).cast("long").alias("n_words")).join(found, ["k1", "k2"], "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 

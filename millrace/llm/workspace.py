@@ -11,9 +11,10 @@ from millrace.session import shared_folder
 BROADCAST_ROWS = 300_000
 
 
-def small(kept: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A kept table for the small side of a join: broadcast if its rows, counted, are few."""
-    return F.broadcast(kept) if kept.count() <= most else kept
+def small(kept: DataFrame, most: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
+    """A kept table for the small side of a join: broadcast if its rows, or the elements of its column ``lists``, are few."""
+    n = kept.count() if lists is None else kept.agg(F.sum(F.size(lists))).first()[0] or 0
+    return F.broadcast(kept) if n <= most else kept
 
 
 class Workspace:

@@ -1,5 +1,6 @@
 """Operators that bring documents together, against plain versions, and the pipeline."""
 
+import hashlib
 import random
 import re
 
@@ -9,6 +10,7 @@ from compare import connect, difference
 import corpus_pipeline
 from millrace.llm import jaccard, warc, winnowing
 from millrace.llm.registry import QUERIES
+from millrace.llm.workspace import small
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (4, "other text"), (5, "x" * 30000), (6, "w " * 3000)]
 
@@ -160,3 +162,21 @@ def test_pipeline_of_edges(spark, sf_dir):
             docs = stage(spark, docs, sf_dir)
         assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
         assert docs.count() >= 0
+
+
+def test_items_without_id_contaminate(spark, docs, tmp_path):
+    """Such items count as one without a name, as in the SQL; the pipeline needs no id at all."""
+    rows = [(1, "so one two three it is"), (2, "x y z"), (3, "x y z and one two three"), (4, "none of it"), (5, "so four five six")]
+    bench = spark.createDataFrame([(None, "x y z"), (None, "four five six"), (7, "one two three")], "item_id long, text string")
+    digest = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("", "7")}
+    found = winnowing.contamination(docs(*rows), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found] == [
+        (3, 1, digest["7"], True), (3, 1, digest[""], True), (6, 2, digest["7"], True), (0, 0, digest[""], False), (3, 1, digest[""], True)]
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs(*rows), str(tmp_path)).collect()] == [4]
+
+
+def test_long_lists_are_no_small_table(spark):
+    kept = spark.createDataFrame([(1, [0] * 8)], "k int, starts array<int>")
+    hinted = ["Hint" in small(kept, *x)._jdf.queryExecution().logical().nodeName() for x in ((7,), (7, "starts"), (8, "starts"))]
+    assert hinted == [True, False, True]
