@@ -1,7 +1,8 @@
 """Main text of web pages, by scoring the tree of elements.
 
 Paragraphs give points for their length and commas to their ancestors, less with distance; an element's points are
-discounted by its link density. The best container and those of its siblings that score well are kept, without the parts
+discounted by its link density. The best container and those of its siblings that score well, or beside a container that is
+no article hold paragraphs and few links, are kept, without the parts
 that are never content: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 """
 
@@ -54,8 +55,12 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A tree of the page. Tags that are not closed are closed by what follows; what is cut off at the end is kept."""
+    """A tree of the page. Tags that are not closed are closed by what follows; what is cut off at the end is kept.
+
+    Only a script or style that is never closed runs to the end; of other elements without content the tag alone goes.
+    """
     root = here = Node("#page", "", None)
+    unclosed: set[str] = set()
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -80,8 +85,14 @@ def parse(page: str) -> Node:
                 here = up.parent
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not attributes.rstrip().endswith("/") else None
-            at = end.end() if end else (at if attributes.rstrip().endswith("/") else n)
+            if not attributes.rstrip().endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    unclosed.add(tag)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -234,7 +245,8 @@ def main_text(page: str | None) -> str:
             kept.append(x)
         elif isinstance(x, Node) and not x.dropped:
             dense = x.link_chars / max(1, x.chars)
-            if x.tag in HEADINGS and best.tag not in ("article", "main") or x.points >= least or x.tag == "p" and x.chars > 80 and dense < 0.25:
+            part = best.tag not in ("article", "main") and x.tag in BLOCKS and x.points > 0 and x.chars >= LEAST_CHARS and dense < 0.25
+            if part or x.tag in HEADINGS and best.tag not in ("article", "main") or x.points >= least or x.tag == "p" and x.chars > 80 and dense < 0.25:
                 kept.append(x)
     return _text(kept)
 

@@ -168,6 +168,20 @@ def test_extraction(spark):
     assert extraction.extract(pages.where("false")).count() == 0
 
 
+def test_short_sections_stay_beside_a_long_one():
+    long = "".join(f"<p>Sentence {i} of the long part, with words, commas, and more than a hundred characters so that it gets its points, {i}.</p>" for i in range(12))
+    menu = "".join(f'<a href="/{i}">A link with a rather long name {i}</a>' for i in range(6))
+    text = extraction.main_text(f"<body><div><section>{long}</section><section><p>A short part of its own, one paragraph.</p></section><div>{menu}</div></div></body>")
+    assert "Sentence 11" in text and text.endswith("A short part of its own, one paragraph.")
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "noscript", "template", "iframe", "title"])
+def test_only_scripts_and_styles_run_to_the_end(tag):
+    page = "<body><article><p>The first paragraph of this page is here.</p><{0}><p>The second paragraph of this page is here.</p><{0}></article></body>"
+    assert extraction.main_text(page.format(tag)).endswith("The second paragraph of this page is here.")
+    assert extraction.main_text(page.format("script")) == extraction.main_text(page.format("style")) == "The first paragraph of this page is here."
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
