@@ -1,0 +1,105 @@
+"""The template language and the formatting of conversations, against plain versions and exact round trips."""
+
+import hashlib
+import random
+
+import pytest
+
+from millrace.llm import chat
+from millrace.llm.template import Const, If, Template, TemplateError, Text, fold_all, parse
+
+MESSAGES = [{"role": "user", "text": " hi "}, {"role": "assistant", "text": "yo"}]
+
+
+@pytest.mark.parametrize("source, want", [
+    ("a{{ 1 + 2 }}b", "a3b"), ("{{ 'x' + 1 + \"\\n\" }}", "x1\n"), ("{# no #}{{ none }}", ""), ("{{ 1 == 1 and not (2 != 2) }}", "True"),
+    ("{% for m in messages %}{{ loop.index0 }}{{ m['role'] | upper }}{{ m.text | trim }}{% if not loop.last %}, {% endif %}{% endfor %}", "0USERhi, 1ASSISTANTyo"),
+    ("{% if messages[0].role == 'user' %}u{% elif true %}v{% else %}w{% endif %}", "u"), ("a {%- if 'a' in 'cat' -%} \n b {%- endif -%} c", "abc"),
+    ("{% set x = 'q' %}{% for m in messages %}{{ x }}{% endfor %}", "qq"), ("{% for m in messages %}{% if 'z' not in m.text %}n{% endif %}{% endfor %}", "nn"),
+    ("{{ 'a' | length + 1 }}", "2"), ("{{ false or 'x' }}{{ 0 and 1 }}", "x0"), ("", "")])
+def test_templates(source, want):
+    assert Template(source).render(MESSAGES)[0] == want
+
+
+@pytest.mark.parametrize("source", ["{{ x }}", "{{ ''.__class__ }}", "{{ m.role }}", "{% for x in 3 %}{% endfor %}", "{% if 1 %}", "{{ 1 | eval }}", "{{ f(1) }}", "{{ 1",
+                                    "{% set messages = 1 %}", "{% else %}", "{{ loop.first }}", "{{ 'a }}", "{% for m in messages %}{{ m.nothing }}{% endfor %}", "{{ messages }}", "{{ }}"])
+def test_templates_that_are_refused(source):
+    with pytest.raises(TemplateError):
+        Template(source).render(MESSAGES)
+
+
+def test_constants_are_folded():
+    assert fold_all(parse("a{{ 'b' + 'c' }}{% if 1 == 2 %}x{% else %}d{% endif %}{{ 'E' | lower }}")) == (Text("abcde"),)
+    tree = fold_all(parse("{% for m in messages %}{% if m.role == 'a' + 'b' and true %}x{% endif %}{% endfor %}"))
+    test = tree[0].body[0]
+    assert isinstance(test, If) and Const("ab") in test.test.args[0].args
+
+
+def test_spans_and_pieces():
+    source = "^{% for m in messages %}{% if m.role == 'assistant' %}{% generation %}{{ m.text }}{% endgeneration %}{% else %}[{{ m.text }}]{% endif %}{% endfor %}$"
+    template, many = Template(source), [{"role": r, "text": str(i) * (i % 5)} for i in range(50) for r in ("user", "assistant")]
+    text, spans = template.render(many)
+    assert [text[a:b] for a, b in spans] == [m["text"] for m in many if m["role"] == "assistant"]
+    assert template.streams and not Template("{{ messages[0].role }}" + source).streams
+    pieces = list(template.pieces(iter(many), most=7))
+    assert len(pieces) > 10 and "".join(p for p, _ in pieces) == text and [p[a:b] for p, s in pieces for a, b in s] == [text[a:b] for a, b in spans]
+    whole = Template("{% generation %}" + source + "{% endgeneration %}")
+    assert whole.render(many)[1] == [(0, len(text))]
+    assert Template("x").render([]) == ("x", [])
+
+
+def test_escape_round_trip():
+    rng, escape = random.Random(1), chat.Escape()
+    for _ in range(4000):
+        text = "".join(rng.choice([*chat.CONTROLS, "\\", "<", ">", "[", "/", "s>", "a", "é🙂", "\n"]) for _ in range(rng.randrange(9)))
+        assert escape.undo(escape(text)) == text and not escape.cut.search(escape(text))
+    for wrong in (["<s>", "s>x"], ["a"], ["a\\b"], ["aa"]):
+        with pytest.raises(ValueError):
+            chat.Escape(wrong)
+
+
+def test_turns_that_are_not_whole_are_refused():
+    for text in ("x", "<s>", "<s>a[INST]", "<<ROLE>>r</s>", "</s>"):
+        with pytest.raises(ValueError):
+            list(chat.read_turns(text, chat.Escape()))
+
+
+def plain(rows):
+    out = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        out.setdefault(conv, []).append((role or "", text or ""))
+    return {c: (len(t), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest(), sum(len(x) for r, x in t if r == "assistant"),
+                hashlib.sha256("".join(x for r, x in t if r == "assistant").encode()).hexdigest()) for c, t in out.items()}
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, part string, start int").repartition(3)
+
+
+def test_conversations_round_trip(spark):
+    rng = random.Random(2)
+    roles = ["user", "assistant", "system", "tool</s>", "", None]
+    rows = [(c, t, rng.choice(roles), "".join(rng.choice([*chat.CONTROLS, "\\", "é", " ", "\n", "word"]) for _ in range(rng.randrange(12))))
+            for c in range(40) for t in range(rng.randrange(1, 9))]
+    rows += [(100, 1, "assistant", None), (101, None, "assistant", "first"), (101, 0, "assistant", "next"), (102, 0, "user", "same"), (102, 0, "user", "same"),
+             (103, 5, "user", "b"), (103, 5, "assistant", "a"), (None, 0, "user", "no"), (None, 1, "assistant", "id"), (104, 0, "assistant", "\\" * 300000), (105, 0, None, None)]
+    for size in (1 << 20, 40):
+        formatted = chat.format_conversations(make(spark, rows), piece_chars=size)
+        found = {r.conv_id: tuple(r[1:5]) for r in chat.read_back(formatted).collect()}
+        assert found == plain(rows)
+    texts = {}
+    for r in formatted.collect():
+        texts[r.conv_id] = texts.get(r.conv_id, "") + r.text
+        assert r.start + len(r.text) == len(texts[r.conv_id])
+    escape = chat.Escape()
+    assert list(chat.read_turns(texts[101], escape)) == [("assistant", "first"), ("assistant", "next")]
+    assert chat.read_back(chat.format_conversations(make(spark, rows).where("false"))).count() == 0
+
+
+def test_a_long_conversation_is_written_in_pieces(spark):
+    rows = spark.range(20000).selectExpr("1 conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id, repeat(' and more', 20)) text")
+    pieces = chat.format_conversations(rows, piece_chars=100_000)
+    sizes = [len(r.text) for r in pieces.collect()]
+    assert len(sizes) > 20 and max(sizes) < 101_000
+    found = chat.read_back(pieces).collect()
+    assert [(r.n_turns, r.formatted_chars) for r in found] == [(20000, sum(sizes))]
