@@ -1,15 +1,16 @@
 """Main text of web pages, by scoring the tree of elements.
 
 Paragraphs give points for their length and commas to their ancestors, less with distance; an element's points are
-discounted by its link density. The best container and those of its siblings that score well, or beside a container that is
-no article hold paragraphs and few links, are kept, without the parts
-that are never content: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+discounted by its link density. The best container and those of its siblings that hold text and few links are kept (beside an article only
+further articles and paragraphs), without the parts that are never content: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from .words import chunks
 
 #: How elements of a page behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style template iframe textarea title svg select".split())
 BLOCKS = frozenset(("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
@@ -37,21 +38,28 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply res
 CONTENT_WORDS = frozenset("article content main body post entry text story page hentry blog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Every "<" with a letter behind it and a ">" somewhere after it is a tag: up to a ">" outside of quotes, or else to the first one.
+_TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)")
+#: One attribute after the other, so that what stands in a value is never taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|["'=]""")
+_LOOKED_AT = frozenset("class id role hidden style aria-hidden".split())
 _CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
+#: Elements that are paragraphs, and others whose own text counts as one.
+PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+HOLDERS = frozenset("div section article main body".split())
 #: Points of a paragraph need so many characters; one point, one more for each comma and for each hundred characters up to three.
 LEAST_CHARS = 25
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "chars", "link_chars", "dropped")
+    __slots__ = ("tag", "attributes", "parent", "children", "depth", "points", "chars", "link_chars", "said", "commas", "dropped")
 
     def __init__(self, tag: str, attributes: str, parent: "Node | None"):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
-        self.points, self.chars, self.link_chars, self.dropped = 0.0, 0, 0, False
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.points, self.chars, self.link_chars, self.said, self.commas, self.dropped = 0.0, 0, 0, 0, 0, False
 
 
 def parse(page: str) -> Node:
@@ -60,33 +68,59 @@ def parse(page: str) -> Node:
     Only a script or style that is never closed runs to the end; of other elements without content the tag alone goes.
     """
     root = here = Node("#page", "", None)
+    path, opened = [root], defaultdict(list)  # open elements from the outside in, all and by their tag
     unclosed: set[str] = set()
     at, n = 0, len(page)
+    last, last_cdata = page.rfind(">") + 1, page.rfind("]]>")
+
+    def add_text(text: str) -> None:
+        here.children.append(html.unescape(text) if "&" in text else text)
+
+    def leave(depth: int) -> Node:
+        """Close all elements from this depth on."""
+        while len(path) > depth:
+            opened[path.pop().tag].pop()
+        return path[-1]
+
+    def leave_outermost(tags: tuple[str, ...], until: tuple[str, ...]) -> Node:
+        """Close the outermost open element of ``tags`` below the nearest of ``until``."""
+        floor = max((opened[t][-1].depth for t in until if opened[t]), default=0)
+        inside = [x[i].depth for x in (opened[t] for t in tags) if (i := bisect_right(x, floor, key=lambda e: e.depth)) < len(x)]
+        return leave(min(inside)) if inside else path[-1]
+
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         if not m:
-            here.children.append(html.unescape(page[at:]) if "&" in page[at:] else page[at:])
+            # What is cut off inside a comment goes, as does a comment without an end.
+            cut = page.find("<!--", at)
+            add_text(page[at: cut if cut >= 0 else n])
             break
         if m.start() > at:
-            text = page[at: m.start()]
-            here.children.append(html.unescape(text) if "&" in text else text)
+            add_text(page[at: m.start()])
         at = m.end()
-        closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else n
+            continue
+        if m[0] == "<![CDATA[":
+            if at <= last_cdata:
+                end = page.find("]]>", at)
+                here.children.append(page[at:end])
+                at = end + 3
+            else:
+                at = page.find(">", at) + 1 or n
+            continue
+        closing, name, attributes = m[1], m[2], m[3] or m[4] or ""
         if not name:
-            if m[1]:
-                here.children.append(m[1])
             continue
         tag = name.lower()
         if closing:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag]:
+                here = leave(opened[tag][-1].depth)
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/") and tag not in unclosed:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last)
                 if end:
                     at = end.end()
                 elif tag in ("script", "style"):
@@ -99,35 +133,28 @@ def parse(page: str) -> Node:
                 here.children.append(" ")
             continue
         if tag in PARAGRAPH_ENDS:
-            here = _close(here, ("p",), ("td", "th", "li", "div", "article", "section", "main", "body", "blockquote", "#page"))
+            leave_outermost(("p",), ("td", "th", "li", "div", "article", "section", "main", "body", "blockquote"))
         if tag in CLOSES:
             which, until = CLOSES[tag]
-            here = _close(here, which.split(), until)
-        node = Node(tag, attributes, here)
-        here.children.append(node)
+            leave_outermost(tuple(which.split()), until)
+        node = Node(tag, attributes, path[-1])
+        path[-1].children.append(node)
+        path.append(node)
+        opened[tag].append(node)
         here = node
     return root
 
 
-def _close(here: Node, tags, until) -> Node:
-    """Leave the outermost open element of ``tags`` below the nearest of ``until``."""
-    found, up = None, here
-    while up is not None and up.tag not in until:
-        if up.tag in tags:
-            found = up
-        up = up.parent
-    if up is not None and up.tag in tags and found is None:
-        return here
-    return found.parent if found else here
-
-
 def _words(node: Node) -> tuple[set[str], str, bool]:
     """Words of class and id, the role, and whether the element is hidden."""
     words: set[str] = set()
     role, hidden = "", False
     if node.attributes:
-        for key, value in _NAMES.findall(node.attributes):
-            key, value = key.lower(), value.strip("\"'")
+        for key, value in _ATTRIBUTE.findall(node.attributes):
+            key = key.lower()
+            if key not in _LOOKED_AT:
+                continue
+            value = html.unescape(value[1:-1] if value[:1] in ("'", '"') else value)
             if key in ("class", "id"):
                 words.update(x for x in _CUT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if x)
             elif key == "role":
@@ -176,22 +203,22 @@ def _score(root: Node) -> list[Node]:
         for child in node.children:
             if isinstance(child, str):
                 own += len(child.strip())
-        node.chars = own
+                node.commas += child.count(",")
+        node.chars = node.said = own
         node.link_chars = own if in_link else 0
         stack.extend((child, in_article, in_link) for child in reversed(node.children) if isinstance(child, Node))
     for node in reversed(order):
+        # Text of elements that hold no paragraph of their own counts for the one around them.
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
+            if node.tag not in PARAGRAPHS and node.tag not in HOLDERS:
+                node.parent.said += node.said
+                node.parent.commas += node.commas
     for node in order:
-        if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") or node.tag in ("div", "section", "article", "main", "body") and any(
-                isinstance(c, str) and len(c.strip()) >= LEAST_CHARS for c in node.children):
-            text = _text([node]) if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") else " ".join(c for c in node.children if isinstance(c, str))
-            if len(text) < LEAST_CHARS:
-                continue
-            points = 1 + text.count(",") + min(len(text) // 100, 3)
-            points *= 1 - node.link_chars / max(1, node.chars)
-            up, share = (node.parent, 1.0) if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") else (node, 1.0)
+        if (node.tag in PARAGRAPHS or node.tag in HOLDERS) and node.said >= LEAST_CHARS:
+            points = (1 + node.commas + min(node.said // 100, 3)) * (1 - node.link_chars / max(1, node.chars))
+            up, share = node.parent if node.tag in PARAGRAPHS else node, 1.0
             far = 1
             while up is not None and far <= 4:
                 up.points += points * share
@@ -238,17 +265,18 @@ def main_text(page: str | None) -> str:
             best = best.parent
     if best.parent is None:
         return _text([best])
-    least = max(10.0, best.points * 0.2)
-    kept = []
-    for x in best.parent.children:
-        if x is best:
-            kept.append(x)
-        elif isinstance(x, Node) and not x.dropped:
-            dense = x.link_chars / max(1, x.chars)
-            part = best.tag not in ("article", "main") and x.tag in BLOCKS and x.points > 0 and x.chars >= LEAST_CHARS and dense < 0.25
-            if part or x.tag in HEADINGS and best.tag not in ("article", "main") or x.points >= least or x.tag == "p" and x.chars > 80 and dense < 0.25:
-                kept.append(x)
-    return _text(kept)
+    article = best.tag in ("article", "main")
+    return _text([x for x in best.parent.children if x is best or isinstance(x, Node) and _stays(x, article)])
+
+
+def _stays(x: Node, beside_article: bool) -> bool:
+    """Whether a sibling of the best container is kept. It does not depend on how long either of them is."""
+    if x.dropped or not x.chars:
+        return False
+    dense = x.link_chars / x.chars
+    if beside_article:
+        return x.tag == "article" and dense < 0.5 or x.tag == "p" and dense < 0.25
+    return x.tag in HEADINGS or x.tag in BLOCKS and dense < 0.25
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ Each document is the set of the hashes of its n-grams, in one global order, and
    that is empty on both sides says nothing, so m leaves room for some; a class with more empty ones than that is also
    cut by a second hash, and so on. If two classes share too many empty fragments, both have too many, so no link is lost.
    Keys travel packed, some thousand to a row, and are sorted bucket by bucket; the number of buckets grows with the data.
+   A task sends the keys of a class once, so a bucket has at most a few entries a task for a text that many rows hold.
 3. Classes left over are put in the global order by frequency, rare n-grams first, and joined by the first n-grams of
    that order, with the position as a bound on the overlap. In each group of classes with the same n-gram the most
    central one is compared with all others; the components of these links leave few pairs, and all pairs of different
@@ -37,6 +38,8 @@ FRAGMENTS = 16
 SEEDS = 10
 #: Fragments beyond those needed, as a share of H: so many more must be shared, which chance seldom gives.
 MORE_SHARED = 0.12
+#: Classes that a task remembers, so as not to send their keys again.
+SENT_CLASSES = 1_000_000
 #: N-grams per bucket of keys, about.
 BUCKET_GRAMS = 1_000_000
 
@@ -210,10 +213,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = (named.agg(F.sum("size")).first()[0] or 0) // BUCKET_GRAMS + 1
 
     def keys(batches):
+        sent: set[int] = set()  # classes of this task, so that many copies of a text send their keys once a task
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, gram, size, node = _sets(part, n)
-                yield packed_keys(node, *fragment_keys(doc, gram, size, bands), buckets)
+                if len(sent) > SENT_CLASSES:
+                    sent.clear()
+                fresh = np.array([x not in sent and not sent.add(x) for x in node.tolist()], dtype=bool)
+                doc, gram = doc[fresh[doc]], gram[fresh[doc]]
+                yield packed_keys(node, *fragment_keys(doc, gram, np.where(fresh, size, 0), bands), buckets)
 
     met = rows.select("text").mapInArrow(keys, "bucket long, keys binary, who binary").groupBy("bucket").applyInArrow(
         shared_keys, "node long, tag long, shared long")

@@ -153,7 +153,7 @@ class Tree:
         more = [c for c in above.columns if c not in ("key", "above")]
         above = above.withColumn("block", F.lit(0).cast("long"))
         for tier in range(len(self.tiers) - 1, -1, -1):
-            blocks = self.tiers[tier].drop("digest").join(small(self.space.keep(above)), ["key", "block"])
+            blocks = self.tiers[tier].drop("digest").join(small(self.space.keep(above), lists="above"), ["key", "block"])
             rows = blocks.select("key", *more, F.inline(_opened(blocks, tier, self.bits, self.digits)))
             above = rows.select("key", F.col("rank").alias("block"), F.col("path").alias("above"), *more)
         return rows.select("key", "leaf", "path", "held", *more)

@@ -112,9 +112,14 @@ def looks_random(s: str, table: np.ndarray, per_char: float = PER_CHAR, in_all:
 def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     """The base spans and, beside them, the strings that look random."""
     base = base_spans(text)
-    more = []
+    more, ahead, reach = [], iter(base), 0
+    here = next(ahead, None)
     for m in CANDIDATE.finditer(text):
-        if not any(start < m.end() and m.start() < end for start, _, end in base) and looks_random(m[0], table):
+        # Both go by their start, so it is enough to know how far the base spans reach that begin before the string ends.
+        while here is not None and here[0] < m.end():
+            reach = max(reach, here[2])
+            here = next(ahead, None)
+        if reach <= m.start() and looks_random(m[0], table):
             more.append((m.start(), 3, m.end()))
     return sorted(base + more) if more else base
 

@@ -1,12 +1,15 @@
 """Token ids of many texts at once, by a public byte-level BPE vocabulary.
 
 The vocabulary's pattern cuts a text into pieces that are encoded alone. The cuts are found for a whole batch with
-numpy, and each different piece is encoded once per task: most pieces are common words.
+numpy, and each different piece is encoded once per task: most pieces are common words. Pieces are found by a hash, and their bytes
+are compared with those that were encoded. The special tokens of the vocabulary count as such where a text spells them, as the
+tokenizer has it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import unicodedata
 from array import array
@@ -44,18 +47,20 @@ class Encoded:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[bytes, int]):
         import tiktoken
 
+        self.special = special
         self._encode = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, i in ranks.items():
+        tokens = {**ranks, **special}
+        self.bytes_of = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
+        for token, i in tokens.items():
             self.bytes_of[i] = len(token)
         self._class = _classes()
         self._forget()
 
     def _forget(self) -> None:
-        self._row: dict[int, int] = {}
+        self._row: dict[int, tuple[int, bytes]] = {}
         self._ids, self._ends = array("I"), array("q", [0])
 
     def cuts(self, texts: Texts) -> np.ndarray:
@@ -69,6 +74,8 @@ class Encoder:
         begins = np.zeros(n + 1, dtype=bool)
         begins[np.searchsorted(lead, texts.at)] = True
         begins[n] = True
+        special = self._special(texts)
+        begins[np.searchsorted(lead, special.ravel())] = True
         blank, space = kind == _SPACE, chars == 0x20
         run = begins[:n].copy()
         run[1:] |= kind[1:] != kind[:-1]
@@ -91,28 +98,54 @@ class Encoder:
             starts[at + 1] = False
             starts[(at + k + 1)[at + k + 1 < n]] = True
             mark = np.setdiff1d(mark, at, assume_unique=True)
+        for a, b in np.searchsorted(lead, special):
+            starts[a: b] = False
+            starts[a] = True
         return lead[starts]
 
+    def _special(self, texts: Texts) -> np.ndarray:
+        """First byte and end of each special token that a text spells."""
+        body, found = texts.data.tobytes(), []
+        for token in self.special:
+            at = body.find(token)
+            while at >= 0:
+                if np.searchsorted(texts.at, at, side="right") == np.searchsorted(texts.at, at + len(token), side="left"):  # in one text
+                    found.append((at, at + len(token)))
+                    at += len(token) - 1
+                at = body.find(token, at + 1)
+        return np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+
+    def _ids_of(self, piece: bytes) -> list[int]:
+        return [self.special[piece]] if piece in self.special else self._encode(piece.decode("utf-8"))
+
     def encode(self, texts: Texts) -> Encoded:
         start = self.cuts(texts)
         end = np.append(start[1:], len(texts.data))
-        code, first = pd.factorize(Hashes(texts).of(start, end))
+        hashes = Hashes(texts)
+        code, first = pd.factorize(hashes.of(start, end))
         if len(self._row) > MOST_PIECES:
             self._forget()
         where = np.full(len(first), -1, dtype=np.int64)
         where[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # where each different piece occurs first
         row, rows = self._row, np.empty(len(first), dtype=np.int64)
         body = texts.data.tobytes()
+
+        def added(piece: bytes) -> int:
+            self._ids.extend(self._ids_of(piece))
+            self._ends.append(len(self._ids))
+            return len(self._ends) - 2
+
         for i, (key, at) in enumerate(zip(first.tolist(), where.tolist())):
-            r = row.get(key)
-            if r is None:
-                r = row[key] = len(self._ends) - 1
-                self._ids.extend(self._encode(body[start[at]: end[at]].decode("utf-8")))
-                self._ends.append(len(self._ids))
-            rows[i] = r
+            piece = body[start[at]: end[at]]
+            known = row.get(key)
+            if known is None or known[1] != piece:
+                known = row[key] = (added(piece), piece)
+            rows[i] = known[0]
+        mine = rows[code]
+        for i in np.flatnonzero(hashes.differ(start, end, start[where][code], end[where][code])).tolist():  # other bytes with the same hash
+            mine[i] = added(body[start[i]: end[i]])
         ends = np.frombuffer(self._ends, dtype=np.int64)
         ids = np.frombuffer(self._ids, dtype=np.uint32) if len(self._ids) else np.zeros(0, np.uint32)
-        mine = rows[code]
         size = ends[mine + 1] - ends[mine]
         total = np.concatenate(([0], np.cumsum(size)))
         out = ids[np.repeat(ends[mine] - total[:-1], size) + np.arange(total[-1])]
@@ -124,6 +157,9 @@ def load(folder_of=None) -> Encoder:
     """The encoder of the public vocabulary; ``folder_of`` gives a file's place by its name."""
     import public_tokenizers
 
-    with open((folder_of or public_tokenizers.path)(RANKS), "rb") as lines:
+    place = folder_of or public_tokenizers.path
+    with open(place(RANKS), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return Encoder(ranks, public_tokenizers.PATTERN)
+    with open(place(TOKENIZER), encoding="utf-8") as file:
+        special = {x["content"].encode(): x["id"] for x in json.load(file)["added_tokens"]}
+    return Encoder(ranks, public_tokenizers.PATTERN, special)

@@ -14,6 +14,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,7 +31,7 @@ READ_BYTES = 1 << 18
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAME = "urn:page:"
+NAME = "urn:page"
 
 _READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
 
@@ -44,15 +45,28 @@ def _clean(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
+def name_of(page_id: str | None) -> str:
+    """The name of a page's record: the id in ASCII, all signs escaped. Without an id it has no colon, so "" is another one."""
+    return NAME if page_id is None else f"{NAME}:{quote(page_id, safe='')}"
+
+
+def id_of(name: str) -> str | None:
+    """The page_id in a record's name."""
+    return unquote(name[len(NAME) + 1:]) if name.startswith(NAME + ":") else None
+
+
 def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
-    """A gzip member with a response record, or a revisit record if another page's name is given."""
-    name = f"<{NAME}{_clean(page_id or '')}>"
+    """A gzip member with a response record, or a revisit record if another page's id is given.
+
+    A url is written on one line, with control characters escaped; without one the record's name stands for it.
+    """
+    name = f"<{name_of(page_id)}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {_clean(url or NAME + (page_id or ''))}", f"WARC-Payload-Digest: {_digest(payload)}", f"WARC-Block-Digest: {_digest(block)}"]
+            f"WARC-Target-URI: {_clean(url or name_of(page_id))}", f"WARC-Payload-Digest: {_digest(payload)}", f"WARC-Block-Digest: {_digest(block)}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{NAME}{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name_of(refers_to)}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -132,8 +146,8 @@ def read_record(parts: Iterator[bytes], keep_payload: bool = False) -> dict:
         raise ValueError(f"{name}: the block does not have its digest")
     if fields["warc-type"] == "response" and (size != length or "sha1:" + base64.b32encode(payload.digest()).decode() != fields["warc-payload-digest"]):
         raise ValueError(f"{name}: the payload does not have its digest or length")
-    page_id, other = (x[len(NAME) + 1: -1] if x else None for x in (name, fields.get("warc-refers-to")))
-    found = {"page_id": page_id or None, "payload_bytes": length, "record_type": fields["warc-type"], "refers_to": other,
+    page_id, other = (id_of(x[1:-1]) if x else None for x in (name, fields.get("warc-refers-to")))
+    found = {"page_id": page_id, "payload_bytes": length, "record_type": fields["warc-type"], "refers_to": other,
              "payload_digest": base64.b32decode(fields["warc-payload-digest"][5:]).hex(), "url": fields["warc-target-uri"]}
     return found | ({"payload": b"".join(kept)} if keep_payload else {})
 
@@ -217,8 +231,9 @@ def archive_round_trip(pages: DataFrame, keep_payload: bool = False) -> DataFram
     """Write a record per row of ``pages`` (page_id, url, html) and read the archives back.
 
     Null html is an empty payload, a null url becomes a name made of the page_id. Rows that share the largest page_id of equal
-    payloads are all stored; so are all rows of a group without any page_id. Other columns are not written. An empty table writes no
-    archive and gives no rows.
+    payloads are all stored; so are all rows of a group without any page_id. Rows that share a page_id share the name of their records.
+    An id of text comes back as it was, empty or with line breaks; a url on one line, see ``record``. Other columns are not written. An empty
+    table writes no archive and gives no rows.
     """
     space = Workspace(pages.sparkSession, "warc")
     kind = dict(pages.dtypes)["page_id"]

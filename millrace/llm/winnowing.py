@@ -5,8 +5,8 @@ is kept as its fingerprint, in documents and in items, so a shared window always
 joined, and each hit is extended to its whole window: windows whose words all agree are matches. Items with fewer words
 than a window are matched whole, by the hashes of all runs of their length.
 
-Fingerprints are made of texts in lower case. That may join more than asked for, but never less; the windows
-are compared with only A-Z lower-cased.
+Fingerprints and windows are made of the same words, with only A-Z lower-cased: other letters may have a small form that
+depends on what follows them.
 """
 
 from __future__ import annotations
@@ -45,8 +45,7 @@ def runs(values: Column, n: int, of) -> Column:
 
 def fingerprints(text: Column, window: int = WINDOW, k: int = K) -> Column:
     """The smallest k-gram hash of each window of words, in the order of the windows."""
-    hashes = F.transform(cased_words(F.lower(text)), lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(runs(h, k, F.xxhash64), lambda g: runs(g, window - k + 1, F.least)))
+    return let(word_hashes(text), lambda h: let(runs(h, k, F.xxhash64), lambda g: runs(g, window - k + 1, F.least)))
 
 
 def _whole_hash(column: str, most: int) -> Column:

@@ -1,12 +1,12 @@
 """Words of many texts at once, as numpy arrays over the bytes of an Arrow string column.
 
-A word is a run of bytes that are no separators. Words get a 64-bit hash: the sum of a random number per byte times
-a power of an odd number, so that the hash of any span comes from one running sum. Nothing here makes a Python object
-per word.
+A word is a run of bytes that are no separators. Words get a 64-bit hash of their bytes. Nothing here makes a Python object
+per word, but for words of more than _SHORT bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +18,6 @@ CHUNK_BYTES = 1 << 20
 
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A well spread 64-bit number for each 64-bit number (the finaliser of splitmix64)."""
@@ -33,14 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.cumprod(out, out=out)
-    return out
-
-
 @dataclass
 class Texts:
     """The bytes of some texts one after the other; text i is data[at[i]:at[i + 1]]."""
@@ -97,19 +86,57 @@ def lower_ascii(texts: Texts) -> Texts:
     return Texts(data, texts.at)
 
 
+#: Spans of up to so many bytes are hashed together, eight bytes at a time; longer ones, which are few, one by one.
+_SHORT = 64
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
 class Hashes:
-    """Hashes of spans of the texts."""
+    """Hashes of spans of the texts, which depend on the bytes of a span alone.
+
+    Each round mixes eight more bytes into the hash, so equal hashes of different spans of the same length of up to eight bytes are impossible,
+    and of others as seldom as chance has it.
+    """
 
-    def __init__(self, texts: Texts, seed: int = 7):
+    def __init__(self, texts: Texts):
         n = len(texts.data)
-        table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.sum = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[texts.data] * powers(_BASE, n), out=self.sum[1:])
-        self.back = powers(_INVERSE, n + 1)
+        self._data = np.zeros(n + 8, dtype=np.uint8)
+        self._data[:n] = texts.data
+        self._eight = np.ndarray(n + 1, dtype="<u8", buffer=self._data.data, strides=(1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sum[end] - self.sum[start]) * self.back[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        size = end - start
+        out = mix(size.astype(np.uint64) + np.uint64(0xD1342543DE82EF95))
+        left, at, live = size, start, None
+        if size.max(initial=0) > _SHORT:
+            live = np.flatnonzero(size <= _SHORT)
+            left, at = size[live], start[live]
+        while len(at):
+            block = self._eight[at] & _FIRST[np.minimum(left, 8)]
+            if live is None:
+                out = mix(out ^ block)
+            else:
+                out[live] = mix(out[live] ^ block)
+            more = np.flatnonzero(left > 8)
+            live = more if live is None else live[more]
+            left, at = left[more] - 8, at[more] + 8
+        body = memoryview(self._data)
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(body[start[i]: end[i]], digest_size=8).digest(), "little")
+        return out
+
+    def differ(self, start: np.ndarray, end: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+        """Which pairs of spans do not have the same bytes."""
+        out = end - start != other_end - other_start
+        live = np.flatnonzero(~out & (start != other_start))
+        left, a, b = (end - start)[live], start[live], other_start[live]
+        while len(live):
+            mask = _FIRST[np.minimum(left, 8)]
+            unlike = (self._eight[a] & mask) != (self._eight[b] & mask)
+            out[live[unlike]] = True
+            more = np.flatnonzero(~unlike & (left > 8))
+            live, left, a, b = live[more], left[more] - 8, a[more] + 8, b[more] + 8
+        return out
 
 
 def edges(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -86,14 +86,12 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
 
 
 def test_ids_are_those_of_the_public_tokenizer(tokenizer):
     rng = random.Random(5)
-    pool = [*" \n\t'strevmlldSTx1٣é漢ñ.,!- 　", "'s", "'re", "'ll", " '", "  ", "\r\n", "🙂", "12", "<|endoftext|>"]
+    pool = [*" \n\t'strevmlldSTx1٣é漢ñ.,!- 　", "'s", "'re", "'ll", " '", "  ", "\r\n", "🙂", "12", "<|endoftext|>", "<|endof", "text|>"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(1500)]
     coded = tokens.load().encode(texts_of(pa.array(texts, pa.string())))
     for i, text in enumerate(texts):
