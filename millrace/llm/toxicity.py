@@ -3,8 +3,9 @@
 The lexicon is learned from labelled documents: whole words, and stems with any ending where no one word stands out.
 Terms are chosen one by one, each covering most toxic documents not yet covered, among those that hardly occur in others; so
 the rare words of a copied document are not taken for toxic. Every word of a text is put through the trie of terms by a
-Levenshtein automaton, which finds misspelled terms as well; the spellings that ordinary training documents use are left
-out. A hit counts less between quotation marks or next to a word that reports speech. A logistic curve fitted on
+Levenshtein automaton, which finds misspelled terms as well; spellings that are no rarer in ordinary training documents than in toxic
+ones are left out, and so are those of terms near to which ordinary words keep turning up. All of this goes by shares of documents, so that it is
+the same for few and many. A hit counts less between quotation marks or next to a word that reports speech. A logistic curve fitted on
 the training rows makes the weighted number of hits a score.
 """
 
@@ -30,12 +31,12 @@ LEAST_TEXTS, LEAST_SHARE = 3, 0.003
 LEAST_PRECISION = 0.97
 #: Terms that may cover the same text.
 COVERS = 3
-#: A stem has at least so many letters.
-LEAST_STEM = 4
+#: A stem has so many letters, at least and at most; whole words may have any number.
+LEAST_STEM, MOST_STEM = 4, 24
 #: Weight of a misspelled term, and of any term that is quoted.
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.6, 0.25
-#: A term near to more ordinary words than this is only found as it is spelled.
-MOST_NEIGHBOURS = 2
+#: The share of ordinary texts that may have a word that is near to a term and was not seen in training, for all terms together.
+MOST_UNSEEN = 0.002
 #: Characters on both sides of a hit that show whether it is quoted.
 CONTEXT = 60
 THRESHOLD = 0.7
@@ -66,6 +67,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie: dict = {}
+        self.whole = frozenset(self.words)
         self.pieces: set[str] = set()
         self.most = 0
         for term, is_stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
@@ -80,8 +82,14 @@ class Lexicon:
             self.pieces.update(term[a:b] for a, b in zip(cut, cut[1:]))
         self.sizes = sorted({len(x) for x in self.pieces})
 
+    def __reduce__(self):
+        # A trie of long terms is too deep to be sent; it is built again.
+        return Lexicon, (self.words, self.stems, self.ordinary, self.exact, self.curve)
+
     def distance(self, word: str) -> int | None:
         """The fewest edits between the word and a term, as far as the term allows."""
+        if word in self.whole:
+            return 0
         if not any(word[i: i + n] in self.pieces for n in self.sizes for i in range(len(word) - n + 1)):
             return None
         end = 1 << len(word)
@@ -182,10 +190,13 @@ def limits(n_toxic: int, n_other: int) -> tuple[float, float]:
 def possible_stems(table: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     """``(stem, word, bad, good, hopeful)``: the words under each stem that could be a term.
 
-    The texts of a stem are at most the sum of its words' texts, so no stem that ``choose_terms`` would take is missing.
+    The texts of a stem are at most the sum of its words' texts, so no stem that ``choose_terms`` would take is missing. Every word is
+    also a stem of itself, however short or long it is.
     """
     least, weight = limits(n_toxic, n_other)
-    stems = table.select(F.explode(F.transform(F.sequence(F.lit(LEAST_STEM), F.length("word")), lambda n: F.left("word", n))).alias("stem"), "*")
+    sizes = F.sequence(F.lit(LEAST_STEM), F.least(F.length("word"), F.lit(MOST_STEM)))
+    parts = F.when(F.length("word") >= LEAST_STEM, F.transform(sizes, lambda n: F.left("word", n))).otherwise(F.array().cast("array<string>"))
+    stems = table.select(F.explode(F.array_union(parts, F.array("word"))).alias("stem"), "*")
     bad, good = F.sum(F.when(F.col("hopeful"), F.col("bad")).otherwise(0)), F.sum("good")
     found = stems.groupBy("stem").agg(bad.alias("most"), good.alias("others")).where(
         (F.col("most") >= least) & (F.col("most") / (F.col("most") + F.col("others") * weight) >= LEAST_PRECISION))
@@ -193,7 +204,7 @@ def possible_stems(table: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
 
 
 def choose_terms(words: dict[str, tuple[list[int], int]], possible: dict[str, list[str]], n_toxic: int, n_other: int) -> tuple[list[str], list[str]]:
-    """Whole words and stems.
+    """Whole words and stems. What is shorter or longer than a stem is a whole word.
 
     ``words``: the toxic texts (numbered) with each word, and the number of other texts with it; ``possible``: the words under
     each stem that may be taken.
@@ -202,7 +213,7 @@ def choose_terms(words: dict[str, tuple[list[int], int]], possible: dict[str, li
     least, weight = limits(n_toxic, n_other)
     fit: dict[str, set[int]] = {}
     for stem in sorted(under, key=len):
-        if stem[:-1] in fit or any(stem[:n] in fit for n in range(LEAST_STEM, len(stem))):
+        if any(stem[:n] in fit for n in range(LEAST_STEM, min(len(stem), MOST_STEM + 1))):
             continue  # a shorter one is as good
         texts = set().union(*(words[w][0] for w in under[stem]))
         other = sum(words[w][1] for w in under[stem])
@@ -217,7 +228,7 @@ def choose_terms(words: dict[str, tuple[list[int], int]], possible: dict[str, li
             break
         covered.update(fit.pop(stem))
         first = max(under[stem], key=lambda w: (len(words[w][0]), w))
-        if 2 * len(words[first][0]) >= sum(len(words[w][0]) for w in under[stem]):
+        if not LEAST_STEM <= len(stem) <= MOST_STEM or 2 * len(words[first][0]) >= sum(len(words[w][0]) for w in under[stem]):
             whole.append(first)
         else:
             stems.append(stem)
@@ -239,11 +250,29 @@ def fit_curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
+def found_as_spelled(whole: list[str], stems: list[str], once: list[str], n_other: int) -> frozenset[str]:
+    """Terms that get no automaton, as ordinary words near to them keep turning up.
+
+    ``once``: words of a single ordinary text. Their share estimates the chance that the next text has a new one (Good and Turing). Terms take their
+    misspellings, those with the smallest share first, until all together would reach MOST_UNSEEN.
+    """
+    alone = [(t, Lexicon([t] if t in whole else [], [] if t in whole else [t])) for t in (*whole, *stems)]
+    unseen = sorted((sum(bool(one.distance(w)) for w in once) / max(1, n_other), t) for t, one in alone)
+    total, out = 0.0, set()
+    for share, term in unseen:
+        total += share
+        if total > MOST_UNSEEN:
+            out.add(term)
+    return frozenset(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """Learn from the labelled rows that are not held out, each different text once, about ``train_rows`` of them at most.
 
-    What the driver gets is bounded by that parameter: words of toxic training texts that pass the first count.
-    Without toxic rows the lexicon is empty and every score is low.
+    What the driver gets is bounded by that parameter: words of toxic training texts that pass the first count, and words near to
+    terms. Words of any length can be terms; those of fewer than five letters are found as they are spelled. A document that is labelled more than
+    once is toxic if any row says so; rows without id or label teach nothing. Without toxic rows the lexicon is empty and every score is
+    low; without others every term of enough toxic texts counts.
     """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     share = min(1.0, train_rows / max(1, marked.count()))
@@ -258,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     def count(batches):
         for batch in (part for whole in batches for part in chunks(whole, "text")):
             text, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            out = [(w, i, t) for i, (s, t) in enumerate(zip(text, toxic)) for w in {plain(w) for w in WORD.findall(s)} if len(w) >= LEAST_STEM]
+            out = [(w, i, t) for i, (s, t) in enumerate(zip(text, toxic)) for w in {plain(w) for w in WORD.findall(s)}]
             key = [hash_of(s) for s in text]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([key[x[1]] for x in out], pa.int64()),
                                               pa.array([bool(x[2]) for x in out], pa.bool_())], ["word", "doc", "toxic"])
@@ -289,18 +318,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lex
     whole, stems_chosen = choose_terms(words, dict(under), n_toxic, n_other)
     lexicon = Lexicon(whole, stems_chosen)
 
-    # Spellings that ordinary texts use, and the curve.
+    # Words near to a term in training texts; what is no rarer in ordinary ones is no misspelling.
     def near(batches):
         for batch in batches:
-            found = [w for w in batch.column(0).to_pylist() if lexicon.distance(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
-
-    ordinary = table.where("good > 0").select("word").mapInArrow(near, "word string")
-    spelled = frozenset(r.word for r in ordinary.collect())
-    # A term that is near to several ordinary words looks like one itself; its misspellings would say nothing.
-    alone = [(t, Lexicon(*(([t], []) if t in whole else ([], [t])))) for t in (*whole, *stems_chosen)]
-    exact = frozenset(t for t, one in alone if sum(bool(one.distance(w)) for w in spelled) > MOST_NEIGHBOURS)
-    lexicon = Lexicon(whole, stems_chosen, spelled, exact)
+            found = pa.array([bool(lexicon.distance(w)) for w in batch.column("word").to_pylist()], pa.bool_())
+            yield batch.filter(found)
+
+    spelled = table.where("good > 0").select("word", "bad", "good").mapInArrow(near, "word string, bad long, good long").collect()
+    ordinary = frozenset(r.word for r in spelled if r.good * n_toxic >= r.bad * n_other)
+    once = [r.word for r in spelled if r.good == 1 and not r.bad]
+    lexicon = Lexicon(whole, stems_chosen, ordinary, found_as_spelled(whole, stems_chosen, once, n_other))
 
     def values(batches):
         scorer = Scorer(lexicon)

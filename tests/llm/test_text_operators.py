@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_learned_operators import edit_distance
 from pyspark.sql import functions as F
 
-from millrace.llm import cotraining, extraction, packing, repetition, secret_scan, token_spans, tokens, toxicity
+from millrace.llm import extraction, packing, repetition, secret_scan, token_spans, tokens, toxicity
 from millrace.llm.words import texts_of
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (4, "other text"), (5, "x" * 30000),
@@ -180,15 +181,6 @@ def test_only_scripts_and_styles_run_to_the_end(tag):
     assert extraction.main_text(page.format("script")) == extraction.main_text(page.format("style")) == "The first paragraph of this page is here."
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
 def test_automaton_against_edit_distance():
     lexicon = toxicity.Lexicon(["idiot", "worthless", "disgusting", "scum"])
     rng = random.Random(7)
@@ -218,16 +210,3 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     scored = toxicity.op4_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out")
     right = scored.where("predicted = toxic").count()
     assert right >= 0.9 * scored.count()
-
-
-def test_co_training(spark, sf_dir, docs):
-    data = sf_dir.replace("sf0.001", "sf0.01")
-    labels = spark.read.parquet(f"{data}/labels.parquet")
-    whole = spark.read.parquet(f"{data}/documents.parquet")
-    model = cotraining.fit(whole, labels)
-    scored = cotraining.score(whole, model).join(labels, "doc_id")
-    assert scored.where("accepted = (quality = 1)").count() >= 0.97 * scored.count()
-    assert cotraining.accepted(whole, model).count() == cotraining.score(whole, model).where("accepted").count()
-    assert cotraining.score(docs(*EDGES), model).count() == len(EDGES)
-    empty = cotraining.fit(whole.where("false"), labels.where("false"))
-    assert empty.views is None and cotraining.score(whole.where("false"), empty).count() == 0
