@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 #: Settings that only apply where the cluster has not chosen its own.
@@ -32,7 +33,7 @@ def build_session(app_name: str = "millrace", master: str | None = None, **extra
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new, unique folder below ``spark.checkpoint.dir``.
+    """A new, unique folder below ``spark.checkpoint.dir``. ``remove_folder`` removes it; what is left goes when this process ends.
 
     Every executor must be able to read what another one wrote there, so a machine-local folder is
     only accepted for a local master, where all executors are on this machine anyway.
@@ -40,7 +41,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     name = f"millrace-{purpose}-{uuid.uuid4().hex[:12]}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/{name}"
+        folder = f"{base.rstrip('/')}/{name}"
+        if not _FOLDERS:
+            atexit.register(_remove_all)
+        _FOLDERS[folder] = spark.sparkContext._jsc.hadoopConfiguration()
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="millrace-")
@@ -48,5 +53,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base}/{name}"
 
 
+#: Folders of this process that are still there, with the settings under which they were made.
+_FOLDERS: dict = {}
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder and all that is in it, on any file system that Spark reads."""
+    settings = _FOLDERS.pop(folder, None) or spark.sparkContext._jsc.hadoopConfiguration()
+    path = SparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(settings).delete(path, True)
+
+
+def _remove_all() -> None:
+    for folder in list(_FOLDERS):
+        try:
+            remove_folder(None, folder)
+        except Exception:
+            pass  # the gateway or the file system may be gone; nothing reads these folders any more
+
+
 def is_ansi(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.ansi.enabled", "true").lower() == "true"
