@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.session import shared_folder
+from millrace.session import remove_folder, shared_folder
 
 
 #: Rows of a few numbers each that may be broadcast; beyond that the join is shuffled.
@@ -17,12 +20,36 @@ def small(kept: DataFrame, most: int = BROADCAST_ROWS, lists: str | None = None)
     return F.broadcast(kept) if n <= most else kept
 
 
+_open_scopes: list[list["Workspace"]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Remove all workspaces made inside when it ends; what was computed from them must be written by then."""
+    made: list[Workspace] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for space in made:
+            space.remove()
+
+
 class Workspace:
-    """A new folder below ``spark.checkpoint.dir`` for the tables of one run of an operator."""
+    """A new folder below ``spark.checkpoint.dir`` for the tables of one run of an operator.
+
+    Results read these tables, so they stay until ``remove``, the end of a ``temporary`` scope or of this process.
+    """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.folder = spark, shared_folder(spark, purpose)
         self.count = 0
+        for scope in _open_scopes:
+            scope.append(self)
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The same rows, read from a table written here."""
