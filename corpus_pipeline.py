@@ -11,21 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import cotraining, jaccard, packing, secret_scan, winnowing
 from millrace.llm.queries import Query, documents
-from millrace.llm.workspace import Workspace, small
+from millrace.llm.workspace import Workspace, small, temporary
 
 
-#: Names of two hashes of doc_id and text by which stages find rows again; no column of documents is called so.
-KEYS = ["_millrace_k1", "_millrace_k2"]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns(dict(zip(KEYS, (F.xxhash64("doc_id", "text"), F.hash("text", "doc_id")))))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents with two hashes of doc_id and text, by which stages find rows again, under names that no column has."""
+    keys = ["k1", "k2"]
+    while set(keys) & set(docs.columns):
+        keys = [f"_{k}" for k in keys]
+    return docs.withColumns(dict(zip(keys, (F.xxhash64("doc_id", "text"), F.hash("text", "doc_id"))))), keys
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cotraining.accepted(docs, cotraining.fit(docs, labels))
+    made = cotraining.features(docs, Workspace(spark, "quality"))
+    return cotraining.accepted(docs, cotraining.fit(made, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +37,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     both are one document and stay once.
     """
     space = Workspace(spark, "near-duplicates")
-    keyed = _keyed(docs)
-    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *KEYS).alias("row_id")
+    keyed, keys = _keyed(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *(F.col(k).alias(n) for k, n in zip(keys, ("k1", "k2")))).alias("row_id")
     found = space.keep(jaccard.similar_classes(keyed.select(name, "text"), id_col="row_id", n=5, percent=80))
-    of = [F.col(f"id.{k}").alias(k) for k in KEYS]
+    of = [F.col(f"id.{n}").alias(k) for k, n in zip(keys, ("k1", "k2"))]
     gone = space.keep(found.where("not (id <=> component)").select(*of).distinct())
-    again = space.keep(found.where("size > 0").groupBy(*of).agg(F.count("*").alias("n")).where("n > 1").select(*KEYS))
-    stay = keyed.join(small(gone), KEYS, "left_anti")
-    once = stay.join(small(again), KEYS, "left_anti")
-    repeated = stay.join(small(again), KEYS, "left_semi").dropDuplicates(KEYS)
+    again = space.keep(found.where("size > 0").groupBy(*of).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    stay = keyed.join(small(gone), keys, "left_anti")
+    once = stay.join(small(again), keys, "left_anti")
+    repeated = stay.join(small(again), keys, "left_semi").dropDuplicates(keys)
     return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     space = Workspace(spark, "decontamination")
-    keyed = _keyed(docs)
+    keyed, keys = _keyed(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    hits = winnowing.shared_windows(keyed.select(*(F.col(k).alias(a) for k, a in zip(KEYS, ("k1", "k2"))), "text"), bench, space)
-    hit = space.keep(hits.select(*(F.col(a).alias(k) for k, a in zip(KEYS, ("k1", "k2")))).distinct())
-    return keyed.join(small(hit), KEYS, "left_anti").select(docs.columns)
+    hits = winnowing.shared_windows(keyed.select(*(F.col(k).alias(a) for k, a in zip(keys, ("k1", "k2"))), "text"), bench, space)
+    hit = space.keep(hits.select(*(F.col(a).alias(k) for k, a in zip(keys, ("k1", "k2")))).distinct())
+    return keyed.join(small(hit), keys, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,11 +79,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's result is written to the shared folder and read again."""
-    space = Workspace(spark, "pipeline")
-    docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = space.keep(stage(spark, docs, sf_dir))
+    """All stages over the documents; each one's result is written to the shared folder and read again, and what led to it is removed."""
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        space = Workspace(spark, f"stage-{name.replace(' ', '-')}")
+        with temporary():
+            docs = space.keep(stage(spark, docs, sf_dir))
+        if before:
+            before.remove()
+        before = space
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
