@@ -16,6 +16,7 @@ from millrace.operators.joins import Tables
 from millrace.plans.script import run_script
 from millrace.reports.recorder import RunLog
 from millrace.sinks.export import export_csv
+from millrace.sinks.versions import Versions
 from millrace.sinks.views import catalog_view, create_view
 from millrace.spec import JobSpec, TableSpec
 
@@ -56,10 +57,9 @@ def run_job(spark: SparkSession, job: JobSpec, tables: Tables, *, store_at: str
     def build(spec: TableSpec) -> list[str]:
         cleaned = clean(spec, tables)
         if store_at is not None:
-            path = f"{store_at.rstrip('/')}/{spec.name}"
-            schema = cleaned.schema
-            cleaned.write.mode("overwrite").partitionBy(*(partition_by or {}).get(spec.name, ())).parquet(path)
-            cleaned = spark.read.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
+            stored = Versions(spark, f"{store_at.rstrip('/')}/{spec.name}")
+            stored.replace(cleaned, partition_by=(partition_by or {}).get(spec.name, ()))
+            cleaned = stored.read()
         views = [create_view(cleaned, "clean", spec.name)]
         if spec.metrics:
             views.append(create_view(aggregate(cleaned, spec.group_by, spec.metrics), "analytics", spec.name))

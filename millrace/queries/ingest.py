@@ -9,10 +9,11 @@ from millrace.operators.sample import column_samples, preview
 from millrace.plans.upload import load_csv
 from millrace.queries.inputs import AS_OF, CELLS, cells, raw, read, with_raw
 from millrace.queries.registry import query
-from millrace.session import shared_folder
+from millrace.session import remove_folder, shared_folder
+from millrace.sinks.commits import Files
 from millrace.sinks.tables import publish_curated, replace_raw
-from millrace.sources.csv import read_raw, scan_csv
-from millrace.sources.files import land_files, latest_file
+from millrace.sources.csv import read_raw, scan_csv, store_csv
+from millrace.sources.files import FileManifest, land_files, landed, latest_file, list_files
 from millrace.sources.payload import expand_payload
 from millrace.streaming.landing import land_new_files
 
@@ -77,7 +78,7 @@ def scan_csv_raw(spark, sf_dir):
     ).toDF("Order Key ", "STATUS", "Customer (ID)", "()", "_order-note")
     orders.write.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
                      ignoreTrailingWhiteSpace=False)
-    return scan_csv(spark, path, surplus="raise")
+    return scan_csv(spark, path)
 
 
 @query("load_csv", f"""
@@ -129,7 +130,7 @@ def land(spark, sf_dir):
     base = shared_folder(spark, "land")
     _event_files(spark, sf_dir, f"{base}/in")
     land_files(spark, f"{base}/in", f"{base}/out", "2024-01-31")
-    return _with_folder(spark.read.parquet(f"{base}/out"))
+    return _with_folder(landed(spark, f"{base}/out"))
 
 
 @query("land_new_files", LANDED_SQL)
@@ -139,25 +140,84 @@ def land_new(spark, sf_dir):
     for event_types in (["click", "error"], ["purchase", "signup", "view"]):
         _event_files(spark, sf_dir, f"{base}/in", event_types)
         land_new_files(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "2024-01-31", header)
-    return _with_folder(spark.read.parquet(f"{base}/out"))
-
-
-@query("latest_file", """
-    select event_type as table_name, concat('wizard/', event_type, '/', event_type, '_', event_id, '.csv') as path,
-           ts as modified_at
-    from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events)
-    where n = 1""")
+    return _with_folder(landed(spark, f"{base}/out"))
+
+
+#: A file for each kind of event and day; then the newest day of each kind is deleted, the oldest of ``click`` changed, and one comes.
+DAYS_SQL = """
+    days as (select event_type, cast(ts as date) as day, count(*) as n,
+                    row_number() over (partition by event_type order by cast(ts as date)) as oldest,
+                    row_number() over (partition by event_type order by cast(ts as date) desc) as newest
+             from events group by event_type, cast(ts as date)),
+    files as (select event_type as table_name, cast(day as timestamp) as modified_at,
+                     case when newest = 1 then 'deleted' when event_type = 'click' and oldest = 1 then 'changed' else 'unchanged' end as change from days
+              union all select 'view', timestamp '2024-03-02 00:00:00', 'new')"""
+
+
+@query("latest_file", f"""
+    with {DAYS_SQL}
+    select table_name, modified_at, change from (
+      select *, row_number() over (partition by table_name order by modified_at desc) as n from files where change <> 'deleted') where n = 1
+    union all
+    select table_name, modified_at, change from files where change in ('deleted', 'changed')""")
 def latest(spark, sf_dir):
-    listing = read(spark, sf_dir, "events").selectExpr(
-        "event_type as table_name", "concat('wizard/', event_type, '/', event_type, '_', event_id, '.csv') as path",
-        "ts as modified_at")
-    return latest_file(listing, ["table_name"])
+    base = shared_folder(spark, "listing")
+    events = cells(spark, sf_dir, "events").withColumn("day", F.substring("ts", 1, 10))
+    rows = events.select("event_type", "day", "event_id").repartition("event_type", "day")
+    rows.write.partitionBy("event_type", "day").csv(f"{base}/in")
+    manifest, time = FileManifest(spark, f"{base}/manifest"), F.to_timestamp(F.regexp_extract("path", "day=([0-9-]+)", 1))
+
+    def listed():
+        found = list_files(spark, f"{base}/in", glob="*.csv")
+        return found.withColumn("modified_at", time)  # when the files were made; that of this run says nothing
+
+    manifest.refresh(listed())
+    days = [(r["event_type"], r["day"]) for r in events.select("event_type", "day").distinct().collect()]
+    for kind in {k for k, _ in days}:
+        mine = sorted(d for k, d in days if k == kind)
+        remove_folder(spark, f"{base}/in/event_type={kind}/day={mine[-1]}")
+        if kind == "click":
+            folder = Files(spark, f"{base}/in/event_type={kind}/day={mine[0]}")
+            name = next(n for n in folder.names() if n.endswith(".csv"))
+            content = folder.read(name)
+            folder.remove(name)
+            folder.create(name, content * 2)
+    events.filter("event_type = 'view'").select("event_id").coalesce(1).write.csv(f"{base}/in/event_type=view/day=2024-03-02")
+    changes = manifest.refresh(listed())
+    kind = F.regexp_extract("path", "event_type=([^/]+)", 1).alias("table_name")
+    newest = latest_file(manifest.listing().select("*", kind), ["table_name"])
+    known = newest.join(changes.select("path", "change"), "path", "left").select("table_name", "modified_at", F.coalesce("change", F.lit("unchanged")).alias("change"))
+    gone = changes.filter("change in ('deleted', 'changed')").select(kind, "modified_at", "change")
+    return known.unionByName(gone).withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz"))
 
 
 @query("read_json_payload", """
-    select event_id, event_type, cast(json_extract(props, '$.k') as integer) as k from events""")
+    select event_id, event_type, cast(case when event_id % 10 <> 0 then json_extract(props, '$.k') end as integer) as k,
+           case when event_id % 10 = 0 then concat('broken ', props) end as unread
+    from events""")
 def read_json_payload(spark, sf_dir):
-    return expand_payload(read(spark, sf_dir, "events").select("event_id", "event_type", "props"), "props", "k INT")
+    given = read(spark, sf_dir, "events").selectExpr("event_id", "event_type", "if(event_id % 10 = 0, concat('broken ', props), props) as props")
+    return expand_payload(given, "props", "k INT", unreadable="unread")
+
+
+REJECTS_SQL = "o_orderkey % 50 = 7"
+
+
+@query("csv_rejects", f"""
+    select cast(o_orderkey as string) as o_orderkey, o_orderstatus, case when {REJECTS_SQL} then concat('surplus ', o_orderkey, ',"x,') || chr(10) || 'y"' end as surplus_cells,
+           (select count(*) from orders where not {REJECTS_SQL}) as n_rows, (select count(*) from orders where {REJECTS_SQL}) as n_rejected
+    from orders""")
+def csv_rejects(spark, sf_dir):
+    """Rows that fit and rows that do not, each in its table, with the numbers counted as they were written."""
+    base = shared_folder(spark, "rejects")
+    surplus = f"""if({REJECTS_SQL}, concat(',surplus ', o_orderkey, ',"x,', chr(10), 'y"'), '')"""
+    lines = read(spark, sf_dir, "orders").selectExpr(f"concat(o_orderkey, ',', o_orderstatus, {surplus}) as line")
+    header = spark.range(1).selectExpr("'o_orderkey,o_orderstatus' as line")
+    header.unionByName(lines).coalesce(1).write.text(f"{base}/in")
+    stored = store_csv(spark, f"{base}/in", f"{base}/out")
+    rejects = stored.rejects.filter("line > 1").select("o_orderkey", "o_orderstatus", "surplus_cells")
+    both = stored.raw.withColumn("surplus_cells", F.lit(None).cast("string")).unionByName(rejects)
+    return both.withColumns({"n_rows": F.lit(stored.rows).cast("long"), "n_rejected": F.lit(stored.rejected).cast("long")})
 
 
 @query("publish_curated", "select doc_id, text, lang, source, n_chars from documents")

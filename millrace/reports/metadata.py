@@ -2,12 +2,22 @@
 
 Plain Parquet has no upsert, so each log only grows and its current state is the newest row per key.
 Logs are partitioned by ``pipeline_id``: a pipeline reads its own part alone.
+
+Every append is a small JSON file, created as a whole by the driver: Spark jobs that write to one folder at the same time would take
+each other's work away. ``compact_log`` draws them together into a snapshot, sorted by pipeline so that filters skip the rest of
+it; a commit says which snapshot counts and which small files it holds. Readers take the snapshot and all other files, so a
+writer that appends at the same time loses nothing, and a compaction that dies changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import time
+import uuid
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timezone
+from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -18,7 +28,7 @@ from pyspark.sql.types import (
 )
 
 from millrace.functions.labels import seconds_between, stage_of
-from millrace.functions.times import time_literal
+from millrace.sinks.commits import CommitLog, Files, State
 
 def _columns(**types) -> StructType:
     return StructType([StructField(name, kind) for name, kind in types.items()])
@@ -47,37 +57,121 @@ PIPELINE_LINEAGE = _columns(
 )
 
 
-def append_row(spark: SparkSession, path: str, schema: StructType, row: Mapping[str, Any]) -> None:
-    append_frame(row_frame(spark, schema, row), path)
+#: Small files of one pipeline from which on a writer draws its log together.
+COMPACT_FILES = 100
+#: Rows in a file of a snapshot, about.
+SNAPSHOT_ROWS = 1_000_000
 
 
-def row_frame(spark: SparkSession, schema: StructType, row: Mapping[str, Any]) -> DataFrame:
-    """One row made on the driver, as literals: no data leaves the driver but the plan."""
+def append_row(spark: SparkSession, path: str, schema: StructType, row: Mapping[str, Any]) -> None:
+    """Append one row. Times with a zone are kept as UTC, others as they are."""
     unknown = set(row) - set(schema.names)
     if unknown:
         raise ValueError(f"unknown log columns: {sorted(unknown)}")
+    folder = f"{path.rstrip('/')}/pipeline_id={_in_path(row['pipeline_id'])}"
+    cells = {c: _plain(v) for c, v in row.items() if v is not None and c != "pipeline_id"}
+    Files(spark, folder).create(f"{uuid.uuid4().hex}.json", json.dumps(cells).encode())
+
 
-    def literal(value: Any) -> Column:
-        return time_literal(value) if isinstance(value, datetime) else F.lit(value)
+def _plain(value: Any) -> Any:
+    if isinstance(value, datetime):
+        utc = value.astimezone(timezone.utc) if value.tzinfo else value
+        return utc.isoformat(timespec="microseconds")
+    return str(value) if isinstance(value, Decimal) else value
 
-    cells = [literal(row.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return spark.range(1, numPartitions=1).select(*cells)
 
+def _in_path(value: str) -> str:
+    """A value as it names a folder of a partition."""
+    return re.sub(r"""["#%'*/:=?\\{}\[\]^\x00-\x1f\x7f]""", lambda m: f"%{ord(m[0]):02X}", value)
 
-def append_frame(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("pipeline_id").parquet(path)
 
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a log, its snapshot and what was appended since; no rows where nothing has been written yet."""
+    path = path.rstrip("/")
+    snapshot = _snapshot(spark, path).entries.get("snapshot")
+    if snapshot is None:
+        return _small_rows(spark, schema, path)
+    covered = set(snapshot["covered"])
+    fresh = [f for f in _small_files(spark, path) if f not in covered]
+    return spark.read.schema(schema).parquet(f"{path}/{snapshot['folder']}").unionByName(_small_rows(spark, schema, *fresh, base=path))
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The dataset at ``path``, or no rows where nothing has been written yet."""
+
+def _small_rows(spark: SparkSession, schema: StructType, *paths: str, base: str | None = None) -> DataFrame:
+    """The rows of appended files."""
+    if not paths:
+        return spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).options(mode="FAILFAST", **({"basePath": base} if base else {})).json(list(paths)).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def _snapshot(spark: SparkSession, path: str) -> State:
+    return CommitLog(spark, f"{path}/_commits").state()
+
+
+def _small_files(spark: SparkSession, path: str) -> list[str]:
+    """What was appended, listed by Spark; folders whose name begins with an underscore are not looked at."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["path"] for r in files.select("path").collect())
+
+
+def compact_log(spark: SparkSession, path: str, schema: StructType, keep_hours: float = 1.0) -> bool:
+    """Draw the small files of a log together; False if someone else did so at the same time.
+
+    Files and snapshots that no reader of the newest commit needs are removed one compaction later, if they are older than
+    ``keep_hours``, for readers that began before.
+    """
+    path = path.rstrip("/")
+    commits = CommitLog(spark, f"{path}/_commits")
+    state = commits.state()
+    old = state.entries.get("snapshot") or {"folder": None, "covered": []}
+    small = _small_files(spark, path)
+    fresh = [f for f in small if f not in set(old["covered"])]
+    rows = _small_rows(spark, schema, *fresh, base=path)
+    if old["folder"]:
+        rows = spark.read.schema(schema).parquet(f"{path}/{old['folder']}").unionByName(rows)
+    folder = f"_snapshots/{uuid.uuid4().hex}"
+    rows.repartitionByRange(rows.count() // SNAPSHOT_ROWS + 1, "pipeline_id").sortWithinPartitions("pipeline_id").write.parquet(f"{path}/{folder}")
+    snapshots = Files(spark, f"{path}/_snapshots")
+    if not commits.commit(state, "snapshot", {"folder": folder, "covered": small}):
+        snapshots.remove(folder.split("/")[1])
+        return False
+    commits.trim()
+    before = time.time() * 1000 - keep_hours * 3_600_000
+    stale = {f"_snapshots/{n}" for n, changed in snapshots.names().items() if changed < before} - {folder, old["folder"]}
+    for name in stale:
+        snapshots.remove(name.split("/")[1])
+    by_folder: dict[str, list[str]] = {}
+    for file in set(old["covered"]) & set(small):
+        parent, name = file.rsplit("/", 1)
+        by_folder.setdefault(parent, []).append(name)
+    for parent, names in by_folder.items():
+        files = Files(spark, parent)
+        there = files.names()
+        for name in names:
+            if there.get(name, before) < before:
+                files.remove(name)
+    return True
+
+
+def compact_if_many(spark: SparkSession, path: str, schema: StructType, pipeline_id: str, most: int = COMPACT_FILES) -> bool:
+    """``compact_log`` if a pipeline has more small files than ``most`` that no snapshot holds; costs a look at one folder."""
+    part = f"{path.rstrip('/')}/pipeline_id={_in_path(pipeline_id)}"
+    names = [n for n in Files(spark, part).names() if n.endswith(".json")]
+    if len(names) <= most:
+        return False
+    covered = {f.rsplit("/", 1)[1] for f in (_snapshot(spark, path.rstrip("/")).entries.get("snapshot") or {"covered": []})["covered"]}
+    return sum(n not in covered for n in names) > most and compact_log(spark, path, schema)
+
+
 def timed(df: DataFrame) -> DataFrame:
     """Set ``duration_seconds`` from the start and end times."""
     seconds = seconds_between(F.col("started_at"), F.col("finished_at"))

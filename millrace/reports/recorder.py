@@ -7,14 +7,17 @@ from contextlib import contextmanager
 from datetime import datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions.labels import stage_of
 from millrace.reports.metadata import (
-    PIPELINE_LINEAGE, PIPELINE_RUNS, TASK_RUNS, append_frame, append_row, current_lineage, current_runs, read_or_empty,
-    row_frame, with_stage,
+    PIPELINE_LINEAGE, PIPELINE_RUNS, TASK_RUNS, append_row, compact_if_many, compact_log, current_lineage, current_runs, read_log,
 )
 
 
+LOGS = {"runs": PIPELINE_RUNS, "tasks": TASK_RUNS, "lineage": PIPELINE_LINEAGE}
+
+
 class RunLog:
     """The logs below ``folder``, as one run of a pipeline writes them. Each row is appended; readers take the newest."""
 
@@ -32,6 +35,8 @@ class RunLog:
             yield
         append_row(self.spark, f"{self.folder}/runs", PIPELINE_RUNS, {**row, **end, "created_at": end["finished_at"]})
         end.throw()
+        for name, schema in LOGS.items():
+            compact_if_many(self.spark, f"{self.folder}/{name}", schema, self.pipeline_id)
 
     @contextmanager
     def task(self, task_id: str) -> Iterator[None]:
@@ -41,7 +46,8 @@ class RunLog:
             yield
         row = {"pipeline_id": self.pipeline_id, "dag_run_id": self.run_id, "task_id": task_id, "started_at": start,
                "try_number": self.try_number, "created_at": end["finished_at"], **end}
-        append_frame(with_stage(row_frame(self.spark, TASK_RUNS, row)), f"{self.folder}/tasks")
+        stage = self.spark.range(1).select(stage_of(F.lit(task_id))).first()[0]
+        append_row(self.spark, f"{self.folder}/tasks", TASK_RUNS, {**row, "stage": stage})
         end.throw()
 
     def lineage(self, **stages: str | None) -> None:
@@ -50,13 +56,18 @@ class RunLog:
         append_row(self.spark, f"{self.folder}/lineage", PIPELINE_LINEAGE, row)
 
     def runs(self) -> DataFrame:
-        return current_runs(read_or_empty(self.spark, f"{self.folder}/runs", PIPELINE_RUNS))
+        return current_runs(read_log(self.spark, f"{self.folder}/runs", PIPELINE_RUNS))
 
     def tasks(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.folder}/tasks", TASK_RUNS)
+        return read_log(self.spark, f"{self.folder}/tasks", TASK_RUNS)
 
     def lineages(self) -> DataFrame:
-        return current_lineage(read_or_empty(self.spark, f"{self.folder}/lineage", PIPELINE_LINEAGE))
+        return current_lineage(read_log(self.spark, f"{self.folder}/lineage", PIPELINE_LINEAGE))
+
+    def compact(self) -> None:
+        """Draw the small files of all three logs together."""
+        for name, schema in LOGS.items():
+            compact_log(self.spark, f"{self.folder}/{name}", schema)
 
     @contextmanager
     def _ending(self, start: datetime) -> Iterator["_End"]:
@@ -64,7 +75,7 @@ class RunLog:
         end = _End()
         try:
             yield end
-        except Exception as error:
+        except BaseException as error:  # a run that is cancelled has failed too
             end.error = error
         at = _now()
         end.update(finished_at=at, duration_seconds=Decimal(str(round((at - start).total_seconds(), 3))),
@@ -73,7 +84,7 @@ class RunLog:
 
 
 class _End(dict):
-    error: Exception | None = None
+    error: BaseException | None = None
 
     def throw(self) -> None:
         if self.error is not None:

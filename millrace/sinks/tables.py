@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.times import time_literal
+from millrace.sinks.versions import KEEP_HOURS, Versions, read_table
 
 
 def stamp(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
@@ -15,24 +16,31 @@ def stamp(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
     return df.withColumn("uploaded_at", at)
 
 
-def replace_raw(df: DataFrame, path: str, as_of: datetime | None = None, table: str | None = None) -> DataFrame:
+def replace_raw(df: DataFrame, path: str, as_of: datetime | None = None, table: str | None = None, keep_hours: float = KEEP_HOURS) -> DataFrame:
     """Replace the raw table at ``path`` by a stamped ``df`` and return what was stored.
 
-    ``table`` also registers it in the catalog, as ``raw.<table>``.
+    Readers have the old rows until all new ones are there. ``table`` also registers it in the catalog: ``raw.<table>`` is a view of the
+    newest version, which is replaced in one step too.
     """
     spark = df.sparkSession
-    writer = stamp(df, as_of).write.mode("overwrite").format("parquet")
+    stored = Versions(spark, path)
+    folder = stored.replace(stamp(df, as_of), keep_hours=keep_hours)
     if table is None:
-        writer.save(path)
-        return spark.read.parquet(path)
+        return stored.read()
     spark.sql("CREATE DATABASE IF NOT EXISTS raw")
-    writer.option("path", path).saveAsTable(f"raw.{table}")
-    return spark.table(f"raw.{table}")
+    return version_view(spark, folder, f"raw.{table}")
 
 
-def publish_curated(spark: SparkSession, source: str, dest: str, fmt: str = "parquet") -> DataFrame:
-    """Copy a finished dataset to the curated area, replacing what is there."""
+def version_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Point the catalog's view ``name`` at one stored version."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{folder}`")
+    return spark.table(name)
+
+
+def publish_curated(spark: SparkSession, source: str, dest: str, fmt: str = "parquet", keep_hours: float = KEEP_HOURS) -> DataFrame:
+    """Copy a finished dataset to the curated area; readers of ``read_table`` have what was there until the copy is whole."""
     if source.rstrip("/") == dest.rstrip("/"):
         raise ValueError("source and destination are the same")
-    spark.read.format(fmt).load(source).write.mode("overwrite").format(fmt).save(dest)
-    return spark.read.format(fmt).load(dest)
+    curated = Versions(spark, dest)
+    curated.replace(read_table(spark, source, fmt), fmt=fmt, keep_hours=keep_hours)
+    return curated.read()

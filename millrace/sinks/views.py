@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.names import safe_name
+from millrace.sinks.tables import version_view
+from millrace.sinks.versions import KEEP_HOURS, Versions
 
 LAYERS = ("raw", "clean", "analytics")
 
@@ -35,15 +37,15 @@ def catalog_view(spark: SparkSession, select: str, layer: str, table: str) -> st
     return name
 
 
-def store_table(df: DataFrame, layer: str, table: str, path: str | None = None, partition_by: Sequence[str] = ()) -> str:
-    """Create or replace ``<layer>.<table>`` in the catalog, computed once.
+def store_table(df: DataFrame, layer: str, table: str, path: str, partition_by: Sequence[str] = (), keep_hours: float = KEEP_HOURS) -> str:
+    """Create or replace ``<layer>.<table>`` in the catalog, computed once and stored below ``path``.
 
-    Filters on the columns of ``partition_by`` skip whole folders.
+    Readers have the old rows until all new ones are there. Filters on the columns of ``partition_by`` skip whole folders.
     """
     if layer not in LAYERS:
         raise ValueError(f"unknown layer {layer!r}; use one of {LAYERS}")
-    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
     name = f"{layer}.{safe_name(table)}"
-    writer = df.write.mode("overwrite").format("parquet").partitionBy(*partition_by)
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    version_view(spark, Versions(spark, path).replace(df, partition_by=partition_by, keep_hours=keep_hours), name)
     return name

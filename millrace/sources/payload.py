@@ -12,7 +12,7 @@ def read_payloads(spark: SparkSession, path: str | Sequence[str], schema: Struct
                   whole_document: bool = False, unreadable: str | None = None) -> DataFrame:
     """Landed JSON files: one record per line, or one document (or array of records) per file.
 
-    A record that does not parse gives NULLs; ``unreadable`` names a column that keeps its text.
+    A record that does not parse fails the job; ``unreadable`` names a column that keeps its text instead, and all others of the row are NULL.
     """
     schema, options = _with_text(schema, unreadable)
     return spark.read.schema(schema).options(**options).json(path, multiLine=whole_document)
@@ -21,7 +21,7 @@ def read_payloads(spark: SparkSession, path: str | Sequence[str], schema: Struct
 def expand_payload(df: DataFrame, column: str, schema: StructType | str, *, unreadable: str | None = None) -> DataFrame:
     """Replace a JSON text column by the columns of ``schema``.
 
-    Text that is not JSON gives NULLs; ``unreadable`` names a column that keeps such text.
+    Text that does not parse fails the job; ``unreadable`` names a column that keeps it instead, and the columns of ``schema`` are NULL.
     """
     schema, options = _with_text(schema, unreadable)
     parsed = F.from_json(F.col(column), schema, options)
@@ -31,7 +31,7 @@ def expand_payload(df: DataFrame, column: str, schema: StructType | str, *, unre
 
 def _with_text(schema: StructType | str, unreadable: str | None) -> tuple[StructType | str, dict[str, str]]:
     if unreadable is None:
-        return schema, {}
+        return schema, {"mode": "FAILFAST"}
     fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     if unreadable in [f.name for f in fields]:
         raise ValueError(f"the payload has a column {unreadable!r} of its own")

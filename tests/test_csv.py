@@ -1,4 +1,5 @@
 import csv
+import gzip
 import io
 import random
 
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.upload import load_csv
-from millrace.sources.csv import has_split_records, read_raw, scan_csv
+from millrace.sources import records
+from millrace.sources.csv import has_split_records, read_raw, scan_csv, store_csv
 from millrace.sources.files import land_files
 from millrace.streaming.landing import land_new_files
 
@@ -32,9 +34,11 @@ def test_dialect(spark, tmp_path):
     raw = scan_csv(spark, str(tmp_path / "a.csv"))
     assert raw.columns == ["order_id", "unit_price", "col", "x"]
     assert {t for _, t in raw.dtypes} == {"string"}
-    assert rows(read_raw(spark, str(tmp_path))) == [
-        ("1", "two\nlines", '"quoted", comma', "4"), ("2", "padded", None, None), ("3", "a", "b", "c"),
-        ("4", None, "é", None)]
+    with pytest.raises(Exception, match="more cells than the header in .*a.csv"):
+        raw.collect()
+    cells = [("1", "two\nlines", '"quoted", comma', "4"), ("2", "padded", None, None), ("3", "a", "b", "c"), ("4", None, "é", None)]
+    assert rows(read_raw(spark, str(tmp_path), surplus="drop")) == cells
+    assert rows(read_raw(spark, str(tmp_path), surplus="keep")) == [(*c, "extra" if c[0] == "3" else None) for c in cells]
 
 
 def test_colliding_header_raises(spark, tmp_path):
@@ -166,6 +170,50 @@ def test_surplus_cells_raise_by_file_name(spark, tmp_path, last, multi_line):
             broken()
 
 
+@pytest.mark.parametrize("multi_line", [None, True, False])
+def test_surplus_cells_are_kept_as_written(spark, tmp_path, multi_line):
+    broken = "x\ny" if multi_line is not False else "xy"
+    (tmp_path / "a.csv").write_text(f'n,t\n1,b\n2,"{broken}",c, "d" ,"e,f"\n3\n4,"a,""b""",\n5,,,\n')
+    found = scan_csv(spark, str(tmp_path), surplus="keep", provenance=True, multi_line=multi_line)
+    assert found.columns[-1] == "surplus_cells"
+    assert {r["n"]: (r["t"] or "", r["surplus_cells"]) for r in found.collect()} == {
+        "1": ("b", None), "2": (broken, 'c, "d" ,"e,f"'), "3": ("", None), "4": ('a,"b"', ""), "5": ("", ",")}
+    assert scan_csv(spark, str(tmp_path), surplus="drop", multi_line=multi_line).count() == 5
+    assert found.filter("surplus_cells is not null").select("n").count() == 3
+
+
+def test_rejects_go_to_a_side_table(spark, tmp_path, small_splits):
+    expected = []
+    for name in ("one", "two"):
+        lines, at = ["n,t"], 2
+        for i in range(700):
+            odd = i % 61 == 7
+            cell = '"a\nb ' + "z" * 400 + '"' if i % 5 == 0 else "plain"
+            lines.append(f"{i},{cell}" + (',more,"x\ny"' if odd else ""))
+            if odd:
+                expected.append((name, at, str(i), 'more,"x\ny"'))
+            at += 1 + lines[-1].count("\n")
+        (tmp_path / f"in/{name} file.csv").parent.mkdir(exist_ok=True)
+        (tmp_path / f"in/{name} file.csv").write_text("\n".join(lines) + "\n")
+    stored = store_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert (stored.rows, stored.rejected) == (1400 - len(expected), len(expected))
+    assert stored.raw.count() == stored.rows and stored.raw.columns == ["n", "t"]
+    found = [(r["source_path"].rsplit("/", 1)[1][:3], r["line"], r["n"], r["surplus_cells"]) for r in stored.rejects.collect()]
+    assert sorted(found) == sorted(expected)
+    (tmp_path / "good.csv").write_text("n,t\n1,2\n")
+    good = store_csv(spark, str(tmp_path / "good.csv"), str(tmp_path / "out2"))
+    assert (good.rows, good.rejected, good.rejects.count(), rows(good.raw)) == (1, 0, 0, [("1", "2")])
+
+
+def test_an_open_quote_names_its_file(spark, tmp_path, monkeypatch):
+    """Also in a file that is one split."""
+    monkeypatch.setattr(records, "LONGEST_RECORD", 5000)
+    with gzip.open(tmp_path / "odd.csv.gz", "wt") as file:
+        file.write('n,t\n1,"ok\nok"\n2,"never closed\n' + "more text\n" * 5000)
+    with pytest.raises(Exception, match="a quoted cell is not closed, or too long, in .*odd.csv.gz"):
+        scan_csv(spark, str(tmp_path)).count()
+
+
 def test_surplus_cells_fail_loads_and_landings(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("n,t\n1,b\n2,b,c\n")

@@ -3,18 +3,23 @@ import datetime
 import glob
 import logging
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions.cells import normalize_cells
+from millrace.sinks.commits import CommitLog
 from millrace.sinks.export import export_csv
 from millrace.sinks.tables import publish_curated, replace_raw
+from millrace.sinks.versions import Versions, read_table
 from millrace.sinks.views import create_view, store_table, view_name
 from millrace.sources.csv import read_raw
-from millrace.sources.files import land_files, latest_file, list_files
+from millrace.sources.files import FileManifest, land_files, landed, latest_file, list_files
 from millrace.sources.jdbc import jdbc_options
 from millrace.sources.payload import expand_payload, read_payloads
-from millrace.streaming.landing import land_new_files
+from millrace.streaming.landing import land_batch, land_new_files
 
 AT = datetime.datetime(2024, 5, 6, 7, 8, 9)
 
@@ -45,11 +50,11 @@ def test_landing_keeps_paths_and_replaces_the_day(spark, tmp_path):
     for _ in range(2):
         landing = land_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-01")
     assert landing.files == 2
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(out.select("k", "source_name")) == [("1", "x.csv"), ("2", "x.csv")]
+    out = landed(spark, str(tmp_path / "out"))
+    assert rows(out.select("k", "source_name", "ds")) == [("1", "x.csv", "2024-01-01"), ("2", "x.csv", "2024-01-01")]
     assert len({r["source_path"] for r in out.collect()}) == 2
     land_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-01-02")
-    assert out.count() == 2 and spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert out.count() == 2 and landed(spark, str(tmp_path / "out")).count() == 4
 
 
 def test_landing_nothing_is_a_warning(spark, tmp_path, caplog):
@@ -66,11 +71,59 @@ def test_streamed_landing_takes_each_file_once(spark, tmp_path):
     put(tmp_path / "in/sub/b.csv", "K,V w\n2,\n")
     land_new_files(spark, *args, "2024-01-02", ["K", "V w"])
     land_new_files(spark, *args, "2024-01-03", ["K", "V w"])
-    out = spark.read.parquet(str(tmp_path / "out"))
+    out = landed(spark, str(tmp_path / "out"))
     assert rows(out.selectExpr("k", "v_w", "source_name", "cast(ds as string)")) == [
         ("1", "x\ny", "a.csv", "2024-01-01"), ("2", None, "b.csv", "2024-01-02")]
 
 
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    put(tmp_path / "in/a [1].csv", "K\n1\n2\n")
+    files = [r["path"] for r in list_files(spark, str(tmp_path / "in")).collect()]
+    for day in ("2024-01-01", "2024-01-01", "2024-01-02"):
+        land_batch(spark, files, str(tmp_path / "out"), day, "stream", 0)
+    assert rows(landed(spark, str(tmp_path / "out")).select("k", "ds")) == [("1", "2024-01-01"), ("2", "2024-01-01")]
+    land_batch(spark, files, str(tmp_path / "out"), "2024-01-02", "stream", 1)
+    assert landed(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_a_batch_that_fails_is_taken_by_the_next_call(spark, tmp_path):
+    args = (str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+    put(tmp_path / "in/a.csv", "K\n1\n2,surplus\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        land_new_files(spark, *args, "d")
+    put(tmp_path / "in/a.csv", "K\n1\n2\n")
+    land_new_files(spark, *args, "d")
+    assert rows(landed(spark, str(tmp_path / "out")).select("k")) == [("1",), ("2",)]
+
+
+def test_a_large_new_file_is_read_in_many_tasks(spark, tmp_path):
+    put(tmp_path / "in/a.csv", "K,T\n" + "".join(f'{i},"x\ny"\n' for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        land_new_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), "d")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    out = landed(spark, str(tmp_path / "out"))
+    assert out.count() == 20_000 and len(out.inputFiles()) > 5
+
+
+def test_a_manifest_tells_what_has_changed(spark, tmp_path):
+    manifest = FileManifest(spark, str(tmp_path / "kept"))
+    for name in ("a.csv", "b/c.csv", "d.csv", "e.csv"):
+        put(tmp_path / "in" / name, "x")
+    assert {r["change"] for r in manifest.refresh(list_files(spark, str(tmp_path / "in"))).collect()} == {"new"}
+    assert manifest.refresh(list_files(spark, str(tmp_path / "in"))).isEmpty()
+    put(tmp_path / "in/a.csv", "longer")
+    os.utime(tmp_path / "in/d.csv", (1_700_000_000,) * 2)
+    os.remove(tmp_path / "in/b/c.csv")
+    put(tmp_path / "in/new.csv", "y")
+    changes = manifest.refresh(list_files(spark, str(tmp_path / "in")))
+    put(tmp_path / "in/later.csv", "y")  # the answer stays
+    assert sorted((r["path"].rsplit("/", 1)[1], r["change"], r["length"]) for r in changes.collect()) == [
+        ("a.csv", "changed", 6), ("c.csv", "deleted", 1), ("d.csv", "changed", 1), ("new.csv", "new", 1)]
+    assert manifest.listing().count() == 4
+
+
 def test_replace_raw(spark, raw, tmp_path):
     path = str(tmp_path / "t")
     replace_raw(normalize_cells(raw("a b", ("1", " "))), path, AT)
@@ -81,6 +134,73 @@ def test_replace_raw(spark, raw, tmp_path):
     assert replace_raw(raw("a", "1"), str(tmp_path / "u")).first()["uploaded_at"] is not None
 
 
+@pytest.mark.parametrize("table", [None, "crashing"])
+def test_a_job_that_dies_while_writing_leaves_the_old_rows(spark, raw, tmp_path, table):
+    path = str(tmp_path / "t")
+    old = replace_raw(raw("a", "1"), path, AT, table=table)
+    broken = spark.range(1000, numPartitions=8).select(F.when(F.col("id") < 900, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("gone"))).alias("a"))
+    with pytest.raises(Exception, match="gone"):
+        replace_raw(broken, path, AT, table=table)
+    assert rows(read_table(spark, path).select("a")) == rows(old.select("a")) == [("1",)]
+    if table:
+        assert rows(spark.sql(f"select a from raw.{table}")) == [("1",)]
+        spark.sql(f"drop view raw.{table}")
+
+
+def test_versions_are_cleaned_by_age(spark, raw, tmp_path):
+    table = Versions(spark, str(tmp_path / "t"))
+    first = table.replace(raw("a", "1"))
+    begun = table.read()
+    second = table.replace(raw("a b", ("2", "x")))
+    assert rows(begun) == [("1",)] and rows(table.read()) == [("2", "x")]  # a reader that began before still can
+    os.utime(first.removeprefix("file:"), (time.time() - 90_000,) * 2)
+    (tmp_path / "t/_data/version=writing/_temporary").mkdir(parents=True)
+    os.utime(tmp_path / "t/_data/version=writing", (time.time() - 90_000,) * 2)
+    table.replace(raw("a", "3"))
+    left = sorted(os.path.basename(p) for p in glob.glob(f"{tmp_path}/t/_data/version=*"))
+    assert os.path.basename(first) not in left and os.path.basename(second) in left and "version=writing" in left
+    for i in range(60):
+        table.commits.force("", {**table.parts()[""], "n": i})
+    table.commits.trim()
+    assert rows(table.read()) == [("3",)] and len(os.listdir(tmp_path / "t/_commits")) < 110
+
+
+def test_parts_are_replaced_one_by_one_also_with_other_columns(spark, raw, tmp_path):
+    table = Versions(spark, str(tmp_path / "t"))
+    table.replace(raw("a", "1"), {"ds": "1", "source": "x"})
+    table.replace(raw("a", "2"), {"ds": "2", "source": "x"})
+    table.replace(raw("a", "3"), {"ds": "1", "source": "x"})
+    assert rows(table.read()) == [("2", "2", "x"), ("3", "1", "x")]
+    table.replace(raw("a b", ("4", "y")), {"ds": "3", "source": "x"})
+    assert rows(table.read().select("a", "b")) == [("2", None), ("3", None), ("4", "y")]
+    for wrong in ("", "a/b", "_x", ".."):
+        with pytest.raises(ValueError):
+            table.replace(raw("a", "1"), {"ds": wrong})
+    with pytest.raises(FileNotFoundError):
+        Versions(spark, str(tmp_path / "nothing")).read()
+
+
+def test_one_of_many_commits_at_once_wins(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "c"), every=5)
+
+    def add(i):
+        tries = 0
+        while True:
+            state = log.state()
+            tries += 1
+            if log.commit(state, f"k{i}", {"on": state.number}):
+                return tries
+
+    with ThreadPoolExecutor(8) as pool:
+        tries = list(pool.map(add, range(40)))
+    state = log.state()
+    assert state.number == 40 and sorted(e["on"] for e in state.entries.values()) == list(range(40)) and sum(tries) > 40
+    log.trim()
+    assert log.state() == state and not [n for n in os.listdir(tmp_path / "c") if n.startswith("_")]
+    log.force("k3", None)
+    assert "k3" not in log.state().entries and log.state().number == 41
+
+
 def test_catalog_tables(spark, raw, tmp_path):
     replace_raw(raw("a", "1"), str(tmp_path / "r"), AT, table="loaded")
     assert spark.sql("select a from raw.loaded").first()["a"] == "1"
@@ -88,7 +208,7 @@ def test_catalog_tables(spark, raw, tmp_path):
     assert rows(spark.sql("select a from raw.loaded")) == [("2",)]
     name = store_table(raw("a", "3"), "clean", "My Table", str(tmp_path / "c"))
     assert name == "clean.my_table" and rows(spark.table(name)) == [("3",)]
-    for statement in ("drop table raw.loaded", "drop table clean.my_table"):
+    for statement in ("drop view raw.loaded", "drop view clean.my_table"):
         spark.sql(statement)
 
 
@@ -137,8 +257,15 @@ def test_payloads(spark, raw, tmp_path):
     put(tmp_path / "doc/one.json", '[{"k": 3},\n {"k": 4}]')
     assert rows(read_payloads(spark, str(tmp_path / "lines.json"), "k INT, x STRING")) == [(1, "a"), (2, None)]
     assert rows(read_payloads(spark, str(tmp_path / "doc"), "k INT", whole_document=True)) == [(3,), (4,)]
-    df = expand_payload(raw("id p", ("a", '{"k": 5, "z": 1}'), ("b", "not json"), ("c", None)), "p", "k INT, m STRING")
-    assert df.columns == ["id", "k", "m"] and rows(df) == [("a", 5, None), ("b", None, None), ("c", None, None)]
+    given = raw("id p", ("a", '{"k": 5, "z": 1}'), ("b", "not json"), ("c", None))
+    df = expand_payload(given, "p", "k INT, m STRING", unreadable="text")
+    assert df.columns == ["id", "k", "m", "text"] and rows(df) == [("a", 5, None, None), ("b", None, None, "not json"), ("c", None, None, None)]
+    assert rows(expand_payload(given.filter("id <> 'b'"), "p", "k INT")) == [("a", 5), ("c", None)]
+    put(tmp_path / "broken.json", '{"k": 1}\nnot json\n')
+    for lost in (expand_payload(given, "p", "k INT, m STRING"), read_payloads(spark, str(tmp_path / "broken.json"), "k INT")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            lost.collect()
+    assert rows(read_payloads(spark, str(tmp_path / "broken.json"), "k INT", unreadable="text")) == [(1, None), (None, "not json")]
 
 
 def test_jdbc_options():

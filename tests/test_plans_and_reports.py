@@ -1,4 +1,5 @@
 import datetime
+import os
 from decimal import Decimal
 
 import pytest
@@ -165,12 +166,12 @@ def test_run_log_is_an_upsert(spark, tmp_path):
         **first, "state": "failed", "started_at": later, "finished_at": later, "error_message": "boom",
         "created_at": later})
     metadata.append_row(spark, path, metadata.PIPELINE_RUNS, {**first, "dag_run_id": "s"})
-    log = metadata.read_or_empty(spark, path, metadata.PIPELINE_RUNS)
+    log = metadata.read_log(spark, path, metadata.PIPELINE_RUNS)
     runs = {r["dag_run_id"]: r for r in metadata.timed(metadata.current_runs(log)).collect()}
     assert runs["r"]["state"] == "failed" and runs["r"]["error_message"] == "boom"
     assert runs["r"]["started_at"] == AS_OF and runs["r"]["duration_seconds"] == Decimal("60.000")
     assert runs["s"]["state"] == "running" and runs["s"]["duration_seconds"] is None
-    assert metadata.read_or_empty(spark, str(tmp_path / "none"), metadata.TASK_RUNS).count() == 0
+    assert metadata.read_log(spark, str(tmp_path / "none"), metadata.TASK_RUNS).count() == 0
     with pytest.raises(ValueError):
         metadata.append_row(spark, path, metadata.PIPELINE_RUNS, {"colour": 1})
 
@@ -251,3 +252,52 @@ def test_task_lists(spark):
     assert rows(health.retry_counts(tasks)) == [("p", "ingestion", 2, 50)]
     assert rows(health.stage_state_counts(tasks)) == [("ingestion", "failed", 25), ("ingestion", "success", 25)]
     assert rows(health.task_success_pct(tasks)) == [(50.0,)]
+
+
+def test_a_log_is_drawn_together_beside_a_writer(spark, tmp_path):
+    """Many small files become a few; a row appended while they are read is not lost, and an old reader still can read."""
+    path, schema = str(tmp_path / "log"), metadata.PIPELINE_RUNS
+
+    def add(run, pipeline="p/1 {x}", state="success"):
+        at = datetime.datetime(2024, 1, 1, 0, run % 60, tzinfo=datetime.timezone.utc)
+        metadata.append_row(spark, path, schema, {"pipeline_id": pipeline, "dag_run_id": f"r{run}", "state": state, "created_at": at, "started_at": at,
+                                                  "duration_seconds": Decimal("1.250")})
+
+    for run in range(120):
+        add(run, f"p{run % 3}" if run % 2 else "p/1 {x}")
+    before = metadata.read_log(spark, path, schema)
+    rows = sorted(map(str, before.collect()))
+    assert len(rows) == 120 and len(before.inputFiles()) == 120 and {r.pipeline_id for r in before.collect()} == {"p0", "p1", "p2", "p/1 {x}"}
+    state = metadata._snapshot(spark, path)
+    assert metadata.compact_log(spark, path, schema) and not metadata.CommitLog(spark, f"{path}/_commits").commit(state, "snapshot", {})
+    after = metadata.read_log(spark, path, schema)
+    assert sorted(map(str, after.collect())) == rows == sorted(map(str, before.collect())) and len(after.inputFiles()) == 1
+    assert sorted(map(str, metadata.current_runs(after).collect())) == sorted(map(str, metadata.current_runs(before).collect()))
+    for run in range(120, 125):
+        add(run, "p1")
+    add(7, "p1", "failed")
+    later = metadata.read_log(spark, path, schema)
+    assert later.count() == 126 and len(later.inputFiles()) == 7
+    assert later.filter("pipeline_id = 'p1'").count() == sum(1 for run in range(120) if run % 2 and run % 3 == 1) + 6
+    assert "PushedFilters: [IsNotNull(pipeline_id), EqualTo(pipeline_id,p1)]" in plan_of(later.filter("pipeline_id = 'p1'"))
+    # The second time, files that the first one holds are removed, as no reader needs them.
+    assert metadata.compact_log(spark, path, schema, keep_hours=0)
+    assert metadata.read_log(spark, path, schema).count() == 126 and len(metadata._small_files(spark, path)) == 6
+    assert metadata.compact_log(spark, path, schema, keep_hours=0) and len(metadata._small_files(spark, path)) == 0
+    assert metadata.read_log(spark, path, schema).count() == 126 and len(os.listdir(tmp_path / "log/_snapshots")) <= 4
+
+
+def test_a_compaction_that_loses_or_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "log"), metadata.PIPELINE_LINEAGE
+    for i in range(4):
+        metadata.append_row(spark, path, schema, {"pipeline_id": f"p{i}", "source_type": "x", "updated_at": datetime.datetime(2024, 1, 1)})
+    with monkeypatch.context() as patch:
+        patch.setattr(metadata.CommitLog, "commit", lambda *args: False)
+        assert not metadata.compact_log(spark, path, schema)
+    assert metadata.read_log(spark, path, schema).count() == 4 and not [n for n in os.listdir(tmp_path / "log/_snapshots") if not n.startswith(".")]
+    metadata.compact_log(spark, path, schema)
+    assert not metadata.compact_if_many(spark, path, schema, "p1", 1) and metadata.read_log(spark, path, schema).count() == 4
+    for _ in range(3):
+        metadata.append_row(spark, path, schema, {"pipeline_id": "p1", "source_type": "y", "updated_at": datetime.datetime(2024, 1, 2)})
+    assert metadata.compact_if_many(spark, path, schema, "p1", 2) and len(metadata.read_log(spark, path, schema).inputFiles()) == 1
+    assert metadata.current_lineage(metadata.read_log(spark, path, schema)).filter("source_type = 'y'").count() == 1

@@ -3,6 +3,7 @@ import datetime
 import pytest
 from plan_text import plan_of
 
+from millrace.sinks.versions import read_table
 from millrace.operators.clean import clean
 from millrace.plans.script import read_script, run_script
 from millrace.plans.upload import load_csv
@@ -76,7 +77,7 @@ def test_from_files_to_stored_views_and_snapshots(spark, folder):
                      metrics=[MetricSpec("order_id", "MAX"), MetricSpec("*", "COUNT")])
     out = run_job(spark, JobSpec([spec]), {"orders": raw}, store_at=str(folder / "clean"), export_to=str(folder / "csv"),
                   at=AT)
-    assert spark.read.parquet(str(folder / "clean/orders")).exceptAll(clean(spec, {"orders": raw})).isEmpty()
+    assert read_table(spark, str(folder / "clean/orders")).exceptAll(clean(spec, {"orders": raw})).isEmpty()
     snapshot = spark.read.csv(out["analytics_orders"], header=True)
     assert sorted(tuple(r) for r in snapshot.collect())[0] == ("2024-01-01", "1484", "54")
 
