@@ -63,15 +63,16 @@ def infer_types(df: DataFrame, order_by: list[Column] | None = None, sample_valu
     none = df.sparkSession.range(len(df.columns)).selectExpr("int(id) as ordinal", "cast(null as int) as bits")
     masks = values.unionByName(none).groupBy("ordinal").agg(F.bit_and("bits").alias("bits"))
     names = ", ".join(f"'{c}'" for c in df.columns)
-    return masks.selectExpr("ordinal", f"element_at(array({names}), ordinal + 1) as column", f"{_name_of('bits')} as type").orderBy("ordinal")
+    return masks.selectExpr("ordinal", f"element_at(array({names}), ordinal + 1) as column", f"{type_of_bits('bits')} as type").orderBy("ordinal")
 
 
 def _by_column(masks: DataFrame, names: list[str]) -> DataFrame:
-    rows = ", ".join(f"struct({i} as ordinal, '{n}' as column, {_name_of(f'`{n}`')} as type)"
+    rows = ", ".join(f"struct({i} as ordinal, '{n}' as column, {type_of_bits(f'`{n}`')} as type)"
                      for i, n in enumerate(names))
     return masks.selectExpr(f"inline(array({rows}))")
 
 
-def _name_of(mask: str) -> str:
+def type_of_bits(mask: str) -> str:
+    """SQL for the type that a set of bits stands for."""
     chosen = " ".join(f"when {mask} & {bit} != 0 then '{name}'" for name, bit in BITS.items())
     return f"case when {mask} is null then 'TEXT' {chosen} else 'TEXT' end"

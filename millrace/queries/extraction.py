@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -33,12 +34,33 @@ def _three_runs(spark, sf_dir):
 
 @query("incremental_extract", f"""
     select event_id, ts, user_id, event_type, value, props,
-           case when ts < {CUT_SQL} then 'a' else 'b' end as run_id,
+           case when ts < {CUT_SQL} then 'a' else 'overlapping' end as run_id,
            case when ts < {CUT_SQL} then '2024-01-15' else '2024-01-31' end as ds
     from events""")
 def incremental_extract(spark, sf_dir):
-    job, events = _three_runs(spark, sf_dir)
-    return job.extracted(spark, events.schema)
+    """A first run, and then two that overlap: each row comes once, by whichever of the two commits first."""
+    job, events = _job(spark), read(spark, sf_dir, "events")
+    job.run(events.filter(F.col("ts") < time_literal(CUT)), "2024-01-15", "a")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda run: job.run(events, "2024-01-31", run), ("b", "c")))
+    rows = job.extracted(spark, events.schema)
+    return rows.withColumn("run_id", F.when(F.col("run_id") == "a", "a").otherwise("overlapping"))
+
+
+@query("incremental_late", f"""
+    select event_id, ts, user_id, event_type, value, props, case when ts < {CUT_SQL} and event_id % 9 <> 0 then 'a' else 'b' end as run_id
+    from events where not (ts < {CUT_SQL} - interval '3 days' and event_id % 9 = 0)""")
+def incremental_late(spark, sf_dir):
+    """Rows that come up to three days late are extracted once; the rest of that time is read again and left out."""
+    base = shared_folder(spark, "extract")
+    job = IncrementalExtract("events_daily", "public.events", f"{base}/data", f"{base}/log", watermark_column="ts", overlap=timedelta(days=3))
+    events = read(spark, sf_dir, "events")
+    last = events.filter(F.col("ts") < time_literal(CUT)).agg(F.max("ts")).first()[0]
+    early = events.filter(F.col("ts") < time_literal(CUT))
+    job.run(early.filter((F.col("event_id") % 9 != 0) | (F.col("ts") == time_literal(last))), "2024-01-15", "a")
+    shifted = events.filter((F.col("event_id") % 9 != 0) | (F.col("ts") >= time_literal(CUT - timedelta(days=3))))
+    job.run(shifted, "2024-01-31", "b")
+    return job.extracted(spark, events.schema).drop("ds").withColumn("run_id", F.when((F.col("ts") < time_literal(CUT)) & (F.col("event_id") % 9 != 0), "a").otherwise("b"))
 
 
 @query("incremental_first_run", """

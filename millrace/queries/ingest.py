@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.infer import BITS, BOOLEAN_WORDS, DATE, INTEGER, NUMERIC, TIMESTAMP, infer_types
+from millrace.operators.profile import FolderProfile
 from millrace.operators.sample import column_samples, preview
 from millrace.plans.upload import load_csv
 from millrace.queries.inputs import AS_OF, CELLS, cells, raw, read, with_raw
@@ -93,6 +94,24 @@ def load(spark, sf_dir):
     return columns.withColumn("samples", F.array_join("samples", "|"))
 
 
+_FILLED_SQL = with_raw("orders", " union all ".join(
+    f"select {i} as ordinal, count(*) as rows, count({c}) as filled from raw_orders" for i, c in enumerate(COLUMNS)))
+
+
+@query("folder_profile", f"""
+    select t.ordinal, t."column", t.type, f.rows, f.filled from ({_infer_sql()}) t join ({_FILLED_SQL}) f on t.ordinal = f.ordinal""")
+def folder_profile(spark, sf_dir):
+    """Half of the rows are profiled first, and then only the files with the others."""
+    base = shared_folder(spark, "profile")
+    orders = cells(spark, sf_dir, "orders")
+    profile = FolderProfile(spark, f"{base}/in", f"{base}/kept")
+    for half in (0, 1):
+        orders.filter(F.col("o_orderkey").cast("bigint") % 2 == half).write.csv(
+            f"{base}/in/{half}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        profile.refresh()
+    return profile.columns().drop("samples")
+
+
 @query("upload_snapshot", with_raw("orders", "select * from raw_orders"))
 def upload_snapshot(spark, sf_dir):
     base = shared_folder(spark, "snapshot")

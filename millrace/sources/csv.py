@@ -48,7 +48,7 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], *, glob: str | None
     """
     if surplus not in ("drop", "raise", "keep"):
         raise ValueError(f"surplus is raise, keep or drop, not {surplus}")
-    header = list(header) if header is not None else _first_header(spark, path, glob, recursive)
+    header = list(header) if header is not None else first_header(spark, path, glob, recursive)
     names, n = safe_names(header), len(header)
     if surplus == "keep" and SURPLUS in names:
         raise ValueError(f"the files have a column {SURPLUS!r} of their own")
@@ -105,13 +105,12 @@ def store_csv(spark: SparkSession, path: str | Sequence[str], dest: str, *, glob
     Both are written in one pass over the text. ``line`` is the line of the file on which a rejected row begins, from 1 on. A second look
     at the files, only if there are rejects, counts the lines of each split.
     """
-    header = _first_header(spark, path, glob, recursive)
+    header = first_header(spark, path, glob, recursive)
     names, n = safe_names(header), len(header)
     where = {"recursiveFileLookup": recursive, **({"pathGlobFilter": glob} if glob else {})}
-    schema = StructType([StructField(name, StringType()) for name in names])
-    rows = parse_records(assemble_records(spark, path, **where), header, schema, DIALECT)
     beyond = surplus_of(F.col("record"), n)
-    cells = rows.select(*[F.col(f"cells.`{c}`").alias(c) for c in names], "file", "block", "first", beyond.alias(SURPLUS), beyond.isNull().alias("fits"))
+    cells = scan_records(spark, path, header, names, **where).select(
+        *[f"`{c}`" for c in names], "file", "block", "first", beyond.alias(SURPLUS), beyond.isNull().alias("fits"))
     watch = Observation()
     counted = normalize_cells(cells, names).observe(watch, F.count_if("fits").alias("rows"), F.count_if(~F.col("fits")).alias("rejected"))
     counted.write.mode("error").partitionBy("fits").parquet(dest)
@@ -123,6 +122,13 @@ def store_csv(spark: SparkSession, path: str | Sequence[str], dest: str, *, glob
     return Stored(raw, rejects, watch.get["rows"], watch.get["rejected"])
 
 
+def scan_records(spark: SparkSession, path: str | Sequence[str], header: Sequence[str | None], names: Sequence[str], **where) -> DataFrame:
+    """The cells of all records, put together in splits, with file, block, n (records of the split so far), first (line of the split) and record."""
+    schema = StructType([StructField(name, StringType()) for name in names])
+    rows = parse_records(assemble_records(spark, path, **where), header, schema, DIALECT)
+    return rows.select(*[F.col(f"cells.`{c}`").alias(c) for c in names], "file", "block", "n", "first", "record")
+
+
 def with_record(reader, schema: StructType):
     """A batch or stream reader of ``schema`` and the record of each row that has more or fewer cells."""
     return reader.schema(StructType([*schema.fields, StructField(RECORD, StringType())])).option("columnNameOfCorruptRecord", RECORD)
@@ -140,7 +146,8 @@ def has_split_records(spark: SparkSession, path: str | Sequence[str], **options)
     return not spark.read.options(**options).text(path).filter(~F.col("value").rlike(WHOLE_RECORD)).isEmpty()
 
 
-def _first_header(spark: SparkSession, path: str | Sequence[str], glob: str | None, recursive: bool) -> list[str | None]:
+def first_header(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = True) -> list[str | None]:
+    """The header of the first file by path."""
     first = list_files(spark, path, glob=glob, recursive=recursive).agg(F.min("path").alias("path")).first()["path"]
     if first is None:
         raise FileNotFoundError(f"no files under {path}")

@@ -184,7 +184,7 @@ def _splits_inside(lines: DataFrame) -> set[tuple[str, int]]:
 
 
 def parse_records(records: DataFrame, header: Sequence[str | None], schema: StructType, dialect: dict[str, str]) -> DataFrame:
-    """``(cells, file, modified_at, block, first, record)`` of the data rows: without blank lines and each file's header, which must be ``header``."""
+    """``(cells, file, modified_at, block, n, first, record)`` of the data rows: without blank lines and each file's header, which must be ``header``."""
     parsed = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), dialect)
     cells = records.withColumn("cells", parsed)
     names = F.array(*[F.coalesce(F.col(f"cells.`{f.name}`"), F.lit("")) for f in schema.fields])
@@ -192,7 +192,7 @@ def parse_records(records: DataFrame, header: Sequence[str | None], schema: Stru
     same = F.when(names == F.array(*[F.lit(h or "") for h in header]), False).otherwise(F.raise_error(message).cast("boolean"))
     is_header = (F.col("block") == 0) & (F.col("n") == 1)
     rows = cells.filter(F.when(is_header, same).otherwise(F.trim("record") != ""))
-    return rows.select("cells", "file", "modified_at", "block", "first", "record")
+    return rows.select("cells", "file", "modified_at", "block", "n", "first", "record")
 
 
 def surplus_of(record: Column, n: int) -> Column:

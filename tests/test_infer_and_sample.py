@@ -110,3 +110,34 @@ def test_text_of_unreadable_payloads_is_kept(spark):
     df = spark.createDataFrame([(1, '{"k": 3}'), (2, "{oops"), (3, None)], "id INT, p STRING")
     got = expand_payload(df, "p", "k INT", unreadable="bad").orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 3, None), (2, None, "{oops"), (3, None, None)]
+
+
+def test_profiles_of_files_merge(spark, tmp_path):
+    """Adding one file reads one; the result is that of looking at all rows."""
+    from millrace.operators.profile import FolderProfile
+    from millrace.sources.csv import read_raw
+
+    cells = {"a": ["1", "-2", ""], "b": ["1.5", "2", "x"], "c": ["2024-01-01", "", "2024-02-30"], "d": ["yes", "0", "no"], "e": ["", "  ", '"q, r"']}
+    folder = tmp_path / "in"
+
+    def put(name, turn, rows):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        lines = [",".join(v[(i + turn) % 3 if i % 40 == 39 else (i + turn) % 2] for v in cells.values()) for i in range(rows)]
+        (folder / name).write_text("\n".join([",".join(cells), *lines]) + "\n")
+
+    def all_rows():
+        raw = read_raw(spark, str(folder), recursive=True)
+        return [tuple(r) for r in infer_types(raw).collect()], raw.count()
+
+    for i in range(6):
+        put(f"{i % 2}/f {i}.csv", i, 20 + i)
+    profile = FolderProfile(spark, str(folder), str(tmp_path / "kept"))
+    assert profile.refresh() == 6 and profile.refresh() == 0
+    put("new.csv", 1, 80)
+    put("1/f 1.csv", 2, 33)
+    (folder / "0/f 2.csv").unlink()
+    assert profile.refresh() == 2
+    found = profile.columns().orderBy("ordinal").collect()
+    types, n = all_rows()
+    assert [(r["ordinal"], r["column"], r["type"]) for r in found] == types and {r["rows"] for r in found} == {n}
+    assert found[0]["samples"] == ["1", "-2", "1"] and found[4]["samples"] in ([], ["q, r"])

@@ -37,7 +37,7 @@ def test_script_stops_at_the_first_error(spark):
     with pytest.raises(Exception, match="no_such_table"):
         run_script(spark, "create or replace temp view made as select 1 a; select * from no_such_table; "
                           "create or replace temp view never as select 1 a")
-    assert spark.catalog.tableExists("made") and not spark.catalog.tableExists("never")
+    assert not spark.catalog.tableExists("made") and not spark.catalog.tableExists("never")
     with pytest.raises(ValueError):
         run_script(spark, " ; ")
 
@@ -301,3 +301,45 @@ def test_a_compaction_that_loses_or_dies_changes_nothing(spark, tmp_path, monkey
         metadata.append_row(spark, path, schema, {"pipeline_id": "p1", "source_type": "y", "updated_at": datetime.datetime(2024, 1, 2)})
     assert metadata.compact_if_many(spark, path, schema, "p1", 2) and len(metadata.read_log(spark, path, schema).inputFiles()) == 1
     assert metadata.current_lineage(metadata.read_log(spark, path, schema)).filter("source_type = 'y'").count() == 1
+
+
+def test_a_script_that_fails_leaves_all_as_it_was(spark):
+    spark.sql("create or replace temp view kept as select 1 as n")
+    spark.sql("create database if not exists layer")
+    spark.sql("create or replace view layer.stays as select 'old' as t")
+    script = """create or replace temp view kept as select 2 as n;
+        create or replace view layer.stays as select 'new' as t;
+        create view layer.made as select 3 as m; create table layer.rows using parquet as select 4 as r; insert into layer.rows select 5;
+        create temp view another as select raise_error('third') as e; select e from another; select * from nowhere_at_all"""
+    with pytest.raises(Exception):
+        run_script(spark, script)
+    assert spark.table("kept").first()["n"] == 1 and spark.table("layer.stays").first()["t"] == "old"
+    assert not any(spark.catalog.tableExists(x) for x in ("layer.made", "layer.rows", "another"))
+    good = run_script(spark, script.split("create temp view another")[0].strip().rstrip(";"))
+    assert good.views == ["kept", "layer.stays", "layer.made"] and spark.table("kept").first()["n"] == 2
+    assert sorted(r[0] for r in spark.table("layer.rows").collect()) == [4, 5]
+    for change in ("insert into layer.rows select 6", "drop view layer.made", "select 1; DROP TABLE layer.rows", "insert overwrite layer.rows select 7", "truncate table layer.rows"):
+        with pytest.raises(ValueError, match="atomic=False"):
+            run_script(spark, change)
+    run_script(spark, "select 'drop table x; insert into y'; -- drop table z\nselect 1")
+    run_script(spark, "insert into layer.rows select 6", atomic=False)
+    assert spark.table("layer.rows").count() == 3
+    for statement in ("drop view layer.made", "drop view layer.stays", "drop table layer.rows", "drop database layer", "drop view kept"):
+        spark.sql(statement)
+
+
+def test_an_exporting_job_reads_each_raw_table_once(spark, tmp_path):
+    """Rows of a raw table pass an accumulator of their own as they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    raw = spark.range(50).selectExpr("cast(id as string) k", "cast(id % 3 as string) g").mapInArrow(counted, "k string, g string")
+    spec = TableSpec("t", [ColumnSpec("k", "INTEGER"), ColumnSpec("g")], group_by=["g"], metrics=[MetricSpec("k", "SUM")])
+    out = run_job(spark, JobSpec([spec]), {"t": raw}, export_to=str(tmp_path))
+    assert seen.value == 50 and set(out) == {"clean_t", "analytics_t"}
+    assert spark.read.csv(out["clean_t"], header=True).count() == 50 and spark.read.csv(out["analytics_t"], header=True).count() == 3
+    assert spark.table("clean_t").count() == 50  # the views outlive the stage
