@@ -142,7 +142,7 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon, most_known: int = 300_000):
+    def __init__(self, lexicon: Lexicon, most_known: int = 100_000):
         self.lexicon, self.clean, self.hit, self.most_known = lexicon, set(), {}, most_known
 
     def value(self, text: str | None) -> float:
@@ -194,9 +194,13 @@ def possible_stems(table: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     also a stem of itself, however short or long it is.
     """
     least, weight = limits(n_toxic, n_other)
-    sizes = F.sequence(F.lit(LEAST_STEM), F.least(F.length("word"), F.lit(MOST_STEM)))
-    parts = F.when(F.length("word") >= LEAST_STEM, F.transform(sizes, lambda n: F.left("word", n))).otherwise(F.array().cast("array<string>"))
-    stems = table.select(F.explode(F.array_union(parts, F.array("word"))).alias("stem"), "*")
+    # Sizes of the stems, and 0 for the whole word where it is none of them.
+    size = F.length("word")
+    sizes = F.when(size < LEAST_STEM, F.array(F.lit(0))).when(size > MOST_STEM, F.sequence(F.lit(LEAST_STEM), F.lit(MOST_STEM + 1))).otherwise(
+        F.sequence(F.lit(LEAST_STEM), size))
+    n = F.col("size")
+    stem = F.when((n == 0) | (n > MOST_STEM), F.col("word")).otherwise(F.left("word", n))
+    stems = table.select(F.explode(sizes).alias("size"), "*").select(stem.alias("stem"), *table.columns)
     bad, good = F.sum(F.when(F.col("hopeful"), F.col("bad")).otherwise(0)), F.sum("good")
     found = stems.groupBy("stem").agg(bad.alias("most"), good.alias("others")).where(
         (F.col("most") >= least) & (F.col("most") / (F.col("most") + F.col("others") * weight) >= LEAST_PRECISION))
