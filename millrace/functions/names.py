@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
 
 # Fixed value: the characters a name may keep.
 _NOT_ALLOWED = re.compile(r"[^a-z0-9_]")
@@ -23,7 +22,3 @@ def safe_names(names: Iterable[str | None]) -> list[str]:
     if twice:
         raise ValueError(f"columns collide after normalising: {', '.join(twice)}")
     return result
-
-
-def with_safe_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*safe_names(df.columns))

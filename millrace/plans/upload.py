@@ -16,7 +16,7 @@ from millrace.operators.sample import SAMPLE_ROWS, column_samples
 from millrace.sinks.export import export_csv
 from millrace.sinks.tables import replace_raw
 from millrace.sources.csv import PROVENANCE, read_raw, scan_csv
-from millrace.sources.files import list_files
+from millrace.sources.files import as_pattern, list_files
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
     ``snapshot_to`` also keeps the stored rows as CSV below that folder, under the time of the load.
     """
     name = safe_name(table)
-    head = _head(spark, path, max(SAMPLE_ROWS, first_rows or 0))
+    head = _head(spark, path, max(SAMPLE_ROWS, first_rows or 0), multi_line is not False)
     if head is None:
         raise ValueError(f"no data rows under {path}")
     order = [F.col("_row")]
@@ -71,7 +71,7 @@ def load_csv(spark: SparkSession, path: str | Sequence[str], table: str, dest: s
     return Upload(name, raw, columns, stored, total, snapshot)
 
 
-def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFrame | None:
+def _head(spark: SparkSession, path: str | Sequence[str], rows: int, multi_line: bool) -> DataFrame | None:
     """The first rows of the files in path order, numbered; None if there are none.
 
     One file in one task keeps its order under ``limit``, and is read no further. Only if the first
@@ -87,7 +87,7 @@ def _head(spark: SparkSession, path: str | Sequence[str], rows: int) -> DataFram
         paths = [r["path"] for r in files.offset(seen).limit(many).select("path").collect()]
         if not paths:
             break
-        scan = scan_csv(spark, paths, multi_line=True, provenance=len(paths) > 1)
+        scan = scan_csv(spark, [as_pattern(p) for p in paths], multi_line=multi_line, provenance=len(paths) > 1)
         if len(paths) == 1:
             part = normalize_cells(scan).withColumn("_row", found + F.monotonically_increasing_id()).limit(rows - found)
         else:

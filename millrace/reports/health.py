@@ -14,7 +14,6 @@ from millrace.operators.latest import latest_by, newest_first
 
 # How many rows the lists show and how far back the rates look.
 HISTORY_ROWS = 25
-PORTAL_ROWS = 8
 FAILED_TASK_ROWS = 20
 RATE_DAYS = 30
 RECENT_DAYS = 7
