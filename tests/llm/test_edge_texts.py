@@ -59,6 +59,14 @@ def test_special_tokens_count_as_such(docs):
     assert row.n_tokens == 3
 
 
+def test_sections_of_a_very_long_text(docs):
+    text = "one line of it\n" * 50_000 + "last"
+    found = sorted((r.section, r.start, r.end, r.n_tokens) for r in token_spans.section_tokens(docs((1, text)), rule="start").collect())
+    assert len(found) == 50_001 and found[-1][1:3] == (750_000, 750_004)
+    [whole] = [len(tokens.load().encode(texts_of(pa.array([text], pa.string()))).ids)]
+    assert sum(r[3] for r in found) == whole
+
+
 @pytest.mark.parametrize("between", [" ", ". ", "' ", "'", "\n", "·"])
 def test_windows_in_letters_beyond_ascii(spark, docs, between):
     """The small form of a capital sigma depends on what follows its word; İ and ẞ change their length."""

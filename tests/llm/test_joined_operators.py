@@ -180,3 +180,20 @@ def test_long_lists_are_no_small_table(spark):
     kept = spark.createDataFrame([(1, [0] * 8)], "k int, starts array<int>")
     hinted = ["Hint" in small(kept, *x)._jdf.queryExecution().logical().nodeName() for x in ((7,), (7, "starts"), (8, "starts"))]
     assert hinted == [True, False, True]
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark, sf_dir):
+    """Columns that are called as the stages' own keys stay as they are, and so do very long texts without a fault."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(10_000_001, long, "en", "s", len(long)), (10_000_002, long + " more", "en", "s", len(long) + 5), (10_000_003, "x" * 300_000, "en", "s", 300_000)]
+    docs = base.limit(50).unionByName(spark.createDataFrame(rows, base.schema)).selectExpr("*", "doc_id k1", "1 _k1", "'a' k2", "2 id", "3 label", "4 weight")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.schema.names == docs.schema.names, name
+        left = {r.doc_id: r for r in kept.collect()}
+        assert all(r.k1 == r.doc_id and (r._k1, r.k2, r.id, r.label, r.weight) == (1, "a", 2, 3, 4) for r in left.values()), name
+        if name == "n-gram Jaccard join":
+            assert 10_000_001 in left and 10_000_002 not in left
+    packed = corpus_pipeline.pack(spark, docs, sf_dir)
+    assert packed.where("doc_id = 10000001").agg({"length": "sum"}).first()[0] > 40_000
