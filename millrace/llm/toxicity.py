@@ -68,7 +68,10 @@ class Lexicon:
     def __post_init__(self):
         self.trie: dict = {}
         self.whole = frozenset(self.words)
-        self.pieces: set[str] = set()
+        # Parts of terms, one of which is whole in every spelling: at the begin or the end of a word of these lengths, or at these places.
+        self.first: dict[str, tuple[int, float]] = {}
+        self.last: dict[str, tuple[int, float]] = {}
+        self.inside: list[tuple[str, int, int]] = []
         self.most = 0
         for term, is_stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
             node = self.trie
@@ -77,10 +80,28 @@ class Lexicon:
             k = 0 if term in self.exact else edits_allowed(term)
             node["#"] = max(node.get("#", (0, False)), (k, is_stem), key=lambda x: (x[1], x[0]))
             self.most = max(self.most, k)
-            # One of k + 1 parts of a term is whole in every spelling with k edits.
+            # One of k + 1 parts of a term is whole in every spelling with k edits; only as many edits before it move it.
             cut = [len(term) * i // (k + 1) for i in range(k + 2)]
-            self.pieces.update(term[a:b] for a, b in zip(cut, cut[1:]))
-        self.sizes = sorted({len(x) for x in self.pieces})
+            parts = [term[x:y] for x, y in zip(cut, cut[1:])]
+            fits = (len(term) - k, float("inf") if is_stem else len(term) + k)
+            _widen(self.first, parts[0], fits)
+            if k and not is_stem:
+                _widen(self.last, parts[-1], fits)
+            self.inside += [(part, at - k, at + k) for part, at in zip(parts[1:] if is_stem else parts[1:-1], cut[1:])]
+        self.first_sizes, self.last_sizes = sorted({*map(len, self.first)}), sorted({*map(len, self.last)})
+
+    def may_fit(self, word: str) -> bool:
+        """Whether some part of a term is where a spelling would have it."""
+        n = len(word)
+        for size in self.first_sizes:
+            fits = self.first.get(word[:size])
+            if fits and fits[0] <= n <= fits[1]:
+                return True
+        for size in self.last_sizes:
+            fits = self.last.get(word[-size:])
+            if fits and fits[0] <= n <= fits[1]:
+                return True
+        return any(word.find(part, max(0, low), high + len(part)) >= 0 for part, low, high in self.inside)
 
     def __reduce__(self):
         # A trie of long terms is too deep to be sent; it is built again.
@@ -90,7 +111,7 @@ class Lexicon:
         """The fewest edits between the word and a term, as far as the term allows."""
         if word in self.whole:
             return 0
-        if not any(word[i: i + n] in self.pieces for n in self.sizes for i in range(len(word) - n + 1)):
+        if not self.may_fit(word):
             return None
         end = 1 << len(word)
         where: dict[str, int] = defaultdict(int)
@@ -122,6 +143,11 @@ class Lexicon:
         return best
 
 
+def _widen(table: dict[str, tuple[int, float]], part: str, fits: tuple[int, float]) -> None:
+    low, high = table.get(part, fits)
+    table[part] = (min(low, fits[0]), max(high, fits[1]))
+
+
 def plain(word: str) -> str:
     """A word in small letters without the signs that hide it."""
     word = word.lower()

@@ -158,14 +158,28 @@ def plain_value(text, words, stems, ordinary, exact):
 
 def test_scores_against_all_terms_and_words():
     rng = random.Random(11)
-    words, ordinary, exact = ["idiot", "worthless", "scum", "abcdef"], frozenset(["idiom", "worth1ess"]), frozenset(["abcdef"])
+    words, ordinary, exact = ["idiot", "worthless", "scum", "abcdef", "disgusting"], frozenset(["idiom", "worth1ess"]), frozenset(["abcdef"])
     scorer = toxicity.Scorer(toxicity.Lexicon(words, [], ordinary, exact))
-    pool = ["idiot", "idi0t", "idiom", "ideot", "iddiot", "worthles", "w0rthless", "worthlezzz", "scum", "scam", "abcdef", "abcdeg", '"', "said", "the", "word", ".", "“", "”", "é", "Idiot"]
+    pool = ["disgusting", "dizgustin", "disgstingg", "digusting", "disgustinggg", "idiot", "idi0t", "idiom", "ideot", "iddiot", "worthles", "w0rthless", "worthlezzz", "scum", "scam", "abcdef", "abcdeg", '"', "said", "the", "word", ".", "“", "”", "é", "Idiot"]
     for _ in range(400):
         text = " ".join(rng.choice(pool) for _ in range(rng.randrange(14)))
         assert scorer.value(text) == pytest.approx(plain_value(text, words, [], ordinary, exact)), text
 
 
+@pytest.mark.parametrize("stem", ["abcdef", "lowei", "abcabcabcabc"])
+def test_no_spelling_is_passed_over(stem):
+    """Every spelling of a stem or word within its edits has a part of it where it is looked for."""
+    rng, k = random.Random(stem), toxicity.edits_allowed(stem)
+    for is_stem in (True, False):
+        lexicon = toxicity.Lexicon([] if is_stem else [stem], [stem] if is_stem else [])
+        for _ in range(3000):
+            word = list(stem)
+            for _ in range(rng.randrange(k + 1)):
+                i = rng.randrange(len(word) + 1)
+                word[i:i + rng.randrange(2)] = rng.choice(["", "a", "x"])
+            assert lexicon.may_fit("".join(word) + ("tail" if is_stem else ""))
+
+
 def test_terms_of_any_length_and_rare_ordinary_use(spark):
     """Short and very long words are learned; one ordinary text with a misspelling does not clear it, ordinary words near a term do."""
     rng = random.Random(12)
