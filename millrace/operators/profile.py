@@ -16,7 +16,7 @@ from millrace.functions.names import safe_names
 from millrace.operators.infer import fitting_types, type_of_bits
 from millrace.operators.sample import SAMPLE_ROWS, SAMPLE_VALUES
 from millrace.sinks.versions import Versions
-from millrace.sources.csv import first_header, scan_records
+from millrace.sources.csv import PLACE, first_header, scan_records
 from millrace.sources.files import as_pattern, decoded_path, list_files
 
 
@@ -25,8 +25,9 @@ def profile_files(spark: SparkSession, paths: Sequence[str], header: Sequence[st
     names = safe_names(header)
     rows = scan_records(spark, [as_pattern(p) for p in paths], header, names)
     # A file's first records lie at its start; the header is the first.
-    near = (F.col("block") == 0) & (F.col("n") <= SAMPLE_ROWS + 1)
-    cells = normalize_cells(rows, names).select("file", "n", near.alias("near"), F.posexplode(F.array(*[f"`{c}`" for c in names])).alias("ordinal", "cell"))
+    at = {c: F.col(f"{PLACE}.{c}") for c in ("file", "block", "n")}
+    near = (at["block"] == 0) & (at["n"] <= SAMPLE_ROWS + 1)
+    cells = normalize_cells(rows, names).select(at["file"].alias("file"), at["n"].alias("n"), near.alias("near"), F.posexplode(F.array(*[f"`{c}`" for c in names])).alias("ordinal", "cell"))
     fits = cells.withColumn("bits", F.expr(fitting_types("cell")))
     first = F.sort_array(F.collect_list(F.when(F.col("near") & F.col("cell").isNotNull(), F.struct("n", "cell"))))  # at most SAMPLE_ROWS
     found = fits.groupBy("file", "ordinal").agg(F.count("*").alias("rows"), F.count("cell").alias("filled"), F.bit_and("bits").alias("bits"), first.alias("head"))

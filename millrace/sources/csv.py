@@ -33,6 +33,9 @@ SURPLUS = "surplus_cells"
 #: Lines that a header may have.
 HEADER_LINES = 100
 
+#: The column that says where a record came from, under a name that no header gives.
+PLACE = "_millrace_place"
+
 PROVENANCE = ("source_path", "source_name", "source_modified_at")
 
 
@@ -86,6 +89,9 @@ def read_raw(spark: SparkSession, path: str | Sequence[str], **options) -> DataF
     return normalize_cells(scan, scan.columns[:len(scan.columns) - added])
 
 
+_FITS = "_millrace_fits"
+
+
 @dataclass(frozen=True)
 class Stored:
     """``raw`` has the rows that fit the header; ``rejects`` the others: file, line, cells, and the text of the cells beyond.
@@ -108,25 +114,29 @@ def store_csv(spark: SparkSession, path: str | Sequence[str], dest: str, *, glob
     header = first_header(spark, path, glob, recursive)
     names, n = safe_names(header), len(header)
     where = {"recursiveFileLookup": recursive, **({"pathGlobFilter": glob} if glob else {})}
-    beyond = surplus_of(F.col("record"), n)
-    cells = scan_records(spark, path, header, names, **where).select(
-        *[f"`{c}`" for c in names], "file", "block", "first", beyond.alias(SURPLUS), beyond.isNull().alias("fits"))
+    beyond = surplus_of(F.col(f"{PLACE}.record"), n)
+    place = F.struct(F.col(f"{PLACE}.file"), F.col(f"{PLACE}.block"), F.col(f"{PLACE}.first"), beyond.alias("surplus")).alias(PLACE)
+    cells = scan_records(spark, path, header, names, **where).select(*[f"`{c}`" for c in names], place, beyond.isNull().alias(_FITS))
     watch = Observation()
-    counted = normalize_cells(cells, names).observe(watch, F.count_if("fits").alias("rows"), F.count_if(~F.col("fits")).alias("rejected"))
-    counted.write.mode("error").partitionBy("fits").parquet(dest)
-    stored = spark.read.schema(StructType([*counted.schema.fields])).parquet(dest)
-    raw, rejects = stored.filter("fits").select(*[f"`{c}`" for c in names]), stored.filter("not fits")
+    counted = normalize_cells(cells, names).observe(watch, F.count_if(_FITS).alias("rows"), F.count_if(~F.col(_FITS)).alias("rejected"))
+    counted.write.mode("error").partitionBy(_FITS).parquet(dest)
+    stored = spark.read.schema(counted.schema).parquet(dest)
+    kept = [f"`{c}`" for c in names]
+    raw, rejects = stored.filter(_FITS).select(*kept), stored.filter(~F.col(_FITS))
     lines = split_lines(spark, path, **where) if watch.get["rejected"] else spark.createDataFrame([], "file string, block long, before long")
-    rejects = rejects.join(lines, ["file", "block"], "left").select(
-        decoded_path(F.col("file")).alias("source_path"), (F.col("before") + F.col("first")).alias("line"), *[f"`{c}`" for c in names], SURPLUS)
+    lines = lines.select(F.struct("file", "block").alias("_millrace_split"), F.col("before").alias("_millrace_before"))
+    split = F.struct(F.col(f"{PLACE}.file"), F.col(f"{PLACE}.block"))
+    rejects = rejects.withColumn("_millrace_split", split).join(lines, "_millrace_split", "left").select(
+        decoded_path(F.col(f"{PLACE}.file")).alias("source_path"), (F.col("_millrace_before") + F.col(f"{PLACE}.first")).alias("line"), *kept,
+        F.col(f"{PLACE}.surplus").alias(SURPLUS))
     return Stored(raw, rejects, watch.get["rows"], watch.get["rejected"])
 
 
 def scan_records(spark: SparkSession, path: str | Sequence[str], header: Sequence[str | None], names: Sequence[str], **where) -> DataFrame:
-    """The cells of all records, put together in splits, with file, block, n (records of the split so far), first (line of the split) and record."""
+    """The cells of all records, put together in splits, with PLACE: file, block, n (records of the split so far), first (line of the split), record."""
     schema = StructType([StructField(name, StringType()) for name in names])
     rows = parse_records(assemble_records(spark, path, **where), header, schema, DIALECT)
-    return rows.select(*[F.col(f"cells.`{c}`").alias(c) for c in names], "file", "block", "n", "first", "record")
+    return rows.select(*[F.col(f"cells.`{c}`").alias(c) for c in names], F.struct("file", "block", "n", "first", "record").alias(PLACE))
 
 
 def with_record(reader, schema: StructType):
