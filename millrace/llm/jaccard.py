@@ -42,6 +42,8 @@ MORE_SHARED = 0.12
 SENT_CLASSES = 1_000_000
 #: N-grams per bucket of keys, about.
 BUCKET_GRAMS = 1_000_000
+#: Buckets that a task sorts at least, one after the other, before there are more tasks.
+BUCKETS_A_TASK = 4
 
 
 class Bands:
@@ -223,8 +225,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 doc, gram = doc[fresh[doc]], gram[fresh[doc]]
                 yield packed_keys(node, *fragment_keys(doc, gram, np.where(fresh, size, 0), bands), buckets)
 
-    met = rows.select("text").mapInArrow(keys, "bucket long, keys binary, who binary").groupBy("bucket").applyInArrow(
-        shared_keys, "node long, tag long, shared long")
+    keyed, tasks = rows.select("text").mapInArrow(keys, "bucket long, keys binary, who binary"), buckets // BUCKETS_A_TASK + 1
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        keyed = keyed.repartition(tasks, "bucket")  # else the session's number is enough, and Spark draws small ones together
+    met = keyed.groupBy("bucket").applyInArrow(shared_keys, "node long, tag long, shared long")
     need = F.element_at(F.array(*(F.lit(int(x)) for x in bands.need)), (F.floor(F.col("tag") / SEEDS) + 1).cast("int"))
     left = space.keep(met.groupBy("node", "tag").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need).select("node").distinct())
 

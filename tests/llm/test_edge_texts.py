@@ -201,3 +201,14 @@ def test_copies_send_their_keys_once_a_task(docs, monkeypatch):
         monkeypatch.setattr(jaccard, "SENT_CLASSES", most)
         found = {r.id: r.component for r in jaccard.similar_classes(docs(*rows), n=3, percent=90).collect()}
         assert found == {**{i: 0 for i, _ in rows}, 1001: 1001}
+
+
+def test_the_number_of_key_tasks_grows_with_the_data(docs, monkeypatch):
+    """Many small buckets give the same classes as one."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(str(rng.randrange(40)) for _ in range(rng.randrange(1, 30)))) for i in range(120)]
+    rows += [(200 + i, t + " end") for i, t in rows if len(t) > 60]
+    plain = sorted(tuple(r) for r in jaccard.similar_classes(docs(*rows), n=1, percent=80).collect())
+    monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 20)
+    monkeypatch.setattr(jaccard, "BUCKETS_A_TASK", 2)
+    assert sorted(tuple(r) for r in jaccard.similar_classes(docs(*rows), n=1, percent=80).collect()) == plain
