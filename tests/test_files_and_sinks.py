@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import normalize_cells
-from millrace.sinks.commits import CommitLog
+from millrace.sinks.commits import CommitLog, Files
 from millrace.sinks.export import export_csv
 from millrace.sinks.tables import publish_curated, replace_raw
 from millrace.sinks.versions import Versions, read_table
@@ -274,3 +274,27 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_options("jdbc:x", "public.t")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "public.t", partition_column="id")
+
+
+@pytest.mark.parametrize("scheme", ["file", "hdfs", "s3a"])
+def test_a_file_is_created_once_in_each_way(spark, tmp_path, scheme):
+    """The ways of other file systems, renames and conditional creates, on the local one."""
+    class Named:
+        def __init__(self, fs):
+            self._fs = fs
+
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return scheme
+
+        def __getattr__(self, name):
+            return getattr(self._fs, name)
+
+    files = Files(spark, str(tmp_path / "c"))
+    files._fs = Named(files._fs)
+    assert files.create("a.json", b"first") and not files.create("a.json", b"second")
+    assert files.read("a.json") == b"first" and list(files.names()) == ["a.json"]
+    files.remove("a.json")
+    assert files.create("a.json", b"third") and files.read("a.json") == b"third"
