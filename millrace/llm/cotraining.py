@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .batches import in_batches
 from .queries import Query, documents
 from .words import BLANKS, Hashes, chunks, mix, texts_of, words_of
 from .workspace import Workspace, small
@@ -297,7 +298,7 @@ def features(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("fold"), part.column("weight"), pa.array([r.tobytes() for r in both], pa.binary())],
                                                  ["id", "fold", "weight", "x"])
 
-    return space.keep(rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, fold boolean, weight double, x binary"))
+    return space.keep(in_batches(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, fold boolean, weight double, x binary"))
 
 
 def _arrays(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +343,7 @@ def fit(made: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["cell", "total"])
 
         flat = np.zeros(sum(2 * (1 + d + d * (d + 1) // 2) for d in sizes))
-        for row in others.mapInArrow(work, "cell long, total long").groupBy("cell").agg(F.sum("total").alias("total")).collect():
+        for row in in_batches(others, work, "cell long, total long").groupBy("cell").agg(F.sum("total").alias("total")).collect():
             flat[row.cell] = row.total / FRACTION
         out, at = [], 0
         for d in sizes:
@@ -384,7 +385,7 @@ def score(made: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, (text, meta, both, both >= 0.5))],
                                                  ["doc_id", "text_score", "meta_score", "score", "accepted"])
 
-    return made.select("id", "x").mapInArrow(work, f"doc_id {kind}, {SCORES}")
+    return in_batches(made.select("id", "x"), work, f"doc_id {kind}, {SCORES}")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols=("lang", "source", "n_chars")) -> DataFrame:
@@ -405,7 +406,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols=("
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).slice(done, part.num_rows).filter(pa.array(keep))
                 done += part.num_rows
 
-    return rows.mapInArrow(work, docs.schema)
+    return in_batches(rows, work, docs.schema)
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .batches import in_batches
 from .components import components
 from .queries import Query, documents
 from .words import Hashes, chunks, lower_ascii, mix, ngrams, texts_of, words_of
@@ -205,8 +206,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size), pa.array(node.view(np.int64))],
                                                  ["id", "text_key", "size", "node"])
 
-    all_docs = space.keep(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        classes, f"id {kind}, text_key long, size long, node long"))
+    all_docs = space.keep(in_batches(
+        rows.withColumn("text_key", F.xxhash64("text")), classes, f"id {kind}, text_key long, size long, node long"))
     named = all_docs.where("size > 0")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     nodes = named.groupBy("node").agg(F.min("id").alias("label"), F.min(who).alias("who"))
@@ -225,7 +226,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 doc, gram = doc[fresh[doc]], gram[fresh[doc]]
                 yield packed_keys(node, *fragment_keys(doc, gram, np.where(fresh, size, 0), bands), buckets)
 
-    keyed, tasks = rows.select("text").mapInArrow(keys, "bucket long, keys binary, who binary"), buckets // BUCKETS_A_TASK + 1
+    keyed, tasks = in_batches(rows.select("text"), keys, "bucket long, keys binary, who binary"), buckets // BUCKETS_A_TASK + 1
     if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
         keyed = keyed.repartition(tasks, "bucket")  # else the session's number is enough, and Spark draws small ones together
     met = keyed.groupBy("bucket").applyInArrow(shared_keys, "node long, tag long, shared long")
@@ -253,7 +254,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[doc[at]]), pa.array(size[doc[at]]), pa.array(piece[at]), lists],
                                                  ["node", "size", "piece", "grams"])
 
-    pieces = spoken.mapInArrow(grams, "node long, size long, piece long, grams array<long>")
+    pieces = in_batches(spoken, grams, "node long, size long, piece long, grams array<long>")
     if all_docs.groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         pieces = pieces.dropDuplicates(["node", "piece"])  # a row that is there more than once would come more than once
     pieces = space.keep(pieces)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .batches import in_batches
 from .queries import Query, documents
 from .tokens import load
 from .words import chunks, texts_of
@@ -295,7 +296,7 @@ def token_pieces(docs: DataFrame, size: int = SEQUENCE, end: int = 0, folder_of=
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(rest, kinds))],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return docs.mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return in_batches(docs, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, folder_of=None) -> DataFrame:
@@ -326,7 +327,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                                              [*names, "sequence_id", "offset"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

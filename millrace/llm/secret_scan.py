@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .batches import in_batches
 from .queries import Query, documents
 from .words import chunks
 from .workspace import Workspace, small
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
     counts = pair_counts([written_together()]).ravel() * 20
-    for row in rows.mapInArrow(count, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for row in in_batches(rows, count, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[row.pair] += round(row.n)  # the copies of a text sum up to a whole number
     return ratio_table(counts)
 
@@ -183,7 +184,7 @@ def find_secrets(docs: DataFrame, table: np.ndarray | None = None, id_col: str =
                                              ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return in_batches(rows, work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, table: np.ndarray | None = None, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -205,7 +206,7 @@ def redact(docs: DataFrame, table: np.ndarray | None = None, text_col: str = "te
                     texts[i] = "".join(out) + text[done:]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1:]], batch.schema.names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
