@@ -11,6 +11,9 @@ Each document is the set of the hashes of its n-grams, in one global order, and
    cut by a second hash, and so on. If two classes share too many empty fragments, both have too many, so no link is lost.
    Keys travel packed, some thousand to a row, and are sorted bucket by bucket; the number of buckets grows with the data.
    A task sends the keys of a class once, so a bucket has at most a few entries a task for a text that many rows hold.
+   The shared keys of close classes lie in as many buckets as there are, up to one each, and every bucket would report them.
+   So each class also has two probes, of two n-grams each that are smallest by some hash. Classes with an equal probe go on
+   at once, and a bucket does not report a class for a key that it shares with such a class; it has the probes of both.
 3. Classes left over are put in the global order by frequency, rare n-grams first, and joined by the first n-grams of
    that order, with the position as a bound on the overlap. In each group of classes with the same n-gram the most
    central one is compared with all others; the components of these links leave few pairs, and all pairs of different
@@ -117,15 +120,32 @@ def fragment_keys(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, bands: Ba
     return np.concatenate(out_doc), np.concatenate(out_tag), np.concatenate(out_key)
 
 
+#: Odd factors that put n-grams into four orders; the first n-grams of two orders make a probe.
+_ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+
+
+def probes(doc: np.ndarray, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two probes of 32 bits for each set, in one number; ``doc`` ascends, and an empty set has 0."""
+    out = np.zeros(len(size), dtype=np.uint64)
+    if len(doc):
+        at = (np.cumsum(size) - size)[size > 0]
+        one, two, three, four = (mix(np.minimum.reduceat(gram * factor, at) + factor) for factor in _ORDERS)
+        out[size > 0] = (mix(one + two) >> np.uint64(32) << np.uint64(32)) | (mix(three + four) >> np.uint64(32))
+    return out
+
+
 #: A key as it travels: its upper 48 bits. Two that only differ below make a class look shared, which later steps undo.
 _PACKED = np.dtype([("high", "<u4"), ("low", "<u2"), ("who", "<u2")])
+_WHO = np.dtype([("node", "<i8"), ("probe", "<u8"), ("tag", "<i2")])
 
 
-def packed_keys(node: np.ndarray, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, keys, who): the keys of a bucket with an index into who, the classes and tags of these rows."""
+def packed_keys(node: np.ndarray, probe: np.ndarray, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, keys, who): the keys of a bucket with an index into who, the classes, probes and tags of these rows."""
     pair = np.stack([node.view(np.int64)[doc], tag], axis=1)
-    who, index = np.unique(pair, axis=0, return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
+    found, first, index = np.unique(pair, axis=0, return_index=True, return_inverse=True) if len(pair) else (pair, doc, doc)
     index = index.ravel()
+    who = np.empty(len(found), dtype=_WHO)
+    who["node"], who["probe"], who["tag"] = found[:, 0], probe[doc[first]], found[:, 1]
     rows = []
     for begin in range(0, len(who), 1 << 16):  # an index has 16 bits
         mine = (index >= begin) & (index < begin + (1 << 16))
@@ -151,24 +171,38 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(values)) if len(at) else at
 
 
+def _close(key: np.ndarray, probe: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Whether another class has this key and this probe too."""
+    order = np.lexsort((node, probe, key))
+    key, probe, node = key[order], probe[order], node[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (probe[1:] != probe[:-1])
+    at, end = _runs(np.cumsum(new))
+    out = np.empty(len(key), dtype=bool)
+    out[order] = np.repeat(node[at] != node[end - 1], end - at)
+    return out
+
+
 def shared_keys(bucket: pa.Table) -> pa.Table:
-    """(node, tag, shared): for each class and tag, how many keys of the bucket another class has as well."""
-    keys, nodes, tags = [], [], []
+    """(node, tag, shared): for each class and tag, how many keys of the bucket another class has as well and none with an equal probe."""
+    keys, whos = [], []
     for packed, who in zip(bucket.column("keys").to_pylist(), bucket.column("who").to_pylist()):
-        one, pair = np.frombuffer(packed, _PACKED), np.frombuffer(who, np.int64).reshape(-1, 2)
+        one = np.frombuffer(packed, _PACKED)
         keys.append((one["high"].astype(np.uint64) << np.uint64(16)) | one["low"])
-        nodes.append(pair[one["who"], 0])
-        tags.append(pair[one["who"], 1])
-    key, node, tag = np.concatenate(keys), np.concatenate(nodes), np.concatenate(tags)
+        whos.append(np.frombuffer(who, _WHO)[one["who"]])
+    key, who = np.concatenate(keys), np.concatenate(whos)
+    node, tag, probe = who["node"], who["tag"], who["probe"]
     order = np.lexsort((tag, node, key))
-    key, node, tag = key[order], node[order], tag[order]
+    key, node, tag, probe = key[order], node[order], tag[order], probe[order]
     once = np.ones(len(key), dtype=bool)
     once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (tag[1:] != tag[:-1])
-    key, node, tag = key[once], node[once], tag[once]
+    key, node, tag, probe = key[once], node[once], tag[once], probe[once]
     met = np.zeros(len(key), dtype=bool)
     met[1:] = key[1:] == key[:-1]
     met[:-1] |= met[1:]
-    found, n = np.unique(np.stack([node[met], tag[met]], axis=1), axis=0, return_counts=True)
+    key, node, tag, probe = key[met], node[met], tag[met], probe[met]
+    told = ~(_close(key, probe >> np.uint64(32), node) | _close(key, probe & np.uint64(0xFFFFFFFF), node))
+    found, n = np.unique(np.stack([node[told], tag[told].astype(np.int64)], axis=1), axis=0, return_counts=True)
     return pa.table({"node": pa.array(found[:, 0], pa.int64()), "tag": pa.array(found[:, 1], pa.int64()), "shared": pa.array(n, pa.int64())})
 
 
@@ -203,15 +237,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, gram, size, node = _sets(part, n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size), pa.array(node.view(np.int64))],
-                                                 ["id", "text_key", "size", "node"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size), pa.array(node.view(np.int64)),
+                                                  pa.array(probes(doc, gram, size).view(np.int64))], ["id", "text_key", "size", "node", "probe"])
 
     all_docs = space.keep(in_batches(
-        rows.withColumn("text_key", F.xxhash64("text")), classes, f"id {kind}, text_key long, size long, node long"))
+        rows.withColumn("text_key", F.xxhash64("text")), classes, f"id {kind}, text_key long, size long, node long, probe long"))
     named = all_docs.where("size > 0")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     nodes = named.groupBy("node").agg(F.min("id").alias("label"), F.min(who).alias("who"))
 
+    # Classes that share a probe with others.
+    either = F.array(F.shiftrightunsigned("probe", 32) * 2, F.col("probe").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 + 1)
+    probed = named.select("node", F.explode(either).alias("probe")).distinct()
+    common = space.keep(probed.groupBy("probe").agg(F.count("*").alias("n")).where("n > 1").select("probe"))
+    close = probed.join(small(common), "probe", "left_semi").select("node")
+
     # Classes that share enough fragments with others.
     buckets = (named.agg(F.sum("size")).first()[0] or 0) // BUCKET_GRAMS + 1
 
@@ -220,18 +260,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, gram, size, node = _sets(part, n)
+                probe = probes(doc, gram, size)
                 if len(sent) > SENT_CLASSES:
                     sent.clear()
                 fresh = np.array([x not in sent and not sent.add(x) for x in node.tolist()], dtype=bool)
                 doc, gram = doc[fresh[doc]], gram[fresh[doc]]
-                yield packed_keys(node, *fragment_keys(doc, gram, np.where(fresh, size, 0), bands), buckets)
+                yield packed_keys(node, probe, *fragment_keys(doc, gram, np.where(fresh, size, 0), bands), buckets)
 
     keyed, tasks = in_batches(rows.select("text"), keys, "bucket long, keys binary, who binary"), buckets // BUCKETS_A_TASK + 1
     if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
         keyed = keyed.repartition(tasks, "bucket")  # else the session's number is enough, and Spark draws small ones together
     met = keyed.groupBy("bucket").applyInArrow(shared_keys, "node long, tag long, shared long")
     need = F.element_at(F.array(*(F.lit(int(x)) for x in bands.need)), (F.floor(F.col("tag") / SEEDS) + 1).cast("int"))
-    left = space.keep(met.groupBy("node", "tag").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need).select("node").distinct())
+    enough = met.groupBy("node", "tag").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need).select("node")
+    left = space.keep(enough.union(close).distinct())
 
     # Their n-grams, each class once, from the text of the document that gives the class its name.
     chosen = space.keep(nodes.join(left, "node"))

@@ -212,3 +212,52 @@ def test_the_number_of_key_tasks_grows_with_the_data(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 20)
     monkeypatch.setattr(jaccard, "BUCKETS_A_TASK", 2)
     assert sorted(tuple(r) for r in jaccard.similar_classes(docs(*rows), n=1, percent=80).collect()) == plain
+
+
+def near_copies(rng, families=8, copies=4, length=200):
+    """Texts of which each has some others that differ in one word."""
+    out = []
+    for _ in range(families):
+        base = [str(rng.randrange(10**6)) for _ in range(length)]
+        for _ in range(copies):
+            words = list(base)
+            words[rng.randrange(length)] = "other"
+            out.append((len(out), " ".join(words)))
+    return out
+
+
+def test_near_copies_are_not_reported_by_every_bucket(docs, monkeypatch, tmp_path):
+    """What the buckets of keys report of near copies does not grow with their number."""
+    rows, whole, told = near_copies(random.Random(5)), jaccard.shared_keys, []
+
+    for grams in (10**6, 500):
+        folder = tmp_path / str(grams)
+        folder.mkdir()
+        path = str(folder)
+
+        def counted(bucket):
+            out = whole(bucket)
+            with open(f"{path}/{time.time_ns()}-{random.random()}", "w") as file:
+                file.write(str(out.num_rows))
+            return out
+
+        monkeypatch.setattr(jaccard, "shared_keys", counted)
+        monkeypatch.setattr(jaccard, "BUCKET_GRAMS", grams)
+        found = {r.id: r.component for r in jaccard.similar_classes(docs(*rows), n=3, percent=90).collect()}
+        assert found == {i: i - i % 4 for i, _ in rows}
+        told.append(sum(int(f.read_text()) for f in folder.iterdir()))
+    assert told[1] <= max(2 * told[0], len(rows))
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_links_do_not_depend_on_probes(docs, monkeypatch, one):
+    """Sets of which all have the same probe, or each another one, are linked by their n-grams alike."""
+    rows = near_copies(random.Random(6), length=60) + [(100 + i, f"{i} a text like no other {i * i}") for i in range(20)]
+    plain = sorted(tuple(r) for r in jaccard.similar_classes(docs(*rows), n=2, percent=80).collect())
+    assert len({c for _, _, c in plain}) == 28
+
+    def forced(doc, gram, size):
+        return np.zeros(len(size), np.uint64) if one else np.array([int(gram[doc == i].sum()) >> 32 for i in range(len(size))], np.uint64) * np.uint64((1 << 32) + 1)
+
+    monkeypatch.setattr(jaccard, "probes", forced)
+    assert sorted(tuple(r) for r in jaccard.similar_classes(docs(*rows), n=2, percent=80).collect()) == plain
